@@ -1,0 +1,72 @@
+"""Row helper: outermost blocks of one well-formed page."""
+
+from __future__ import annotations
+
+import html
+import re
+
+from lectern.functions.markup import BLOCK_TAGS, POPUP_PREFIX
+
+PIECE = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[/!?A-Za-z][^>]*>|[^<]+", re.S)
+NAME = re.compile(r"</?([^\s/>]+)")
+POPUP = re.compile(rf"\sid\s*=\s*[\"']{POPUP_PREFIX}")
+
+
+def _starts_block(name: str, tag: str) -> bool:
+    local = name.rsplit(":", 1)[-1]
+    return local in BLOCK_TAGS or (local == "div" and POPUP.search(tag) is not None)
+
+
+def _encoded(inner: list[str]) -> tuple[str, list[dict]]:
+    out, saved, opened, count = [], [], [], 0
+    for piece in inner:
+        if piece.startswith("<![CDATA["):
+            out.append(piece[9:-3])
+        elif piece.startswith(("<!", "<?")):
+            continue
+        elif not piece.startswith("<"):
+            out.append(html.unescape(piece))
+        else:
+            name = NAME.match(piece).group(1)
+            places = [i for i, (known, _) in enumerate(opened) if known == name]
+            if piece.startswith("</") and places:
+                number = opened.pop(places[-1])[1]
+            else:
+                count += 1
+                number = count
+            if piece.startswith("</"):
+                marker = f"⟦/E{number}⟧"
+            elif piece.endswith("/>"):
+                marker = f"⟦S{number}⟧"
+            else:
+                opened.append((name, number))
+                marker = f"⟦E{number}⟧"
+            saved.append({"marker": marker, "tag": piece})
+            out.append(marker)
+    return " ".join("".join(out).split()), saved
+
+
+def outer_blocks(page: str) -> tuple[list[tuple[str, str, list[dict]]], str | None]:
+    """((tag, source_text, inline_map) per non-empty block, problem or None)."""
+    blocks, current, inner, depth = [], None, [], 0
+    for piece in PIECE.findall(page or ""):
+        is_tag = piece[0] == "<" and piece[1] not in "!?"
+        name = NAME.match(piece).group(1) if is_tag else ""
+        if current is None:
+            if is_tag and piece[1] != "/" and not piece.endswith("/>") and _starts_block(name, piece):
+                current, inner, depth = name, [], 0
+            continue
+        if is_tag and piece[1] == "/":
+            if depth == 0:
+                if name != current:
+                    return blocks, f"</{name}> inside <{current}>"
+                source, saved = _encoded(inner)
+                if source:
+                    blocks.append((current.rsplit(":", 1)[-1], source, saved))
+                current = None
+                continue
+            depth -= 1
+        elif is_tag and not piece.endswith("/>"):
+            depth += 1
+        inner.append(piece)
+    return blocks, None if current is None else f"page ends inside <{current}>"
