@@ -32,12 +32,16 @@ def extract_blocks(pages: DataFrame) -> DataFrame:
 
     Takes (corpus_id, page_no, html, ..).
     """
-    blocks = F.transform(
+    encoded = F.transform(
         markup.block_pieces(F.col("html")),
+        lambda b: F.struct(b["tag"].alias("tag"), markup.encode_inline(b["body"]).alias("inline")),
+    )
+    blocks = F.transform(
+        encoded,
         lambda b: F.struct(
             b["tag"].alias("tag"),
-            markup.encode_inline(b["body"])["source_text"].alias("source_text"),
-            markup.encode_inline(b["body"])["inline_map"].alias("inline_map"),
+            b["inline"]["source_text"].alias("source_text"),
+            b["inline"]["inline_map"].alias("inline_map"),
         ),
     )
     return exploded_blocks(pages, blocks)

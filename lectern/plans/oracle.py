@@ -259,7 +259,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
           WHEN 7 THEN 'provider returned an explanation or refusal instead of a translation' END AS last_error,
         '2026-01-01T0' || n || ':00:00Z' AS updated_at, doc_id, n
       FROM (SELECT *, {CHOICE} AS n FROM (
-        SELECT * FROM keyed WHERE n_chars >= 300
+        SELECT * FROM keyed WHERE n_chars >= 600 OR block_index = 1
         UNION ALL SELECT * REPLACE (900001 AS block_index) FROM keyed WHERE doc_id % 17 = 0 AND block_index = 1))"""),
     "outputs": (("work_items",), f"""
       WITH base AS (SELECT *, doc_id // 50 + 1 AS part_index FROM work_items WHERE n <> 2)

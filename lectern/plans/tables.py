@@ -197,10 +197,10 @@ class Tables:
         return request_ops.work_items(self.keyed(), CFG, AT)
 
     def work_items(self) -> DataFrame:
-        """The ledger: states and faults by rule, short documents not yet in it, some orphans."""
+        """The ledger: states and faults by rule, later lines of short documents not yet in it, some orphans."""
         def build() -> DataFrame:
             keyed = self.keyed()
-            kept = keyed.filter("n_chars >= 300")
+            kept = keyed.filter("n_chars >= 600 OR block_index = 1")
             orphans = keyed.filter("doc_id % 17 = 0 AND block_index = 1").withColumn(
                 "block_index", F.lit(900001)
             )

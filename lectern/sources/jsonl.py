@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import strip
@@ -91,3 +91,13 @@ def read_glossary(spark: SparkSession, path: str) -> DataFrame:
 def write_text(df: DataFrame, path: str) -> None:
     """Write a one-column table as text."""
     df.write.mode("overwrite").text(path)
+
+
+def concatenated(lines: DataFrame, part_index: Column) -> DataFrame:
+    """Lines of numbered part files with their place in the part; a part has a bounded size."""
+    order = Window.partitionBy("part_index").orderBy("file", "place")
+    return (
+        lines.withColumn("part_index", part_index)
+        .withColumn("place", F.row_number().over(order).cast("long"))
+        .select("part_index", "place", "value")
+    )
