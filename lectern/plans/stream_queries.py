@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.plans import oracle as o
@@ -16,6 +16,10 @@ FILES = 3
 GAP_HOURS = 6
 
 
+def clock(name: str) -> Column:
+    return F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(name)
+
+
 def _in_files(df: DataFrame, key: str, label: str) -> str:
     """Store a table as three files in the order of a numeric key, one append after the other."""
     path = new_folder(df.sparkSession, label)
@@ -63,25 +67,28 @@ def stream_state_counts(t: Tables) -> DataFrame:
 
 
 @query("stream_usage_window", """
-  SELECT date_trunc('hour', ts) AS window_start, count(*) AS requests, sum(length(props))::BIGINT AS input_tokens,
+  SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S.%f') AS window_start, count(*) AS requests, sum(length(props))::BIGINT AS input_tokens,
     sum(floor(value)::BIGINT)::BIGINT AS output_tokens
-  FROM events GROUP BY 1
+  FROM events GROUP BY date_trunc('hour', ts)
   HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def stream_usage_window(t: Tables) -> DataFrame:
     usage = t.given("events").select(
-        "event_id", "ts", F.lit(1).cast("long").alias("requests"), F.length("props").alias("input_tokens"),
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit(1).cast("long").alias("requests"), F.length("props").alias("input_tokens"),
         F.floor("value").alias("output_tokens"),
     )
     stream = ingest.file_stream(t.spark, _in_files(usage, "event_id", "stream-usage"), usage.schema)
-    return monitors.collected(t.spark, monitors.usage_windows(stream))
+    windows = monitors.collected(t.spark, monitors.usage_windows(stream))
+    return windows.withColumn("window_start", clock("window_start"))
 
 
 @query("stream_sessions", o.sql(f"""
-  SELECT run_key, min(ts) AS session_start, max(ts) + INTERVAL {GAP_HOURS} HOUR AS session_end, count(*) AS beats
+  SELECT run_key, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
+    strftime(max(ts) + INTERVAL {GAP_HOURS} HOUR, '%Y-%m-%d %H:%M:%S.%f') AS session_end, count(*) AS beats
   FROM (SELECT *, sum(fresh) OVER (PARTITION BY run_key ORDER BY ts, event_id) AS s FROM (
     SELECT *, (ts >= coalesce(lag(ts) OVER (PARTITION BY run_key ORDER BY ts, event_id) + INTERVAL {GAP_HOURS} HOUR,
       TIMESTAMP '1970-01-01'))::INT AS fresh FROM run_events))
   GROUP BY run_key, s
   HAVING max(ts) + INTERVAL {GAP_HOURS} HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM run_events)""", "run_events"))
 def stream_sessions(t: Tables) -> DataFrame:
-    return monitors.collected(t.spark, monitors.run_sessions(_events(t), f"{GAP_HOURS} hours"))
+    sessions = monitors.collected(t.spark, monitors.run_sessions(_events(t), f"{GAP_HOURS} hours"))
+    return sessions.select("run_key", clock("session_start"), clock("session_end"), "beats")

@@ -450,7 +450,7 @@ class Tables:
             .when(F.col("event_type").isin("view", "click"), "heartbeat")
         )
         return self.given("events").select(
-            F.col("user_id").alias("run_key"), "event_id", "ts", kind.alias("kind"),
+            F.col("user_id").alias("run_key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"),
             (F.col("event_type") == "purchase").alias("completed"),
         )
 
