@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import SPACE
+from lectern.functions.text import SPACE, bound
 
 # Marker formats.
 ANY_MARKER = "⟦[^⟧]*⟧"
@@ -90,8 +90,10 @@ def restore(translated: Column, inline_map: Column) -> Column:
     required = F.transform(inline_map, lambda e: e["marker"])
     complete = F.size(F.array_except(required, found)) == 0
     known_only = F.size(F.array_except(found, required)) == 0
-    tags = F.map_from_entries(inline_map)
-    rebuilt = F.transform(
-        pieces(translated), lambda p: F.coalesce(F.try_element_at(tags, p), escape_xml(p))
+    rebuilt = bound(
+        F.map_from_entries(inline_map),
+        lambda tags: F.transform(
+            pieces(translated), lambda p: F.coalesce(F.try_element_at(tags, p), escape_xml(p))
+        ),
     )
     return F.when(complete & known_only, F.array_join(rebuilt, ""))

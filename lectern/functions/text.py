@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,11 @@ MONTHS = (
 LINK_HINTS = ("http://", "https://", "www.", "doi.org", "doi:")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` needs it per array element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(text: Column) -> Column:
     """Cut white space at both ends, by Unicode's definition."""
     return F.btrim(text, F.lit(WHITE_SPACE))
@@ -60,25 +67,44 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit("[A-Za-z]{2,}"))
 
 
+def at_least_letters(text: Column, least: int) -> Column:
+    """As ``letter_count(text) >= least``, but reads no further than needed."""
+    return text.rlike(rf"^(?:[^A-Za-z]*+[A-Za-z]){{{least}}}+")
+
+
+def at_least_words(text: Column, least: int) -> Column:
+    """As ``word_count(text) >= least``, but reads no further than needed."""
+    single = "(?:[A-Za-z](?![A-Za-z])[^A-Za-z]*+)*+"
+    return text.rlike(rf"^(?:[^A-Za-z]*+{single}[A-Za-z]{{2,}}+){{{least}}}+")
+
+
 def japanese_count(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{JAPANESE}]+", ""))
+    wide = F.regexp_replace(text, r"[\x00-\x7f]+", "")
+    return F.length(F.regexp_replace(wide, f"[^{JAPANESE}]+", ""))
 
 
 def has_japanese(text: Column) -> Column:
     return text.rlike(f"[{JAPANESE}]")
 
 
-def longest_ascii_run(text: Column) -> Column:
-    """The ASCII text run with most letters (the first on ties), trimmed."""
-    runs = F.regexp_extract_all(text, F.lit(r"""[A-Za-z \t\n\f\r'",.;:?!()-]+"""), F.lit(0))
+def longest_ascii_run(text: Column, min_chars: int = 1) -> Column:
+    """The ASCII text run with most letters (the first on ties), trimmed.
+
+    With ``min_chars`` shorter runs are left out, for callers that only care about
+    runs with at least so many letters.
+    """
+    run_class = r"""[A-Za-z \t\n\f\r'",.;:?!()-]"""
+    runs = F.regexp_extract_all(text, F.lit(f"{run_class}{{{min_chars},}}"), F.lit(0))
     scored = F.transform(
         runs,
         lambda run, i: F.struct(
             letter_count(run).alias("letters"), (-i).alias("place"), run.alias("run")
         ),
     )
-    best = F.array_max(scored)
-    return F.when(best["letters"] > 0, F.btrim(best["run"], F.lit(ASCII_SPACE)))
+    return bound(
+        F.array_max(scored),
+        lambda best: F.when(best["letters"] > 0, F.btrim(best["run"], F.lit(ASCII_SPACE))),
+    )
 
 
 def ends_terminal(text: Column) -> Column:

@@ -62,26 +62,25 @@ def localised_citation(source: Column, target: Column) -> Column:
 
 
 def untranslated_text(source: Column, target: Column) -> Column:
-    english = ((text.word_count(source) >= 3) & (text.word_count(target) >= 3)) | (
-        (text.letter_count(source) >= 24) & (text.letter_count(target) >= 12)
+    english = (text.at_least_words(target, 3) & text.at_least_words(source, 3)) | (
+        text.at_least_letters(target, 12) & text.at_least_letters(source, 24)
     )
     return ~text.has_japanese(target) & english & ~localised_citation(source, target)
 
 
 def untranslated_segment(source: Column, target: Column) -> Column:
-    run = text.longest_ascii_run(target)
-    long_run = (text.word_count(run) >= 7) & (text.letter_count(run) >= 45)
-    return F.when(
-        text.has_japanese(target) & (text.word_count(source) >= 8), F.coalesce(long_run, F.lit(False))
-    ).otherwise(False)
+    """A run of at least 45 letters in 7 words remains in a Japanese text."""
+    run = text.longest_ascii_run(target, min_chars=45)
+    long_run = text.bound(run, lambda r: text.at_least_words(r, 7) & text.at_least_letters(r, 45))
+    return text.has_japanese(target) & text.at_least_words(source, 8) & F.coalesce(long_run, F.lit(False))
 
 
 def truncated(source: Column, target: Column) -> Column:
-    letters = text.letter_count(source)
     short = (text.ends_terminal(source) & ~text.ends_terminal(target)) | (
-        (letters >= 240) & (text.japanese_count(target) * 6 < letters)
+        text.at_least_letters(source, 240)
+        & (text.japanese_count(target) * 6 < text.letter_count(source))
     )
-    return text.has_japanese(target) & (text.word_count(source) >= 20) & short
+    return text.at_least_words(source, 20) & text.has_japanese(target) & short
 
 
 def validation_reason(source: Column, target: Column) -> Column:
@@ -89,7 +88,7 @@ def validation_reason(source: Column, target: Column) -> Column:
     s, t = text.strip(source), text.strip(target)
     unchanged = (
         (text.compare_form(s) == text.compare_form(t))
-        & (text.letter_count(s) >= 6)
+        & text.at_least_letters(s, 6)
         & ~markers.number_list(s)
     )
     return (

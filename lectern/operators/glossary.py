@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.config import GLOSSARY_MAX_TERMS, GLOSSARY_MIN_COUNT
 from lectern.functions.prompts import key_lines
-from lectern.functions.text import short_hash, strip
+from lectern.functions.text import bound, short_hash, strip
 
 # Words that often start a sentence, and front-matter headings.
 SENTENCE_STARTERS = (
@@ -18,7 +20,7 @@ SENTENCE_STARTERS = (
 )
 FRONT_MATTER = ("Title Page", "Copyright", "Contents", "Table of Contents", "Introduction")
 
-# Glossaries up to this size travel to the tasks as one array; larger ones are
+# Glossaries up to this size travel to the tasks as one array constant; larger ones are
 # matched by an equi-join on character grams.
 BROADCAST_TERMS = 1000
 GRAM = 3
@@ -29,14 +31,14 @@ SUBSET_TYPE = "array<struct<pos:int,src:string,dst:string>>"
 def terms(text: Column) -> Column:
     """Capitalised terms of a text, in order, with repeats.
 
-    Works on the row itself: words that do not fit become a separator, and what
-    stays together between separators is one term.
+    Works on the row itself: a run of capitalised words is one match of a pattern
+    without backtracking, so no word leaves its row and no shuffle is needed.
     """
-    words = F.concat(F.lit(" "), F.regexp_replace(text, "[^A-Za-z0-9'-]+", " "), F.lit(" "))
-    marked = F.regexp_replace(
-        words, "(?<= )(?!'*+[A-Z][A-Z0-9'-]*+[a-z])[^ ]+(?= )", "|"
+    separator, word = "[^A-Za-z0-9'-]", "'*+[A-Z][A-Z0-9'-]*+[a-z][A-Za-z0-9'-]*+"
+    found = F.regexp_extract_all(
+        F.concat(F.lit(" "), text), F.lit(f"(?:{separator}++{word})++"), F.lit(0)
     )
-    runs = F.transform(F.split(marked, "[|]"), lambda run: F.trim(run))
+    runs = F.transform(found, lambda run: F.trim(F.regexp_replace(run, f"{separator}+", " ")))
 
     def term(run: Column) -> Column:
         single = F.btrim(run, F.lit("'"))
@@ -83,8 +85,7 @@ def numbered(candidates: DataFrame) -> DataFrame:
 
 
 def _subset_column(block: Column, entries: Column) -> Column:
-    low = F.lower(block)
-    hits = F.filter(entries, lambda e: (e["low"] != "") & low.contains(e["low"]))
+    hits = bound(F.lower(block), lambda low: F.filter(entries, lambda e: low.contains(e["low"])))
     return F.transform(
         hits, lambda e: F.struct(e["pos"].alias("pos"), e["src"].alias("src"), e["dst"].alias("dst"))
     )
@@ -96,7 +97,7 @@ def glossary_subset(
     """Add ``subset``: the usable glossary entries that occur in the block, by position.
 
     The number of entries is checked first. A glossary of at most ``max_broadcast``
-    terms becomes one array that each task holds; a larger one is joined by grams.
+    terms becomes one array constant of the plan; a larger one is joined by grams.
     ``ids`` names the columns that identify a block.
     """
     usable = glossary.select(
@@ -106,18 +107,11 @@ def glossary_subset(
     few = usable.limit(max_broadcast + 1).collect()
     if len(few) > max_broadcast:
         return _subset_by_grams(blocks, usable, ids)
-    spark = blocks.sparkSession
-    local = spark.createDataFrame(few, usable.schema)
-    entries = local.agg(
-        F.array_sort(
-            F.collect_list(F.struct("pos", "src", "dst", F.lower("src").alias("low")))
-        ).alias("_entries")
-    )
-    return (
-        blocks.join(F.broadcast(entries))
-        .withColumn("subset", _subset_column(F.col("source_text"), F.col("_entries")))
-        .drop("_entries")
+    rows = [dict(r.asDict(), low=r.src.lower()) for r in sorted(few, key=lambda r: r.pos)]
+    entries = F.from_json(
+        F.lit(json.dumps(rows)), "array<struct<pos:int,src:string,dst:string,low:string>>"
     )
+    return blocks.withColumn("subset", _subset_column(F.col("source_text"), entries))
 
 
 def grams(text: Column, size: int) -> Column:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from lectern.functions.prompts import response_text
 from lectern.functions.text import short_hash
 from lectern.functions.validation import reason_message, validation_reason
+from lectern.session import written
+
+LINE_PLACE = ("stream", "part_index", "line_no")
 
 # Error texts of the import.
 DUPLICATE = "duplicate output custom_id"
@@ -41,9 +44,10 @@ def judged_lines(work_items: DataFrame, cache: DataFrame, outputs: DataFrame, er
     ``cache`` has one row per key. Lines are imported in the order (stream,
     part_index, line_no). Both "first line of an id" and "first valid line of a key"
     are minima, found with partial aggregation and joined back, so a key shared by
-    very many lines never gathers in one task.
+    very many lines never gathers in one task. The judged lines are written once,
+    because both the winners and the outcomes are read from them.
     """
-    lines = all_lines(outputs, errors).withColumn("ord", F.struct("stream", "part_index", "line_no"))
+    lines = all_lines(outputs, errors).withColumn("ord", F.struct(*LINE_PLACE))
     firsts = lines.groupBy("custom_id").agg(F.min("ord").alias("first_ord"))
     items = work_items.select(
         "custom_id", "cache_key", "source_text", "source_hash", F.lit(True).alias("known")
@@ -79,8 +83,12 @@ def judged_lines(work_items: DataFrame, cache: DataFrame, outputs: DataFrame, er
                 .otherwise(reason_message(validation_reason(source, F.col("answer")))),
             ),
         )
-        .drop("stored", "body")
+        .select(
+            *LINE_PLACE, "ord", "custom_id", "cache_key", "status_code", "error", "known", "repeat", "open", "hash_ok",
+            "stored_ok", "answer", "fault",
+        )
     )
+    placed = written(placed, "import-judged")
     good = F.col("open") & F.col("hash_ok") & ~F.col("stored_ok") & F.col("fault").isNull()
     winners = placed.filter(good).groupBy("cache_key").agg(F.min("ord").alias("win_ord"))
     remote_fault = (

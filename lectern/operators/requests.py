@@ -17,13 +17,6 @@ from lectern.operators.chunking import chunk_texts
 from lectern.operators.glossary import glossary_subset
 from lectern.session import written
 
-WORK_ITEM_COLUMNS = (
-    "custom_id", "cache_key", "corpus_id", "page_index", "block_index", "href", "source_text",
-    "source_hash", "prompt_hash", "source_chars", "provider", "model", "state", "attempt",
-    "last_error", "updated_at",
-)
-
-
 def with_cache_key(blocks: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Add ``cache_key`` to blocks that carry their glossary ``subset``."""
     return blocks.withColumn(
@@ -37,9 +30,14 @@ def custom_id(key: Column) -> Column:
     )
 
 
-def work_items(keyed: DataFrame, cfg: EngineConfig, now: str) -> DataFrame:
-    """Ledger rows of keyed blocks, all in state ``prepared``."""
+def prepared(keyed: DataFrame, cfg: EngineConfig, now: str) -> DataFrame:
+    """Ledger row and request body of each keyed block in one pass."""
     source, subset = F.col("source_text"), F.col("subset")
+    body = F.struct(
+        F.lit(cfg.model_name).alias("model"),
+        F.lit(prompts.system_prompt(cfg.style)).alias("instructions"),
+        prompts.user_prompt(source, subset).alias("input"),
+    )
     return keyed.select(
         custom_id(F.col("cache_key")).alias("custom_id"),
         "cache_key",
@@ -57,21 +55,19 @@ def work_items(keyed: DataFrame, cfg: EngineConfig, now: str) -> DataFrame:
         F.lit(1).alias("attempt"),
         F.lit(None).cast("string").alias("last_error"),
         F.lit(now).alias("updated_at"),
+        body.alias("body"),
     )
 
 
+def work_items(keyed: DataFrame, cfg: EngineConfig, now: str) -> DataFrame:
+    """Ledger rows of keyed blocks, all in state ``prepared``."""
+    return prepared(keyed, cfg, now).drop("body")
+
+
 def request_rows(keyed: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Batch request lines of keyed blocks."""
-    body = F.struct(
-        F.lit(cfg.model_name).alias("model"),
-        F.lit(prompts.system_prompt(cfg.style)).alias("instructions"),
-        prompts.user_prompt(F.col("source_text"), F.col("subset")).alias("input"),
-    )
-    return keyed.select(
-        custom_id(F.col("cache_key")).alias("custom_id"),
-        F.lit("POST").alias("method"),
-        F.lit("/v1/responses").alias("url"),
-        body.alias("body"),
+    return prepared(keyed, cfg, "").select(
+        "custom_id", F.lit("POST").alias("method"), F.lit("/v1/responses").alias("url"), "body"
     )
 
 

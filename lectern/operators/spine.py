@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.text import bound
+
 # Media types and file endings of pages and contents files.
 XHTML = "application/xhtml+xml"
 NCX = "application/x-dtbncx+xml"
@@ -63,22 +65,22 @@ def spine_pages(packages: DataFrame) -> DataFrame:
         F.map_from_arrays(F.array_distinct(ids), F.transform(F.array_distinct(ids), last_of))
     )
     is_page = lambda i: (i["_media-type"] == XHTML) | _ends_with(i["_href"], PAGE_ENDINGS)
-    matched = F.filter(
-        F.transform(
+
+    def resolved(items: Column) -> Column:
+        pages = F.transform(
             "refs",
             lambda r: F.struct(
                 r["_idref"].alias("idref"),
-                F.try_element_at(F.col("by_id"), r["_idref"]).alias("item"),
+                F.try_element_at(items, r["_idref"]).alias("item"),
                 F.coalesce(r["_linear"] != "no", F.lit(True)).alias("linear"),
             ),
-        ),
-        lambda r: r["item"].isNotNull() & is_page(r["item"]),
-    )
+        )
+        return F.filter(pages, lambda p: p["item"].isNotNull() & is_page(p["item"]))
+
     return (
         parsed_packages(packages)
         .select("corpus_id", _items(F.col("doc")).alias("items"), F.col("doc.spine.itemref").alias("refs"))
-        .withColumn("by_id", by_id)
-        .select("corpus_id", F.posexplode(matched).alias("pos", "page"))
+        .select("corpus_id", F.posexplode(bound(by_id, resolved)).alias("pos", "page"))
         .select(
             "corpus_id",
             (F.col("pos") + 1).alias("page_no"),

@@ -29,10 +29,9 @@ ELAPSED = 3725
     "expected", "keyed", "cache"))
 def batch_prepare(t: Tables) -> DataFrame:
     todo = requests.prepare(t.doc_blocks(), t.glossary(), t.cache(), CFG, BLOCK_IDS)
-    items = requests.work_items(todo, CFG, NOW)
-    lines = requests.request_rows(todo, CFG)
-    prompt_chars = lines.select("custom_id", F.length("body.input").alias("request_chars"))
-    return items.select("custom_id", "source_hash", "prompt_hash", "source_chars").join(prompt_chars, "custom_id")
+    return requests.prepared(todo, CFG, NOW).select(
+        "custom_id", "source_hash", "prompt_hash", "source_chars", F.length("body.input").alias("request_chars")
+    )
 
 
 # Parts
