@@ -79,8 +79,7 @@ def at_least_words(text: Column, least: int) -> Column:
 
 
 def japanese_count(text: Column) -> Column:
-    wide = F.regexp_replace(text, r"[\x00-\x7f]+", "")
-    return F.length(F.regexp_replace(wide, f"[^{JAPANESE}]+", ""))
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{JAPANESE}]+", ""))
 
 
 def has_japanese(text: Column) -> Column:

@@ -86,8 +86,10 @@ def truncated(source: Column, target: Column) -> Column:
 def validation_reason(source: Column, target: Column) -> Column:
     """Code of the first failing rule; null when the target is accepted."""
     s, t = text.strip(source), text.strip(target)
+    first = lambda value: F.left(F.lower(F.left(value, F.lit(1))), F.lit(1))
     unchanged = (
-        (text.compare_form(s) == text.compare_form(t))
+        (first(s) == first(t))
+        & (text.compare_form(s) == text.compare_form(t))
         & text.at_least_letters(s, 6)
         & ~markers.number_list(s)
     )

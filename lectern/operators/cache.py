@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import short_hash
 from lectern.functions.validation import cached_reason
+from lectern.operators.joins import spread_join
 
 VALUE = ("seq", "translated", "provider", "model", "at")
 
@@ -68,8 +69,11 @@ def replace_rows(cache: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def cache_status(blocks: DataFrame, cache: DataFrame) -> DataFrame:
-    """Add status hit, invalid or miss, with the reason. ``cache`` has one row per key."""
+def cache_status(blocks: DataFrame, cache: DataFrame, ids: list[str]) -> DataFrame:
+    """Add status hit, invalid or miss, with the reason. ``cache`` has one row per key.
+
+    ``ids`` names the columns that identify a block.
+    """
     rows = cache.select(
         F.col("key").alias("cache_key"), "translated", F.col("provider").alias("_p"), F.col("model").alias("_m")
     )
@@ -78,7 +82,7 @@ def cache_status(blocks: DataFrame, cache: DataFrame) -> DataFrame:
         cached_reason(F.col("source_text"), F.col("translated"), F.col("_p"), F.col("_m")),
     )
     return (
-        blocks.join(rows, "cache_key", "left")
+        spread_join(blocks, rows, "cache_key", ids)
         .withColumn("reason", reason)
         .withColumn(
             "status",
@@ -91,11 +95,13 @@ def cache_status(blocks: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def lookup_stats(blocks: DataFrame, cache: DataFrame, enabled: bool = True) -> DataFrame:
-    """Hits and misses per corpus; a disabled cache misses always."""
+    """Hits and misses per corpus; a disabled cache misses always. Equal keys are counted first."""
     keys = cache.select(F.col("key").alias("cache_key")).distinct().withColumn("found", F.lit(enabled))
     found = F.coalesce("found", F.lit(False))
-    return blocks.join(keys, "cache_key", "left").groupBy("corpus_id").agg(
-        F.count_if(found).alias("hits"), F.count_if(~found).alias("misses")
+    asked = blocks.groupBy("corpus_id", "cache_key").agg(F.count("*").alias("n"))
+    return asked.join(keys, "cache_key", "left").groupBy("corpus_id").agg(
+        F.sum(F.when(found, F.col("n")).otherwise(0)).alias("hits"),
+        F.sum(F.when(found, 0).otherwise(F.col("n"))).alias("misses"),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions.prompts import response_text
 from lectern.functions.text import short_hash
 from lectern.functions.validation import reason_message, validation_reason
+from lectern.operators.joins import spread_join
 from lectern.session import written
 
 LINE_PLACE = ("stream", "part_index", "line_no")
@@ -48,18 +49,18 @@ def judged_lines(work_items: DataFrame, cache: DataFrame, outputs: DataFrame, er
     because both the winners and the outcomes are read from them.
     """
     lines = all_lines(outputs, errors).withColumn("ord", F.struct(*LINE_PLACE))
-    firsts = lines.groupBy("custom_id").agg(F.min("ord").alias("first_ord"))
     items = work_items.select(
         "custom_id", "cache_key", "source_text", "source_hash", F.lit(True).alias("known")
     )
+    # Both sides hold one row per id, so the lines themselves meet one lookup only.
+    per_id = lines.groupBy("custom_id").agg(F.min("ord").alias("first_ord")).join(items, "custom_id", "left")
+    known = spread_join(lines, per_id, "custom_id", LINE_PLACE, "inner")
     stored = cache.select(F.col("key").alias("cache_key"), F.col("translated").alias("stored"))
     source = F.col("source_text")
     hash_ok = F.col("source_hash") == short_hash(source)
     answer = response_text(F.col("body"))
     placed = (
-        lines.join(firsts, "custom_id")
-        .join(items, "custom_id", "left")
-        .join(stored, "cache_key", "left")
+        spread_join(known, stored, "cache_key", LINE_PLACE)
         .withColumn("repeat", F.col("ord") != F.col("first_ord"))
         .withColumn("open", ~F.col("repeat") & F.col("known").isNotNull() & (F.col("stream") == 0))
         .withColumn("hash_ok", hash_ok)
@@ -109,7 +110,7 @@ def judged_lines(work_items: DataFrame, cache: DataFrame, outputs: DataFrame, er
         .otherwise("rejected")
     )
     return (
-        placed.join(winners, "cache_key", "left")
+        spread_join(placed, winners, "cache_key", LINE_PLACE)
         .withColumn("outcome", outcome)
         .withColumn(
             "message",

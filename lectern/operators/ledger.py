@@ -11,6 +11,7 @@ from lectern.config import LOCAL_REQUEST_BUDGET
 from lectern.functions import text
 from lectern.functions.formats import age_seconds, compact_age, hms
 from lectern.functions.validation import is_auth_error, reason_message
+from lectern.operators.joins import spread_join
 
 # States and what they count as.
 RETRY_STATES = ("failed", "rejected", "local_exhausted")
@@ -63,7 +64,7 @@ def top_items(work_items: DataFrame, priority: str, limit: int) -> DataFrame:
 
 def with_cache_flag(work_items: DataFrame, cache: DataFrame) -> DataFrame:
     keys = cache.select(F.col("key").alias("cache_key")).distinct().withColumn("in_cache", F.lit(True))
-    return work_items.join(keys, "cache_key", "left").withColumn(
+    return spread_join(work_items, keys, "cache_key", PLACE).withColumn(
         "in_cache", F.coalesce("in_cache", F.lit(False))
     )
 
@@ -201,11 +202,10 @@ def fill_local(work_items: DataFrame, cache: DataFrame, results: DataFrame, prio
         )
         flagged = flagged.join(F.broadcast(cut))
         pending = pending & F.coalesce(F.col("_key") <= F.col("_cut"), F.lit(False))
-    joined = flagged.join(
-        results.select("cache_key", *[F.col(c).alias(f"_{c}") for c in ("reason", "error", "requests")],
-                       F.lit(True).alias("_called")),
-        "cache_key", "left",
-    ).withColumn("_pending", pending)
+    called = results.select(
+        "cache_key", *[F.col(c).alias(f"_{c}") for c in ("reason", "error", "requests")], F.lit(True).alias("_called")
+    )
+    joined = spread_join(flagged, called, "cache_key", PLACE).withColumn("_pending", pending)
     source = F.col("source_text")
     failed = F.col("_reason").isNotNull() | F.col("_error").isNotNull()
     outcome = (

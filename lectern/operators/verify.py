@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.validation import reason_message, validation_reason
+from lectern.operators.joins import spread_join
 from lectern.operators.ledger import CACHE_BACKED_STATES
 
 # Finding texts.
@@ -21,19 +22,15 @@ PLACE = ["corpus_id", "page_index", "block_index"]
 def pages_to_verify(work_items: DataFrame, expected: DataFrame) -> DataFrame:
     """Expected items on pages the ledger mentions; all pages when it is empty."""
     pages = work_items.select("corpus_id", "page_index").distinct()
-    listed = work_items.select("corpus_id").distinct()
-    return expected.join(pages, ["corpus_id", "page_index"], "left_semi").unionByName(
-        expected.join(listed, "corpus_id", "left_anti")
+    corpora = pages.select("corpus_id").distinct()
+    return (
+        expected.join(pages.withColumn("_page", F.lit(True)), ["corpus_id", "page_index"], "left")
+        .join(corpora.withColumn("_corpus", F.lit(True)), "corpus_id", "left")
+        .filter(F.col("_page") | F.col("_corpus").isNull())
+        .drop("_page", "_corpus")
     )
 
 
-def last_per_place(work_items: DataFrame) -> DataFrame:
-    """Repeated locations: the last custom_id counts."""
-    value = [c for c in ("custom_id", *work_items.columns) if c not in PLACE]
-    value = list(dict.fromkeys(value))
-    return work_items.groupBy(*PLACE).agg(F.max(F.struct(*value)).alias("row")).select(*PLACE, "row.*")
-
-
 def verify_findings(expected: DataFrame, work_items: DataFrame, cache: DataFrame) -> DataFrame:
     """(finding, corpus_id, page_index, block_index, cache_key, reason) rows.
 
@@ -43,7 +40,7 @@ def verify_findings(expected: DataFrame, work_items: DataFrame, cache: DataFrame
     wanted = expected.select(*PLACE, *[F.col(c).alias(f"e_{c}") for c in COMPARED], F.lit(True).alias("in_e"))
     have = work_items.select(*PLACE, *COMPARED, "state", F.lit(True).alias("in_w"))
     stored = cache.select(F.col("key").alias("cache_key"), F.col("translated").alias("stored"))
-    joined = wanted.join(have, PLACE, "full").join(stored, "cache_key", "left")
+    joined = spread_join(wanted.join(have, PLACE, "full"), stored, "cache_key", PLACE)
     both = F.col("in_e") & F.col("in_w")
     stale = F.concat_ws(
         ", ", *[F.when(~F.col(c).eqNullSafe(F.col(f"e_{c}")), f"{c} changed") for c in COMPARED]

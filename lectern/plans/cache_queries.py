@@ -67,7 +67,7 @@ def cache_lookup(t: Tables) -> DataFrame:
 
 @query("cache_status", o.sql("SELECT doc_id, block_index, status, reason FROM status", "status"))
 def cache_status(t: Tables) -> DataFrame:
-    return cache_ops.cache_status(t.keyed(), t.cache()).select(*BLOCK_IDS, "status", "reason")
+    return cache_ops.cache_status(t.keyed(), t.cache(), BLOCK_IDS).select(*BLOCK_IDS, "status", "reason")
 
 
 @query("cache_conflicts", o.sql("""
@@ -266,7 +266,7 @@ UNCUT = EngineConfig(max_chars=0)
     (length({o.SYSTEM}) + 3) // 4 + (length({o.PROMPT}) + 3) // 4 AS i, (length(source_text) + 3) // 4 AS x FROM status)
   GROUP BY corpus_id""", "status"))
 def usage_estimate(t: Tables) -> DataFrame:
-    valid = cache_ops.cache_status(t.keyed(), t.cache()).filter("status = 'hit'")
+    valid = cache_ops.cache_status(t.keyed(), t.cache(), BLOCK_IDS).filter("status = 'hit'")
     return requests.usage_estimate(t.keyed(), t.glossary(), valid, UNCUT, BLOCK_IDS)
 
 
@@ -288,7 +288,7 @@ PROGRESS_SQL = """
 
 @query("progress_work", o.sql(PROGRESS_SQL, "status"))
 def progress_work(t: Tables) -> DataFrame:
-    return accounting.progress_work(cache_ops.cache_status(t.keyed(), t.cache()))
+    return accounting.progress_work(cache_ops.cache_status(t.keyed(), t.cache(), BLOCK_IDS))
 
 
 @query("eta", o.sql("""
@@ -314,7 +314,7 @@ def eta(t: Tables) -> DataFrame:
     count(*) FILTER (status <> 'hit') AS misses, count(*) FILTER (status <> 'hit' AND block_index % 2 = 0) AS writes
   FROM status GROUP BY corpus_id""", "status"))
 def run_stats(t: Tables) -> DataFrame:
-    status = cache_ops.cache_status(t.keyed(), t.cache())
+    status = cache_ops.cache_status(t.keyed(), t.cache(), BLOCK_IDS)
     added = status.filter("status <> 'hit' AND block_index % 2 = 0").select("corpus_id", "cache_key")
     return accounting.run_stats(status, added)
 

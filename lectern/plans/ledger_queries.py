@@ -476,9 +476,8 @@ def _findings_sql(body: str) -> str:
 
 
 def findings(t: Tables) -> DataFrame:
-    ledger_rows = verify.last_per_place(t.items())
-    wanted = verify.pages_to_verify(ledger_rows, t.expected_items())
-    return verify.verify_findings(wanted, ledger_rows, t.cache())
+    wanted = verify.pages_to_verify(t.items(), t.expected_items())
+    return verify.verify_findings(wanted, t.items(), t.cache())
 
 
 @query("verify_findings", _findings_sql("SELECT * FROM findings"))

@@ -10,7 +10,7 @@ from lectern.operators import assembly, cache as cache_ops, navigation, runs, sp
 from lectern.operators import blocks as block_ops
 from lectern.plans import oracle as o
 from lectern.plans.registry import query
-from lectern.plans.tables import CFG, Tables
+from lectern.plans.tables import BLOCK_IDS, CFG, Tables
 from lectern.sources import archives
 
 FIRST_PAGE, LAST_PAGE = 11, 500
@@ -169,7 +169,7 @@ def inline_restore(t: Tables) -> DataFrame:
 
 def assembled(t: Tables) -> DataFrame:
     blocks = t.keyed().withColumn("tag", F.lit("p")).withColumn("inline_map", line_map())
-    status = cache_ops.cache_status(blocks, t.cache())
+    status = cache_ops.cache_status(blocks, t.cache(), BLOCK_IDS)
     return assembly.assemble_pages(assembly.restored_blocks(status))
 
 

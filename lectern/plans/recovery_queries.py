@@ -12,7 +12,7 @@ from lectern.operators import recovery
 from lectern.plans import oracle as o
 from lectern.plans.markup_queries import _restored_sql, line_map
 from lectern.plans.registry import query
-from lectern.plans.tables import CFG, Tables
+from lectern.plans.tables import BLOCK_IDS, CFG, Tables
 from lectern.session import new_folder
 from lectern.sources import jsonl
 
@@ -88,7 +88,7 @@ def untranslated_report(t: Tables) -> DataFrame:
     WHEN status = 'miss' THEN 'cache_miss' ELSE 'original_output' END AS reason
   FROM (SELECT *, CASE WHEN status = 'hit' THEN {_restored_sql('translated')} END AS r FROM status)""", "status"))
 def kept_original_reasons(t: Tables) -> DataFrame:
-    status = cache_ops.cache_status(t.keyed(), t.cache())
+    status = cache_ops.cache_status(t.keyed(), t.cache(), BLOCK_IDS)
     usable = F.when(F.col("status") == "hit", F.col("translated"))
     reason = recovery.kept_original_reason(
         F.col("doc_id") % 3 == 0, F.col("translated"), markers.restore(usable, line_map())
