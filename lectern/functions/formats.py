@@ -20,7 +20,9 @@ RECOVERY_ACTIONS = {
 
 def human_bytes(size: Column) -> Column:
     def scaled(unit: str, power: int) -> Column:
-        return F.concat(F.format_string("%.2f", size / F.lit(float(1024**power))), F.lit(f" {unit}"))
+        # Two decimals, ties to even.
+        rounded = F.bround(size / F.lit(float(1024**power)), 2)
+        return F.concat(F.format_string("%.2f", rounded), F.lit(f" {unit}"))
 
     return (
         F.when(size >= 1024**3, scaled("GB", 3))

@@ -104,10 +104,10 @@ def glossary_subset(
         F.col("pos").cast("int").alias("pos"), strip(F.col("src")).alias("src"),
         strip(F.col("dst")).alias("dst"),
     ).filter((F.col("src") != "") & (F.col("dst") != ""))
-    few = usable.limit(max_broadcast + 1).collect()
+    few = usable.withColumn("low", F.lower("src")).limit(max_broadcast + 1).collect()
     if len(few) > max_broadcast:
         return _subset_by_grams(blocks, usable, ids)
-    rows = [dict(r.asDict(), low=r.src.lower()) for r in sorted(few, key=lambda r: r.pos)]
+    rows = [r.asDict() for r in sorted(few, key=lambda r: r.pos)]
     entries = F.from_json(
         F.lit(json.dumps(rows)), "array<struct<pos:int,src:string,dst:string,low:string>>"
     )
