@@ -34,11 +34,12 @@ def terms(text: Column) -> Column:
     Works on the row itself: a run of capitalised words is one match of a pattern
     without backtracking, so no word leaves its row and no shuffle is needed.
     """
-    separator, word = "[^A-Za-z0-9'-]", "'*+[A-Z][A-Z0-9'-]*+[a-z][A-Za-z0-9'-]*+"
+    word = "'*+[A-Z][A-Z0-9'-]*+[a-z][A-Za-z0-9'-]*+"
+    separator = "[^A-Za-z0-9'-]++"
     found = F.regexp_extract_all(
-        F.concat(F.lit(" "), text), F.lit(f"(?:{separator}++{word})++"), F.lit(0)
+        text, F.lit(f"(?<![A-Za-z0-9'-]){word}(?:{separator}{word})*+"), F.lit(0)
     )
-    runs = F.transform(found, lambda run: F.trim(F.regexp_replace(run, f"{separator}+", " ")))
+    runs = F.transform(found, lambda run: F.regexp_replace(run, separator, " "))
 
     def term(run: Column) -> Column:
         single = F.btrim(run, F.lit("'"))
