@@ -224,3 +224,28 @@ def test_formats(spark):
 def test_language_labels(spark, source, label):
     df = spark.createDataFrame([(source,)], "s string").select(*language.features(F.col("s")))
     assert df.select(language.label()).first()[0] in label.split("|")
+
+
+# Size
+
+
+def test_very_long_texts(spark):
+    """Whole texts of hundreds of kilobytes: no pattern may recurse per word or character."""
+    long_texts = {
+        "capitals": "Word " * 60_000, "letters": "a " * 100_000, "kana": "あa" * 80_000, "joined": "x" * 200_000,
+        "markers": "⟦E1⟧a⟦/E1⟧ " * 20_000, "tags": "<p>" + "x <b>y</b> " * 300 + "</p>",
+    }
+    df = spark.createDataFrame(list(long_texts.items()), "k string, t string")
+    t = F.col("t")
+    row = {
+        r.k: r for r in df.select(
+            "k", F.size(glossary.terms(t)).alias("terms"), text.at_least_words(t, 20).alias("words"),
+            text.reference_like(t).alias("ref"), F.size(chunking.chunks(t, 3500)).alias("chunks"),
+            validation.validation_reason(t, F.concat(F.lit("訳"), t)).alias("reason"),
+            F.length(markup.plain_text(t)).alias("plain"), F.size(markers.tokens(t)).alias("tokens"),
+            F.size(markup.block_pieces(t)).alias("blocks"),
+        ).collect()
+    }
+    assert row["capitals"].terms == 1 and row["capitals"].words and not row["letters"].words
+    assert row["joined"].chunks == -(-200_000 // 3500)
+    assert row["markers"].tokens == 4 * 20_000 and row["tags"].blocks == 1
