@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import collapse
+from lectern.functions.text import bound, collapse
 
 # Elements that hold one translatable block each.
 BLOCK_TAGS = (
@@ -106,67 +106,81 @@ def inline_pieces(body: Column) -> Column:
     return F.regexp_extract_all(body, F.lit(INLINE_PIECE), F.lit(0))
 
 
-def encode_inline(body: Column) -> Column:
-    """(source_text, inline_map): inline tags replaced by numbered markers.
+def _is_tag(piece: Column) -> Column:
+    return piece.rlike("^</?[a-zA-Z]")
+
+
+def _is_single(piece: Column) -> Column:
+    name = F.lower(F.regexp_extract(piece, r"^<([^\s/>]+)", 1))
+    return piece.endswith("/>") | name.isin(*VOID_TAGS)
+
+
+def _tag_numbers(pieces: Column) -> Column:
+    """Marker number of every piece, 0 for text.
 
-    An end tag takes the number of the nearest open tag of its name, or a new one.
+    Start tags and single tags count up from 1; an end tag takes the number of the
+    nearest open tag of its name, or a new one. The fold keeps numbers only; texts
+    and tags are put together afterwards.
     """
-    empty_stack = F.array().cast("array<struct<name:string,id:int>>")
-    empty_map = F.array().cast("array<struct<marker:string,tag:string>>")
     start = F.struct(
-        F.lit("").alias("text"),
         F.lit(1).alias("next"),
-        empty_stack.alias("stack"),
-        empty_map.alias("map"),
+        F.array().cast("array<struct<name:string,id:int>>").alias("open"),
+        F.array().cast("array<int>").alias("ids"),
     )
 
     def step(state: Column, piece: Column) -> Column:
         name = F.lower(F.regexp_extract(piece, r"^</?([^\s/>]+)", 1))
-        is_tag = piece.rlike("^</?[a-zA-Z]")
-        hidden = piece.rlike("^<[!?]")
         closing = piece.startswith("</")
-        single = piece.endswith("/>") | name.isin(*VOID_TAGS)
-        stack = state["stack"]
-        same = F.filter(stack, lambda s: s["name"] == name)
-        match = F.when(F.size(same) > 0, F.element_at(same, -1)["id"])
-        ident = F.when(closing, F.coalesce(match, state["next"])).otherwise(state["next"])
-        fresh = ~closing | match.isNull()
-        marker = F.concat(
-            F.lit("⟦"),
-            F.when(closing, "/E").when(single, "S").otherwise("E"),
-            ident.cast("string"),
-            F.lit("⟧"),
-        )
-        new_stack = (
-            F.when(closing, F.filter(stack, lambda s: s["id"] != ident))
-            .when(single, stack)
-            .otherwise(F.array_append(stack, F.struct(name.alias("name"), ident.alias("id"))))
+        same = F.filter(state["open"], lambda o: o["name"] == name)
+        match = F.when(closing & (F.size(same) > 0), F.element_at(same, -1)["id"])
+        number = F.coalesce(match, state["next"])
+        still_open = (
+            F.when(match.isNotNull(), F.filter(state["open"], lambda o: o["id"] != match))
+            .when(closing | _is_single(piece), state["open"])
+            .otherwise(F.array_append(state["open"], F.struct(name.alias("name"), number.alias("id"))))
         )
         tagged = F.struct(
-            F.concat(state["text"], marker).alias("text"),
-            F.when(fresh, state["next"] + 1).otherwise(state["next"]).alias("next"),
-            new_stack.alias("stack"),
-            F.array_append(
-                state["map"], F.struct(marker.alias("marker"), piece.alias("tag"))
-            ).alias("map"),
+            F.when(match.isNull(), state["next"] + 1).otherwise(state["next"]).alias("next"),
+            still_open.alias("open"),
+            F.array_append(state["ids"], number).alias("ids"),
         )
         plain = F.struct(
-            F.concat(state["text"], F.when(hidden, "").otherwise(piece)).alias("text"),
             state["next"].alias("next"),
-            stack.alias("stack"),
-            state["map"].alias("map"),
+            state["open"].alias("open"),
+            F.array_append(state["ids"], F.lit(0)).alias("ids"),
+        )
+        return F.when(_is_tag(piece), tagged).otherwise(plain)
+
+    return F.aggregate(pieces, start, step, lambda state: state["ids"])
+
+
+def encode_inline(body: Column) -> Column:
+    """(source_text, inline_map): inline tags replaced by numbered markers."""
+    empty_map = F.array().cast("array<struct<marker:string,tag:string>>")
+
+    def marked(piece: Column, number: Column) -> Column:
+        kind = F.when(piece.startswith("</"), "/E").when(_is_single(piece), "S").otherwise("E")
+        return F.struct(
+            F.when(number > 0, F.concat(F.lit("⟦"), kind, number.cast("string"), F.lit("⟧"))).alias("marker"),
+            piece.alias("tag"),
         )
-        return F.when(is_tag, tagged).otherwise(plain)
 
-    def finish(state: Column) -> Column:
+    def put_together(entries: Column) -> Column:
+        shown = F.transform(
+            entries,
+            lambda e: F.when(e["marker"].isNotNull(), e["marker"])
+            .when(e["tag"].rlike("^<[!?]"), "")
+            .otherwise(e["tag"]),
+        )
         return F.struct(
-            collapse(decode_entities(state["text"])).alias("source_text"),
-            state["map"].alias("inline_map"),
+            collapse(decode_entities(F.array_join(shown, ""))).alias("source_text"),
+            F.filter(entries, lambda e: e["marker"].isNotNull()).alias("inline_map"),
         )
 
+    encoded = bound(
+        bound(inline_pieces(body), lambda pieces: F.zip_with(pieces, _tag_numbers(pieces), marked)), put_together
+    )
     plain_only = F.struct(
         collapse(decode_entities(body)).alias("source_text"), empty_map.alias("inline_map")
     )
-    return F.when(~body.contains("<"), plain_only).otherwise(
-        F.aggregate(inline_pieces(body), start, step, finish)
-    )
+    return F.when(~body.contains("<"), plain_only).otherwise(encoded)

@@ -37,7 +37,7 @@ def validated(cache: DataFrame, sources: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("seq", "at")).alias("first"))
         .select("key", "first.seq", "translated", "provider", "model", "first.at")
     )
-    joined = variants.join(sources, "key", "left")
+    joined = spread_join(variants, sources, "key", ["seq"], hot_from=cache)
     reason = F.when(
         F.col("source_text").isNotNull(),
         cached_reason(F.col("source_text"), F.col("translated"), F.col("provider"), F.col("model")),

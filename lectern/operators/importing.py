@@ -60,7 +60,7 @@ def judged_lines(work_items: DataFrame, cache: DataFrame, outputs: DataFrame, er
     hash_ok = F.col("source_hash") == short_hash(source)
     answer = response_text(F.col("body"))
     placed = (
-        spread_join(known, stored, "cache_key", LINE_PLACE)
+        spread_join(known, stored, "cache_key", LINE_PLACE, hot_from=work_items)
         .withColumn("repeat", F.col("ord") != F.col("first_ord"))
         .withColumn("open", ~F.col("repeat") & F.col("known").isNotNull() & (F.col("stream") == 0))
         .withColumn("hash_ok", hash_ok)

@@ -25,14 +25,15 @@ def hot_values(rows: DataFrame, key: str, least: int = HOT_ROWS) -> list:
 
 
 def spread_join(rows: DataFrame, lookup: DataFrame, key: str, spread_by: Sequence[str],
-                how: str = "left", least: int = HOT_ROWS) -> DataFrame:
+                how: str = "left", least: int = HOT_ROWS, hot_from: DataFrame | None = None) -> DataFrame:
     """``rows`` joined to a lookup with one row per key.
 
     Rows of hot keys are spread over salts by the hash of ``spread_by`` (so a retried
     task gives every row the same salt), and only the lookup rows of those few keys
-    are repeated per salt. Rows without a key are spread as well.
+    are repeated per salt. Rows without a key are spread as well. ``hot_from`` names a
+    stored table with the same key, where ``rows`` themselves would be computed twice.
     """
-    hot = hot_values(rows, key, least)
+    hot = hot_values(rows if hot_from is None else hot_from, key, least)
     if not hot:
         return rows.join(lookup, key, how)
     spread = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")

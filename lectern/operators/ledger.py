@@ -205,7 +205,7 @@ def fill_local(work_items: DataFrame, cache: DataFrame, results: DataFrame, prio
     called = results.select(
         "cache_key", *[F.col(c).alias(f"_{c}") for c in ("reason", "error", "requests")], F.lit(True).alias("_called")
     )
-    joined = spread_join(flagged, called, "cache_key", PLACE).withColumn("_pending", pending)
+    joined = spread_join(flagged, called, "cache_key", PLACE, hot_from=work_items).withColumn("_pending", pending)
     source = F.col("source_text")
     failed = F.col("_reason").isNotNull() | F.col("_error").isNotNull()
     outcome = (

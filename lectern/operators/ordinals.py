@@ -39,9 +39,11 @@ def running_sums(
     local = rows.select(
         "*", *[F.sum(value).over(inside).alias(f"_l_{name}") for name, value in sums.items()]
     )
-    joined = local.join(offsets, [*keys, "_bucket"])
+    here, there = local.alias("here"), offsets.alias("there")
+    same = [F.col(f"here.{k}").eqNullSafe(F.col(f"there.{k}")) for k in (*keys, "_bucket")]
+    joined = here.join(there, same)
     return joined.select(
-        *[joined[c] for c in df.columns],
+        *[F.col(f"here.{c}") for c in df.columns],
         *[(F.col(f"_l_{name}") + F.col(f"_o_{name}")).cast("long").alias(name) for name in sums],
     )
 

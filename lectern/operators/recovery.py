@@ -11,6 +11,7 @@ from lectern.config import EngineConfig
 from lectern.functions.formats import suggested_action
 from lectern.functions.text import preview, short_hash, strip
 from lectern.functions.validation import is_auth_error, suspicion
+from lectern.operators.joins import spread_join
 from lectern.operators.ordinals import dense_numbers
 
 PLACE = ["corpus_id", "page_no", "block_index"]
@@ -116,7 +117,8 @@ def recover_outcome(log: DataFrame, cache: DataFrame, results: DataFrame) -> Dat
     tried = results.select(
         "cache_key", F.col("reason").alias("_reason"), F.col("error").alias("_error"), F.lit(True).alias("_tried")
     )
-    joined = log.join(keys, "cache_key", "left").join(tried, "cache_key", "left")
+    # Both lookups hold one row per key; joined first, they meet the log once.
+    joined = spread_join(log, keys.join(tried, "cache_key", "full"), "cache_key", ["input", "page_no", "block_index"])
     succeeded = F.col("_tried") & F.col("_reason").isNull() & F.col("_error").isNull()
     outcome = (
         F.when(F.col("source_hash") != short_hash(F.col("source_text")), "unrecoverable")

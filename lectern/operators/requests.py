@@ -15,6 +15,7 @@ from lectern.functions.validation import (
 )
 from lectern.operators.chunking import chunk_texts
 from lectern.operators.glossary import glossary_subset
+from lectern.operators.joins import spread_join
 from lectern.session import written
 
 def with_cache_key(blocks: DataFrame, cfg: EngineConfig) -> DataFrame:
@@ -72,7 +73,11 @@ def request_rows(keyed: DataFrame, cfg: EngineConfig) -> DataFrame:
 
 
 def uncached(keyed: DataFrame, cache: DataFrame) -> DataFrame:
-    """Blocks without a valid cache row. ``cache`` holds one row per key."""
+    """Blocks without a valid cache row. ``cache`` holds one row per key.
+
+    The keys are computed in the same job, so a hot key is left to the adaptive skew
+    join, which can split this one: nothing after it asks for the partitioning.
+    """
     hits = cache.select(F.col("key").alias("cache_key"), F.col("translated").alias("_cached"))
     reason = validation_reason(F.col("source_text"), F.col("_cached"))
     return (
@@ -182,7 +187,7 @@ def usage_estimate(blocks: DataFrame, glossary: DataFrame, valid_keys: DataFrame
     that the cache answers.
     """
     hits = valid_keys.select("cache_key").distinct().withColumn("cached", F.lit(True))
-    base = blocks.join(hits, "cache_key", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
+    base = spread_join(blocks, hits, "cache_key", ids).withColumn("cached", F.coalesce("cached", F.lit(False)))
     chars = F.length("source_text")
     totals = base.groupBy("corpus_id").agg(
         F.count_distinct("page_no").alias("pages"),

@@ -40,7 +40,7 @@ def verify_findings(expected: DataFrame, work_items: DataFrame, cache: DataFrame
     wanted = expected.select(*PLACE, *[F.col(c).alias(f"e_{c}") for c in COMPARED], F.lit(True).alias("in_e"))
     have = work_items.select(*PLACE, *COMPARED, "state", F.lit(True).alias("in_w"))
     stored = cache.select(F.col("key").alias("cache_key"), F.col("translated").alias("stored"))
-    joined = spread_join(wanted.join(have, PLACE, "full"), stored, "cache_key", PLACE)
+    joined = spread_join(wanted.join(have, PLACE, "full"), stored, "cache_key", PLACE, hot_from=work_items)
     both = F.col("in_e") & F.col("in_w")
     stale = F.concat_ws(
         ", ", *[F.when(~F.col(c).eqNullSafe(F.col(f"e_{c}")), f"{c} changed") for c in COMPARED]
