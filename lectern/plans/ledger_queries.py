@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import short_hash
 from lectern.operators import importing, ledger, packing, parts, requests, verify
-from lectern.operators import runs
 from lectern.plans import oracle as o
 from lectern.plans.registry import query
 from lectern.plans.tables import BLOCK_IDS, CFG, NOW, PART_ROWS, Tables

@@ -11,9 +11,7 @@ from lectern.config import KEY_NAMESPACE, PROMPT_VERSION
 from lectern.functions.markup import BLOCK_TAGS, CODE_TAGS, POPUP_PREFIX, VOID_TAGS
 from lectern.functions.prompts import system_prompt
 from lectern.functions.text import LINK_HINTS, MONTHS, SENTENCE_TERMINALS
-from lectern.functions.validation import (
-    PASSTHROUGH, PROMPT_TAGS, REASON_MESSAGES, REFUSALS_EN, REFUSALS_JA,
-)
+from lectern.functions.validation import PROMPT_TAGS, REASON_MESSAGES, REFUSALS_EN, REFUSALS_JA
 from lectern.operators.glossary import FRONT_MATTER, SENTENCE_STARTERS
 from lectern.plans.tables import (
     AT, CFG, GLOSSARY_TERMS, ITEM_STATES, KANA_LETTERS, LATIN_LETTERS, PART_ROWS, PART_STATUSES,

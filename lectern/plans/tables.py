@@ -20,7 +20,7 @@ from lectern.operators import requests as request_ops
 from lectern.operators.cache import first_rows
 from lectern.operators.packing import numbered_requests, pack_by_count, parts_table
 from lectern.operators.recovery import recovery_rows
-from lectern.session import new_folder
+from lectern.session import exists, new_folder
 
 CFG = EngineConfig()
 NOW = "2026-01-02T00:00:00Z"
@@ -65,7 +65,7 @@ class Tables:
 
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in _stored:
+        if key not in _stored or not exists(self.spark, _stored[key]):
             path = new_folder(self.spark, f"table-{name}")
             build().write.mode("overwrite").parquet(path)
             _stored[key] = path

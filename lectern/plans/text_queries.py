@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lectern.config import EngineConfig
 from lectern.functions import formats, language, markers, prompts, text, validation
-from lectern.operators import blocks as block_ops
 from lectern.operators import cache as cache_ops
 from lectern.operators import chunking, glossary, requests, spine
 from lectern.plans import oracle as o

@@ -46,6 +46,13 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder at this path of the cluster's file system?"""
+    jvm = spark._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage by writing the rows to the shared folder and reading them back."""
     spark = df.sparkSession

@@ -7,12 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import strip
 from lectern.schemas import GLOSSARY_FILE
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+from lectern.session import exists
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, quarantine: bool = False) -> DataFrame:
@@ -28,7 +23,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, quarantine: bool = F
 
 def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A single JSON document, or no row when the file is missing."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
@@ -47,7 +42,7 @@ def write_if_any(df: DataFrame, path: str) -> bool:
 
 def count_lines(spark: SparkSession, path: str) -> DataFrame:
     """One row with the number of non-blank lines; a missing file counts zero."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.range(1).select(F.lit(0).cast("long").alias("lines"))
     return spark.read.text(path).filter(strip(F.col("value")) != "").agg(F.count("*").alias("lines"))
 
