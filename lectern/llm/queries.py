@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import mixing, rules, secrets
+from lectern.llm import mixing, packing, records, rules, secrets, warc
 from lectern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,23 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+@query("op3_warc_normalise")
+def op3_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_pack_sequences")
+def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op6_binary_records")
+def op6_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = records.write_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return records.read_records(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query("op8_mix_sources", mixing.MIX_SQL)
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
