@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import mixing, packing, records, rules, secrets, warc
+from lectern.llm import mixing, neighbours, packing, records, rules, secrets, warc
 from lectern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,11 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op9_embedding_neighbours")
+def op9_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op10_quality_rules", rules.RULES_SQL)
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents")).select(
