@@ -37,8 +37,7 @@ COUNTERS_LOG2, BLOCKS_LOG2 = 20, 6
 LEAST_AGREEMENT = 0.5
 CROWDED = 2_000
 KEPT_WORDS = 800_000
-TABLE_LOG2 = 12
-SEED = 77
+WEIGHT_STEPS = 32
 
 _word_hashes: dict[bytes, int] = {}
 
@@ -122,40 +121,63 @@ def weighted(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hashed, counts * idf[_counter_of(hashed)]
 
 
-def _sampling_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r and c by the Gamma(2, 1) quantiles and beta by the uniform ones, over 2 ** TABLE_LOG2 steps each."""
-    steps = 1 << TABLE_LOG2
-    u = (np.arange(steps) + 0.5) / steps
-    grid = np.linspace(0, 40, 400_001)
-    cdf = 1 - np.exp(-grid) * (1 + grid)
-    gamma = np.interp(u, cdf, grid)
-    return gamma.astype(np.float32), np.log(gamma).astype(np.float32), u.astype(np.float32)
+class _Sampler:
+    """Tables for drawing: hash bits pick a quantile of c (Gamma(2, 1)), and jointly of r (Gamma(2, 1)) and beta.
 
+    A weight enters by its logarithm, rounded to ``1 / WEIGHT_STEPS``; for each rounded weight
+    that occurs, a row holds r (level - beta + 1) for all (r, beta), so a draw is two look-ups.
+    """
 
-_tables = None
+    C_BITS, R_BITS, BETA_BITS = 16, 7, 7
+
+    def __init__(self):
+        grid = np.linspace(0, 40, 400_001)
+        cdf = 1 - np.exp(-grid) * (1 + grid)
+
+        def quantiles(bits: int) -> np.ndarray:
+            return (np.arange(1 << bits) + 0.5) / (1 << bits)
+
+        self.log_c = np.log(np.interp(quantiles(self.C_BITS), cdf, grid)).astype(np.float32)
+        self.r = np.repeat(np.interp(quantiles(self.R_BITS), cdf, grid), 1 << self.BETA_BITS)
+        self.beta = np.tile(quantiles(self.BETA_BITS), 1 << self.R_BITS)
+        self.rows: dict[int, int] = {}
+        self.steps = np.empty((0, len(self.r)), np.float32)
+
+    def row_of(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rounded logarithms and their rows."""
+        rounded = np.rint(np.log(weights) * WEIGHT_STEPS).astype(np.int64)
+        found, back = np.unique(rounded, return_inverse=True)
+        for value in found.tolist():
+            if value not in self.rows:
+                self.rows[value] = len(self.steps)
+                level = np.floor(value / WEIGHT_STEPS / self.r + self.beta)
+                self.steps = np.vstack([self.steps, (self.r * (level - self.beta + 1)).astype(np.float32)])
+        return rounded, np.asarray([self.rows[v] for v in found.tolist()])[back]
+
+    def draw(self, hashed: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        rounded, row = self.row_of(weights)
+        salts = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        x = ((hashed ^ hashed >> np.uint64(32)).astype(np.uint32)[None, :] ^ salts[:, None]) * np.uint32(0x85EBCA6B)
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0xC2B2AE35)
+        x ^= x >> np.uint32(16)
+        of_c = (x & np.uint32((1 << self.C_BITS) - 1)).astype(np.intp)
+        of_r = (x >> np.uint32(32 - self.R_BITS - self.BETA_BITS)).astype(np.intp)
+        of_r += row * len(self.r)
+        at = np.argmin(self.log_c.take(of_c) - self.steps.ravel().take(of_r), axis=1)
+        pair = of_r[np.arange(n), at] % len(self.r)
+        level = np.floor(rounded[at] / WEIGHT_STEPS / self.r[pair] + self.beta[pair]).astype(np.int64)
+        return hashed[at] * np.uint64(0x9E3779B97F4A7C15) ^ level.view(np.uint64)
+
+
+_samplers: list[_Sampler] = []
 
 
 def draws(hashed: np.ndarray, weights: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
     """One consistent weighted sample per hash function, as 64-bit numbers (element and level)."""
-    global _tables
-    if _tables is None:
-        _tables = _sampling_tables()
-    gamma, log_gamma, uniform = _tables
-    mask = np.uint64((1 << TABLE_LOG2) - 1)
-    log_w = np.log(weights).astype(np.float32)
-    elements, levels = np.empty(n, np.uint64), np.empty(n, np.int64)
-    for k in range(n):
-        mixed = (hashed ^ np.uint64((k + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)) * np.uint64(0xFF51AFD7ED558CCD)
-        mixed ^= mixed >> np.uint64(32)
-        r = gamma[(mixed & mask).astype(np.int64)]
-        beta = uniform[(mixed >> np.uint64(TABLE_LOG2) & mask).astype(np.int64)]
-        # The lower bits pick the steps; the upper ones, as a fine uniform number, spread ties of c within its step.
-        log_c = log_gamma[(mixed >> np.uint64(2 * TABLE_LOG2) & mask).astype(np.int64)]
-        fine = (mixed >> np.uint64(40)).astype(np.float32) * np.float32(1e-7 / (1 << 24))
-        level = np.floor(log_w / r + beta)
-        at = int(np.argmin(log_c - r * (level - beta + 1) + fine))
-        elements[k], levels[k] = hashed[at], level[at]
-    return elements * np.uint64(0x9E3779B97F4A7C15) ^ levels.view(np.uint64)
+    if not _samplers:
+        _samplers.append(_Sampler())
+    return _samplers[0].draw(hashed, weights, n)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
