@@ -54,8 +54,8 @@ class Encoder:
         """Ids of chunks that the cache lacks, put into the cache while there is room."""
         cut = {c: m.groups() for c in chunks if (m := _WORD_AND_MARKS.fullmatch(c))}
         single = [c for c in chunks if c not in cut]
-        words = {w for w, _ in cut.values()} - cache.keys()
-        marks = {m for _, m in cut.values()} - self.first.keys()
+        words = {w for w, _ in cut.values() if w not in cache}
+        marks = {m for _, m in cut.values() if m not in self.first}
         wanted = list({*single, *words})
         found = dict(zip(wanted, self._ids([prefix + c for c in wanted])))
         if marks:
