@@ -59,9 +59,11 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST,
-        seed: str = SEED, key_digits: int = KEY_DIGITS) -> DataFrame:
+        seed: str = SEED, key_digits: int = KEY_DIGITS, carried: Sequence[str] = ()) -> DataFrame:
     """(doc_id, text, source) -> (doc_id, source, size, source_size, target, taken), a row per row.
 
+    With ``carried`` columns, these go along as a struct of that name.
+
     ``taken`` counts the words the mix takes from the document over all epochs; the document
     at the cut gives only the words that are left of the budget. A null text has size 0, a
     null source is a source of its own and comes last, a null id is hashed as no text.
@@ -72,13 +74,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     One source may hold most rows: its rows spread over 16 ** ``key_digits`` key ranges, and
     only the totals of those ranges meet in one window.
     """
-    sized = written(
-        docs.select(
-            "doc_id", "source", word_count().alias("size"),
-            F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")).cast("binary")).alias("_key"),
-        ).withColumn("_range", F.substring("_key", 1, key_digits)),
-        "mix-sizes",
-    )
+    rows = docs.select(
+        "doc_id", "source", word_count().alias("size"),
+        F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")).cast("binary")).alias("_key"),
+        *([F.struct(*[F.col(f"`{c}`") for c in carried]).alias("carried")] if carried else []),
+    ).withColumn("_range", F.substring("_key", 1, key_digits))
+    sized = written(rows.drop("carried"), "mix-sizes")
     ranges = sized.groupBy("source", "_range").agg(F.sum("size").alias("_range_size"))
     earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.withColumn("_offset", F.coalesce(F.sum("_range_size").over(earlier), F.lit(0)))
@@ -89,14 +90,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     ).select(F.col("o.source").alias("_s"), F.col("_range").alias("_r"), "_offset", "source_size", "target")
     inside = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(
         Window.unboundedPreceding, -1)
-    placed = sized.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = (rows if carried else sized).withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = placed.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size")
     cut = F.least(F.greatest(rest - (F.col("_offset") + F.col("_inside")), F.lit(0)), F.col("size"))
     return joined.select("doc_id", "source", "size", "source_size", "target",
-                         (epochs * F.col("size") + cut).cast("long").alias("taken"))
+                         (epochs * F.col("size") + cut).cast("long").alias("taken"), *(["carried"] if carried else []))
 
 
 # The same rules for DuckDB.
