@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +52,13 @@ def shipped(spark: SparkSession, value: object) -> Callable[[], object]:
         return cell[0]
 
     return get
+
+
+def as_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+    """Batches as a list per column. Whole numbers beside nulls stay whole, which they would not in pandas."""
+    for batch in batches:
+        yield batch.to_pydict()
+
+
+def as_batch(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(columns, schema=schema)

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
@@ -243,14 +244,16 @@ def with_language(docs: DataFrame, network: ByteNetwork | None, prediction: str
     key = "language:" + hashlib.sha256(pickle.dumps(network)).hexdigest()
     kept = [c for c in docs.columns if c not in (prediction, score)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf[prediction], pdf[score] = predictions(get(), list(pdf["text"]), key)
-            yield pdf
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, scores = predictions(get(), batch.column("text").to_pylist(), key)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                names=[*batch.schema.names, prediction, score])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = StructType(rows.schema.fields + [StructField(prediction, StringType()), StructField(score, DoubleType())])
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def language_report(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> DataFrame:

@@ -10,8 +10,7 @@ Improved consistent weighted sampling draws from each set, per hash function, an
 and a quantised weight such that two sets draw the same with probability equal to their
 weighted Jaccard similarity. Bands of draws are bucket keys. Classes of a bucket are first
 compared with one leader only; after the links found so far have been joined to components,
-only pairs of a bucket that are still in different components, and whose draws agree often
-enough, are compared. Every link rests on the exact weighted Jaccard similarity.
+only members of a bucket that are still in different components are compared. Every link rests on the exact weighted Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -21,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import shipped, whole_text
+from lectern.llm.common import as_batch, as_lists, shipped, whole_text
 from lectern.llm.components import components
 from lectern.session import written
 
@@ -39,6 +39,8 @@ CROWDED = 2_000
 KEPT_WORDS = 800_000
 WEIGHT_STEPS = 32
 
+DRAWN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("draws", pa.binary())])
+
 _word_hashes: dict[bytes, int] = {}
 
 
@@ -189,13 +191,13 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _signatures(get_idf):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lists in as_lists(batches):
             made = []
-            for text in pdf.pop("text"):
+            for text in lists.pop("text"):
                 hashed, weights = weighted(text, get_idf())
                 made.append(draws(hashed, weights).tobytes() if len(hashed) else b"")
-            yield pdf.assign(draws=made)
+            yield as_batch(lists | {"draws": made}, DRAWN_SCHEMA)
     return run
 
 
@@ -245,22 +247,39 @@ def _agreeing(least: int):
     return run
 
 
-def _across(least: int):
-    """Pairs of one block that lie in different components and agree in enough draws.
+def _across(get_idf, least: float):
+    """Links that join the components of one block.
 
-    Every such pair has a member outside the block's largest component, so only those are walked.
+    Every pair of different components has a member outside the block's largest one. Each
+    such member is compared with all others at once: its weights are laid out over the
+    block's shingles, and the others' shares in them are summed per set. Of the members of
+    a component that it links with, one link is kept, so a block gives fewer links than it
+    has members.
     """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = np.frombuffer(b"".join(pdf["draws"]), np.uint64).reshape(len(pdf), -1)
-        rep, component = pdf["rep"].to_numpy(), pdf["component"].to_numpy()
-        names, sizes = np.unique(component, return_counts=True)
-        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i in np.nonzero(component != names[sizes.argmax()])[0]:
-            other = np.nonzero(component != component[i])[0]
-            other = other[(made[other] == made[i]).sum(1) >= least]
-            us.append(np.maximum(rep[other], rep[i]))
-            vs.append(np.minimum(rep[other], rep[i]))
-        return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)}).drop_duplicates()
+        hashed = [np.frombuffer(h, np.uint64) for h in pdf["hashed"]]
+        every = np.concatenate(hashed)
+        weights = np.frombuffer(b"".join(pdf["counts"]), "<u4") * get_idf()[_counter_of(every)]
+        names, place = np.unique(every, return_inverse=True)
+        ends = np.cumsum([len(h) for h in hashed])
+        starts = ends - [len(h) for h in hashed]
+        sums = np.add.reduceat(weights, starts, dtype=np.float64)
+        rep, labels = pdf["rep"].to_numpy(), pdf["component"].to_numpy().copy()
+        values, sizes = np.unique(labels, return_counts=True)
+        laid = np.zeros(len(names), np.float32)
+        us, vs = [], []
+        for i in np.flatnonzero(labels != values[sizes.argmax()]):
+            own = slice(starts[i], ends[i])
+            laid[place[own]] = weights[own]
+            shared = np.add.reduceat(np.minimum(laid[place], weights), starts, dtype=np.float64)
+            laid[place[own]] = 0
+            alike = np.flatnonzero((shared >= least * (sums + sums[i] - shared)) & (labels != labels[i]))
+            for label in np.unique(labels[alike]):
+                j = alike[labels[alike] == label][0]
+                us.append(max(rep[i], rep[j]))
+                vs.append(min(rep[i], rep[j]))
+                labels[labels == label] = labels[i]
+        return pd.DataFrame({"u": us, "v": vs}, dtype="int64")
     return run
 
 
@@ -280,7 +299,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, least_agreement:
     keyed = docs.select("doc_id", whole_text().alias("text"))
     n, counters = document_frequencies(keyed.select("text"))
     get_idf = shipped(spark, idf_table(n, counters))
-    rows = written(keyed.withColumn("digest", F.md5(F.col("text").cast("binary"))).mapInPandas(
+    rows = written(keyed.withColumn("digest", F.md5(F.col("text").cast("binary"))).mapInArrow(
         _signatures(get_idf), "doc_id long, digest string, draws binary"), "draws")
     classes = written(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "text-classes")
 
@@ -313,8 +332,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, least_agreement:
         "component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(
         "a <> b").select("bucket")
-    second = verified(_blocks(placed.join(mixed, "bucket").join(signed.select("rep", "draws"), "rep")).groupBy(
-        "bucket", "block").applyInPandas(_across(enough), "u long, v long"))
+    blocks = _blocks(placed.join(mixed, "bucket").join(signed.select("rep", "draws"), "rep"))
+    second = written(blocks.join(sets, "rep").groupBy("bucket", "block").applyInPandas(
+        _across(get_idf, least), "u long, v long"), "links")
     named = components(first.union(second))
     final = classes.join(named.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", "copies", F.coalesce("component", "rep").alias("class_id"))
@@ -335,6 +355,7 @@ def _blocks(members: DataFrame) -> DataFrame:
                 continue
             made = np.frombuffer(b"".join(pdf["draws"]), np.uint64).reshape(len(pdf), BANDS * ROWS)
             length = np.where(pdf["n"] > CROWDED, 1 + np.log2(pdf["n"] / CROWDED).clip(0) // 3, 0).astype(int)
+            pdf = pdf[["bucket", "rep", "component"]]
             yield pdf[length == 0].assign(block=np.int64(0))
             for size in set(length) - {0}:
                 part, own = pdf[length == size], made[length == size]
@@ -346,4 +367,4 @@ def _blocks(members: DataFrame) -> DataFrame:
                     yield part.assign(block=key.view(np.int64))
 
     return members.select("bucket", "n", "rep", "component", "draws").mapInPandas(
-        finer, "bucket long, n long, rep long, component long, draws binary, block long")
+        finer, "bucket long, rep long, component long, block long")

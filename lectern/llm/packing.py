@@ -15,13 +15,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import tokens
-from lectern.llm.common import shipped
+from lectern.llm.common import as_batch, as_lists, shipped
 from lectern.session import written
 
 CAPACITY = 4096
@@ -29,6 +29,8 @@ PIECE = 512
 GROUP_WINDOWS = 256
 
 PIECES = ("piece_id long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+PIECE_SCHEMA = pa.schema([*[(c, pa.int64()) for c in ("piece_id", "doc_id", "start", "length", "ids_crc32", "doc_tokens")],
+                          ("ids", pa.binary())])
 PLACED = ("piece_id long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 
@@ -110,20 +112,21 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     """
     get_spec = shipped(docs.sparkSession, tokens.spec_of(tokenizer_path))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
-        names = [c.split()[0] for c in PIECES.split(", ")]
-        for pdf in batches:
-            rows = []
-            for doc_id, ids in zip(pdf["doc_id"], tokens.encoded(get_spec(), pdf["text"], end_id)):
+        for lists in as_lists(batches):
+            out: dict[str, list] = {name: [] for name in PIECE_SCHEMA.names}
+            for doc_id, ids in zip(lists["doc_id"], tokens.encoded(get_spec(), lists["text"], end_id)):
                 wide = ids.astype("<u4")
                 for start, length in cuts(len(ids), capacity, piece):
-                    rows.append((number, doc_id, start, length, zlib.crc32(wide[start:start + length].tobytes()),
-                                 len(ids), ids[start:start + length].tobytes()))
+                    row = (number, doc_id, start, length, zlib.crc32(wide[start:start + length].tobytes()), len(ids),
+                           ids[start:start + length].tobytes())
+                    for column, value in zip(out.values(), row):
+                        column.append(value)
                     number += 1
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+            yield as_batch(out, PIECE_SCHEMA)
 
-    return written(docs.select("doc_id", "text").mapInPandas(cut, PIECES), "pieces")
+    return written(docs.select("doc_id", "text").mapInArrow(cut, PIECES), "pieces")
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY, group_windows: int = GROUP_WINDOWS) -> DataFrame:
@@ -136,20 +139,24 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, group_windows: int = GROU
     groups = max(1, round(total / (capacity * group_windows)))
     names = [c.split()[0] for c in PLACED.split(", ")]
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("piece_id", kind="stable").reset_index(drop=True)
-        sizes = pdf["length"].to_numpy(np.int64)
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by("piece_id")
+        sizes = group["length"].to_numpy()
         full = sizes == capacity
         window = np.empty(len(sizes), np.int64)
         window[~full] = balanced(sizes[~full], capacity)
         base = window[~full].max() + 1 if (~full).any() else 0
         window[full] = base + np.arange(full.sum())
-        pdf["sequence_id"] = (pdf["_group"].to_numpy(np.int64) << 24) + window
-        pdf["offset"] = pdf.groupby("sequence_id")["length"].cumsum() - pdf["length"]
-        return pdf[names]
-
-    dealt = pieces.drop("ids").withColumn("_group", F.pmod(F.xxhash64("piece_id"), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(pack, PLACED)
+        order = np.argsort(window, kind="stable")
+        before = np.cumsum(sizes[order]) - sizes[order]
+        first = np.r_[True, window[order][1:] != window[order][:-1]]
+        offset = np.empty(len(sizes), np.int64)
+        offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
+        placed = group.append_column("sequence_id", pa.array((group["_group"].to_numpy() << 24) + window))
+        return placed.append_column("offset", pa.array(offset)).select(names)
+
+    dealt = pieces.drop("ids").withColumn("_group", F.pmod(F.xxhash64("piece_id"), F.lit(groups)).cast("long"))
+    return dealt.groupBy("_group").applyInArrow(pack, PLACED)
 
 
 def sequences(pieces: DataFrame, placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -16,12 +16,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import files, tokens
-from lectern.llm.common import shipped
+from lectern.llm.common import as_batch, as_lists, shipped
 from lectern.session import new_folder, written
 
 # Fixed value: what record files of this kind add to a turned check sum.
@@ -30,6 +31,7 @@ SHARD_BYTES = 64 << 20
 HEAD, FOOT, DATA = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<qBB")
 
 SHARDS = "shard string, first_record long, n_records long, n_tokens long, bytes long"
+SHARD_SCHEMA = pa.schema([("shard", pa.string()), *[(c, pa.int64()) for c in ("first_record", "n_records", "n_tokens", "bytes")]])
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, shard string, record long"
 
 
@@ -107,10 +109,10 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str | None = Non
     folder = folder or new_folder(spark, "records")
     get_spec = shipped(spark, tokens.spec_of(tokenizer_path))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        rows = ((None if pd.isna(i) else int(i), ids) for pdf in batches
-                for i, ids in zip(pdf["doc_id"], tokens.encoded(get_spec(), pdf["text"], end_id)))
+        rows = (row for lists in as_lists(batches)
+                for row in zip(lists["doc_id"], tokens.encoded(get_spec(), lists["text"], end_id)))
         row, shard, first = next(rows, None), 0, 0
         while row is not None:
             name, offsets, at, n_tokens = f"{folder}/part-{part:06d}-{shard:05d}.rec", [], 0, 0
@@ -123,12 +125,12 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str | None = Non
                     row = next(rows, None)
             with files.new_file(name + ".idx") as out:
                 out.write(np.asarray(offsets, "<i8").tobytes())
-            yield pd.DataFrame([(name, first, len(offsets), n_tokens, at)],
-                               columns=["shard", "first_record", "n_records", "n_tokens", "bytes"])
+            yield as_batch({"shard": [name], "first_record": [first], "n_records": [len(offsets)],
+                            "n_tokens": [n_tokens], "bytes": [at]}, SHARD_SCHEMA)
             shard, first = shard + 1, first + len(offsets)
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return written(ordered.mapInPandas(write, SHARDS), "records-manifest")
+    return written(ordered.mapInArrow(write, SHARDS), "records-manifest")
 
 
 def read_records(manifest: DataFrame) -> DataFrame:

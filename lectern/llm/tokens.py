@@ -23,7 +23,7 @@ KEPT_CHUNKS = 800_000
 
 #: Letters and marks after a word whose border every pre-tokenizer here cuts at.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_WORD_AND_MARKS = re.compile(rf"([{_LETTERS}]+)([^\w\s'’]+)")
+_WORD_AND_MARKS = re.compile(rf"([{_LETTERS}]+)([!-&(-/:-@\[-`{{-~]+)")
 _BEFORE_SPACE = re.compile(r"\s ")
 _PLAIN = re.compile(r"[^\x00-ſ]|İ")
 

@@ -23,10 +23,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import held_out, shipped
+from lectern.llm.common import as_batch, as_lists, held_out, shipped
 from lectern.llm.wordtable import table_for
 
 #: Bounds of the sample that the machine is fitted on: labelled documents of each class.
@@ -44,6 +45,7 @@ THRESHOLD = 0.3
 INSERTED = "-._*1 x"
 SEED = 11
 
+SCORED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 _EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_=+/\\~`^"
 
 
@@ -374,17 +376,17 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, documents: int = SAMPLE_
     get = shipped(docs.sparkSession, machine)
     key = "toxicity:" + hashlib.sha256(pickle.dumps(machine)).hexdigest()
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            bags = [strings(t) for t in pdf.pop("text")]
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lists in as_lists(batches):
+            bags = [strings(t) for t in lists.pop("text")]
             own = get()
             if own is None:
-                scores = [0.0] * len(bags)
+                lists["score"] = [0.0] * len(bags)
             else:
-                scores = [own.score(float(rows.max()) if len(rows) else -2.0)
-                          for rows in table_for(key, own.margins).of(bags)]
-            yield pdf.assign(score=scores)
+                lists["score"] = [own.score(float(rows.max()) if len(rows) else -2.0)
+                                  for rows in table_for(key, own.margins).of(bags)]
+            yield as_batch(lists, SCORED_SCHEMA)
 
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return rows.mapInPandas(score, "doc_id long, held_out boolean, score double").select(
+    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double").select(
         "doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

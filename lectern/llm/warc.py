@@ -15,11 +15,13 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import files
+from lectern.llm.common import as_batch, as_lists
 from lectern.session import new_folder, written
 
 LEVEL = 4
@@ -29,6 +31,7 @@ DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 ARCHIVES = "archive string, n_records long, bytes long"
+ARCHIVE_SCHEMA = pa.schema([("archive", pa.string()), ("n_records", pa.int64()), ("bytes", pa.int64())])
 PAGES = ("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
          "url string, archive string, offset long, length long")
 
@@ -129,25 +132,26 @@ def with_first_page(pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """(page_id, url, html, first_page) -> monolithic archives of about ``archive_bytes``; the manifest."""
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        rows = (row for pdf in batches for row in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["first_page"]))
+        rows = (row for x in as_lists(batches) for row in zip(x["page_id"], x["url"], x["html"], x["first_page"]))
         row, number = next(rows, None), 0
         while row is not None:
             name, size, n = f"{folder}/part-{part:06d}-{number:05d}.warc.gz", 0, 0
             gzip = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
             with files.new_file(name) as out:
                 while row is not None and size < archive_bytes:
-                    page_id, first = (None if pd.isna(x) else int(x) for x in (row[0], row[3]))
-                    raw = record(page_id, row[1], row[2].encode("utf-8", "replace"), first,
+                    page_id, url, html, first = row
+                    raw = record(page_id, url, html.encode("utf-8", "replace"), first,
                                  first is not None and first != page_id)
                     out.write(gzip.compress(raw))
                     size, n, row = size + len(raw), n + 1, next(rows, None)
                 out.write(gzip.flush())
-            yield pd.DataFrame([(name, n, size)], columns=["archive", "n_records", "bytes"])
+            yield as_batch({"archive": [name], "n_records": [n], "bytes": [size]}, ARCHIVE_SCHEMA)
             number += 1
 
-    return written(pages.mapInPandas(write, ARCHIVES), "warc-manifest")
+    rows = pages.select("page_id", "url", "html", "first_page")
+    return written(rows.mapInArrow(write, ARCHIVES), "warc-manifest")
 
 
 def normalise(manifest: DataFrame, folder: str) -> DataFrame:
