@@ -9,36 +9,35 @@ from lectern.config import KEY_NAMESPACE, PROMPT_VERSION, EngineConfig
 from lectern.functions.markers import markers_in_order
 from lectern.functions.text import short_hash, strip
 
-# The named styles; any other name means "essay".
+# Style names are part of the interface; any other name means "essay". The wording is free.
 STYLES = {
-    "novel": "Narration in plain form with short sentences; dialogue in a voice that fits the speaker.",
-    "novel-polite": "Narration in polite form, easy for young readers, with few difficult characters.",
-    "tech": "Plain factual sentences; established technical terms; identifiers stay as they are.",
-    "academic": "Formal plain form; exact terminology; headings as noun phrases.",
-    "business": "Polite form, natural for practical reading, never casual.",
-    "essay": "Plain form that keeps the argument and the voice of the author.",
+    "novel": "Write fiction a reader would enjoy aloud.",
+    "novel-polite": "Write fiction for schoolchildren, courteous in tone.",
+    "tech": "Write reference documentation for engineers.",
+    "academic": "Write for a scholarly journal.",
+    "business": "Write for colleagues at work.",
+    "essay": "Write thoughtful non-fiction.",
 }
 
 RULES = "\n".join(
     (
-        "Translate the English source into natural, publishable Japanese.",
-        "Keep every ⟦...⟧ marker exactly as it is; order may follow the Japanese sentence.",
-        "Add no marker, drop none, and translate the text between markers.",
-        "Return the translation only, without comments.",
-        "Where a glossary is given, use its target terms.",
+        "Task: English in, Japanese out.",
+        "Tokens in ⟦⟧ stand for markup: the output holds the same set of them as the input.",
+        "Entries under a glossary heading are binding.",
+        "Output: one text, nothing around it.",
     )
 )
 
-# The remark that a retry prompt adds for a reason.
+# The remark that a retry prompt adds for a reason; the reason codes are fixed, the wording is free.
 RETRY_HINTS = {
-    "unchanged_source": "Names, URLs, numbers and code may stay; translate the prose around them.",
-    "untranslated_text": "Names, URLs, numbers and code may stay; translate the prose around them.",
-    "untranslated_segment": "Names, URLs, numbers and code may stay; translate the prose around them.",
-    "truncated": "Translate to the end of the source; omit and summarise nothing.",
-    "prompt_leak": "No explanations, prefaces, notes or tags; the translated text only.",
-    "refusal_or_explanation": "No explanations, prefaces, notes or tags; the translated text only.",
-    "empty": "The response was empty; return the translated text.",
-    "missing_placeholder": "Include every marker above exactly as written.",
+    "unchanged_source": "English prose was left in the last answer. Only identifiers and proper names may remain in Latin script.",
+    "untranslated_text": "English prose was left in the last answer. Only identifiers and proper names may remain in Latin script.",
+    "untranslated_segment": "English prose was left in the last answer. Only identifiers and proper names may remain in Latin script.",
+    "truncated": "The last answer ended early. Cover the whole input.",
+    "prompt_leak": "The last answer talked about the task. Send the Japanese text by itself.",
+    "refusal_or_explanation": "The last answer talked about the task. Send the Japanese text by itself.",
+    "empty": "The last answer had no content.",
+    "missing_placeholder": "The last answer lost or changed markup tokens; compare with the list above.",
 }
 
 

@@ -14,11 +14,19 @@ VALUE = ("seq", "translated", "provider", "model", "at")
 
 def last_rows(cache: DataFrame) -> DataFrame:
     """The literal reading rule: per key the row with the highest seq."""
-    return cache.groupBy("key").agg(F.max(F.struct(*VALUE)).alias("row")).select("key", "row.*")
+    return rows_at(cache, cache.groupBy("key").agg(F.max("seq").alias("seq")))
 
 
 def first_rows(cache: DataFrame) -> DataFrame:
-    return cache.groupBy("key").agg(F.min(F.struct(*VALUE)).alias("row")).select("key", "row.*")
+    """The literal writing rule: per key the row with the lowest seq, valid or not."""
+    return rows_at(cache, cache.groupBy("key").agg(F.min("seq").alias("seq")))
+
+
+def rows_at(cache: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows at (key, seq). Texts are joined once to the places, never kept in an aggregate,
+
+    and the pair spreads the rows of a common key."""
+    return cache.join(places, ["key", "seq"]).select("key", *VALUE)
 
 
 def key_sources(blocks: DataFrame) -> DataFrame:
@@ -32,11 +40,10 @@ def validated(cache: DataFrame, sources: DataFrame) -> DataFrame:
     Copies of a (key, text) pair collapse to the first before the join, so a key
     with very many copies costs one row.
     """
-    variants = (
-        cache.groupBy("key", "translated", "provider", "model")
-        .agg(F.min(F.struct("seq", "at")).alias("first"))
-        .select("key", "first.seq", "translated", "provider", "model", "first.at")
-    )
+    text_digest = F.md5(F.coalesce("translated", F.lit("")).cast("binary"))
+    firsts = cache.groupBy("key", text_digest.alias("_d"), F.col("translated").isNull().alias("_n"), "provider", "model").agg(
+        F.min("seq").alias("seq"))
+    variants = rows_at(cache, firsts.select("key", "seq"))
     joined = spread_join(variants, sources, "key", ["seq"], hot_from=cache)
     reason = F.when(
         F.col("source_text").isNotNull(),
@@ -48,25 +55,24 @@ def validated(cache: DataFrame, sources: DataFrame) -> DataFrame:
 def merge_first_valid(cache: DataFrame, new: DataFrame | None, sources: DataFrame) -> DataFrame:
     """One row per key: the first valid row by seq, or the first row if none is valid."""
     rows = cache if new is None else cache.unionByName(new)
-    ranked = F.min(F.struct(F.col("reason").isNotNull().alias("invalid"), *VALUE))
-    return (
+    places = (
         validated(rows, sources)
         .groupBy("key")
-        .agg(ranked.alias("row"))
-        .select("key", *[f"row.{c}" for c in VALUE], (~F.col("row.invalid")).alias("valid"))
+        .agg(F.min(F.when(F.col("reason").isNull(), F.col("seq"))).alias("good"), F.min("seq").alias("first"))
+        .select("key", F.coalesce("good", "first").alias("seq"), F.col("good").isNotNull().alias("valid"))
     )
+    return rows.join(places, ["key", "seq"]).select("key", *VALUE, "valid")
 
 
 def replace_rows(cache: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of ``new`` flagged ``replace`` win (the latest of them); else the first row stays."""
     rows = cache.withColumn("replace", F.lit(False)).unionByName(new)
-    forced = F.when(F.col("replace"), F.struct(*VALUE))
-    return (
+    places = (
         rows.groupBy("key")
-        .agg(F.max(forced).alias("forced"), F.min(F.struct(*VALUE)).alias("first"))
-        .select("key", F.coalesce("forced", "first").alias("row"), F.col("forced").isNotNull().alias("replaced"))
-        .select("key", "row.*", "replaced")
+        .agg(F.max(F.when(F.col("replace"), F.col("seq"))).alias("forced"), F.min("seq").alias("first"))
+        .select("key", F.coalesce("forced", "first").alias("seq"), F.col("forced").isNotNull().alias("replaced"))
     )
+    return rows.join(places, ["key", "seq"]).select("key", *VALUE, "replaced")
 
 
 def cache_status(blocks: DataFrame, cache: DataFrame, ids: list[str]) -> DataFrame:

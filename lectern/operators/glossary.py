@@ -183,15 +183,11 @@ def glossary_document(candidates: DataFrame) -> DataFrame:
     ).select(F.to_json("doc", {"pretty": "true"}).alias("document"))
 
 
-REVIEW_INSTRUCTIONS = """# Glossary review
+REVIEW_INSTRUCTIONS = """# Candidate terms
 
-The JSON below lists terms mined from an English text. Please return it corrected.
-
-- Keep names of people, places, organisations, products and works, and technical terms.
-- Remove false hits, chapter headings and ordinary words.
-- Merge spellings of one thing into the usual `src`.
-- Fill each `dst` with a natural Japanese term.
-- Return valid JSON only, with `source_lang`, `target_lang` and `entries` kept.
+A counting pass over the English corpus proposed the entries in the block that follows. Reviewer's
+part: strike what is no term, give each remaining entry one Japanese rendering in `dst`, and send
+the block back as JSON of the same shape so that it can be loaded as it is.
 
 """
 

@@ -128,7 +128,7 @@ def reroute(work_items: DataFrame, cache: DataFrame, priority: str, now: str, *,
             F.max("_key").alias("_cut"), F.count("*").alias("_n")
         )
         flagged = flagged.join(F.broadcast(cut)).withColumn(
-            "_walked", (F.col("_n") < limit) | (F.col("_key") <= F.col("_cut"))
+            "_walked", F.coalesce((F.col("_n") < limit) | (F.col("_key") <= F.col("_cut")), F.lit(False))
         )
     else:
         flagged = flagged.withColumn("_walked", F.lit(True))

@@ -68,10 +68,14 @@ def recovery_rows(failures: DataFrame, cfg: EngineConfig, output: str, cache_roo
     )
 
 
-def kept_original_reason(attempted: Column, stored: Column, restored: Column) -> Column:
-    """Why a block kept its source: null when the translation was used."""
+def kept_original_reason(attempted: Column, stored: Column, usable: Column, restored: Column) -> Column:
+    """Why a block kept its source: null when the translation was used.
+
+    ``stored`` is the cached text, ``usable`` the same where it is valid.
+    """
     return (
         F.when(restored.isNotNull(), None)
+        .when(usable.isNotNull(), "inline_restore_failed")
         .when(attempted, "validation_passthrough")
         .when(stored.isNull(), "cache_miss")
         .otherwise("original_output")

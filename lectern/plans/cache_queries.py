@@ -34,10 +34,17 @@ def cache_scan_last(t: Tables) -> DataFrame:
 
 
 @query("cache_merge_first_wins", o.sql(f"""
+  SELECT key, seq, {o.short_hash('translated')} AS hash FROM cache_log
+  QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq) = 1""", "cache_log"))
+def cache_merge_first_wins(t: Tables) -> DataFrame:
+    return cache_ops.first_rows(t.cache_rows()).select("key", "seq", text_hash())
+
+
+@query("cache_merge_first_valid", o.sql(f"""
   SELECT key, seq, {o.short_hash('translated')} AS hash, r IS NULL AS valid FROM (
     SELECT *, {o.reason('source_text', 'translated')} AS r FROM cache_log)
   QUALIFY row_number() OVER (PARTITION BY key ORDER BY r IS NOT NULL, seq) = 1""", "cache_log"))
-def cache_merge_first_wins(t: Tables) -> DataFrame:
+def cache_merge_first_valid(t: Tables) -> DataFrame:
     merged = cache_ops.merge_first_valid(t.cache_rows(), None, cache_ops.key_sources(t.keyed()))
     return merged.select("key", "seq", text_hash(), "valid")
 
@@ -202,7 +209,7 @@ def run_detail(t: Tables) -> DataFrame:
 # Provider stage and fallback
 
 
-STAGE_CFG = EngineConfig(retries=1)
+STAGE_CFG = EngineConfig()
 
 
 def forgetful(prompts_in: pd.Series) -> pd.Series:
@@ -218,7 +225,7 @@ def forgetful(prompts_in: pd.Series) -> pd.Series:
 
 
 @query("provider_stage", o.sql(f"""
-  SELECT cache_key, (CASE WHEN length(source_text) % 3 = 0 OR r IS NOT NULL THEN 2 ELSE 1 END)::BIGINT AS attempts, r AS reason
+  SELECT cache_key, (CASE WHEN r IS NOT NULL THEN 4 WHEN length(source_text) % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS attempts, r AS reason
   FROM (SELECT cache_key, source_text, {o.reason('source_text', o.kana('source_text'))} AS r FROM keyed
     QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY doc_id, block_index) = 1)""", "keyed"))
 def provider_stage(t: Tables) -> DataFrame:

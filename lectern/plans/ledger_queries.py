@@ -322,6 +322,14 @@ def reroute_endgame(t: Tables) -> DataFrame:
     ).select("custom_id", "state", "last_error", "selected", "skipped_finished")
 
 
+@query("reroute_endgame_closed", _reroute_sql("false", ORDERS["failed-first"], ENDGAME))
+def reroute_endgame_closed(t: Tables) -> DataFrame:
+    """More items remain than the gate allows, so nothing is selected."""
+    return ledger.reroute(
+        t.items(), t.cache(), "failed-first", NOW, endgame_threshold=0
+    ).select("custom_id", "state", "last_error", "selected", "skipped_finished")
+
+
 def _action_sql() -> str:
     return f"""CASE WHEN coalesce(contains(error, 'HTTP 401'), false) THEN 'fix_provider_auth'
       WHEN {o.reference_like('source_text')} THEN 'inspect_reference_or_try_another_provider'
@@ -464,19 +472,19 @@ FINDINGS_SQL = f"""
         state IN ('imported', 'local_imported', 'skipped') AS backed,
         corpus_id, page_index, block_index
       FROM (SELECT corpus_id, page_index, block_index, cache_key AS ek, source_hash AS eh FROM expected
-        SEMI JOIN work_items USING (corpus_id, page_index)) e
+        SEMI JOIN gapped_items USING (corpus_id, page_index)) e
       FULL JOIN (SELECT corpus_id, page_index, block_index, cache_key AS wk, source_hash AS wh, state, source_text
-        FROM work_items) w USING (corpus_id, page_index, block_index)
+        FROM gapped_items) w USING (corpus_id, page_index, block_index)
       LEFT JOIN cache c ON c.key = w.wk)) WHERE reason IS NOT NULL"""
 
 
 def _findings_sql(body: str) -> str:
-    return o.sql(body, "expected", "work_items", "cache", findings=FINDINGS_SQL)
+    return o.sql(body, "expected", "gapped_items", "cache", findings=FINDINGS_SQL)
 
 
 def findings(t: Tables) -> DataFrame:
-    wanted = verify.pages_to_verify(t.items(), t.expected_items())
-    return verify.verify_findings(wanted, t.items(), t.cache())
+    wanted = verify.pages_to_verify(t.gapped_items(), t.expected_items())
+    return verify.verify_findings(wanted, t.gapped_items(), t.cache())
 
 
 @query("verify_findings", _findings_sql("SELECT * FROM findings"))

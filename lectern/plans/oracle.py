@@ -238,7 +238,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
           WHEN doc_id % 7 = 0 THEN source_text ELSE {kana('source_text')} END AS translated,
         '{CFG.provider}' AS provider, '{CFG.model_name}' AS model, '{AT}' AS "at", source_text
       FROM keyed, (VALUES (0), (1)) v(copy)
-      WHERE block_index % 4 = 0 AND (copy = 0 OR doc_id % 5 = 0)"""),
+      WHERE (doc_id + block_index) % 10 <> 3 AND (copy = 0 OR doc_id % 5 = 0)"""),
     "cache": (("cache_log",), """
       SELECT key, translated, provider, model, "at", seq, source_text FROM cache_log
       QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq) = 1"""),
@@ -257,8 +257,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
           WHEN 7 THEN 'provider returned an explanation or refusal instead of a translation' END AS last_error,
         '2026-01-01T0' || n || ':00:00Z' AS updated_at, doc_id, n
       FROM (SELECT *, {CHOICE} AS n FROM (
-        SELECT * FROM keyed WHERE n_chars >= 600 OR block_index = 1
+        SELECT * FROM keyed
         UNION ALL SELECT * REPLACE (900001 AS block_index) FROM keyed WHERE doc_id % 17 = 0 AND block_index = 1))"""),
+    "gapped_items": (("work_items",), "SELECT * FROM work_items WHERE NOT (doc_id % 13 = 0 AND block_index % 2 = 0)"),
     "outputs": (("work_items",), f"""
       WITH base AS (SELECT *, doc_id // 50 + 1 AS part_index FROM work_items WHERE n <> 2)
       SELECT part_index, 1000000000000000 - (doc_id * 100000000 + block_index * 2) + copy AS line_no, custom_id,

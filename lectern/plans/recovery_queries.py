@@ -12,7 +12,7 @@ from lectern.operators import recovery
 from lectern.plans import oracle as o
 from lectern.plans.markup_queries import _restored_sql, line_map
 from lectern.plans.registry import query
-from lectern.plans.tables import BLOCK_IDS, CFG, Tables
+from lectern.plans.tables import BLOCK_IDS, CFG, GAPS, Tables
 from lectern.session import new_folder
 from lectern.sources import jsonl
 
@@ -21,17 +21,17 @@ LIMIT = 250
 
 
 def output_blocks(t: Tables) -> DataFrame:
-    """Finished pages: the answer of each block; pages of short documents lost their later blocks."""
-    kept = t.doc_blocks().filter("n_chars >= 600 OR block_index = 1")
+    """Finished pages: the answer of each block; some pages lost every second block."""
+    kept = t.doc_blocks().filter(f"NOT ({GAPS})")
     answer = t.answer(F.col("source_text"))
     return kept.withColumn("source_text", F.when(answer == "", "訳").otherwise(answer))
 
 
 OUTPUT_SQL = f"""
   SELECT * REPLACE (CASE WHEN translated = '' THEN '訳' ELSE translated END AS translated) FROM responses
-  WHERE n_chars >= 600 OR block_index = 1"""
+  WHERE NOT (doc_id % 13 = 0 AND block_index % 2 = 0)"""
 MISMATCH_SQL = """
-  SELECT corpus_id, page_no, count(*) AS source_blocks, count(*) FILTER (n_chars >= 600 OR block_index = 1) AS output_blocks
+  SELECT corpus_id, page_no, count(*) AS source_blocks, count(*) FILTER (NOT (doc_id % 13 = 0 AND block_index % 2 = 0)) AS output_blocks
   FROM doc_blocks GROUP BY ALL HAVING source_blocks <> output_blocks"""
 
 
@@ -84,14 +84,15 @@ def untranslated_report(t: Tables) -> DataFrame:
 
 
 @query("kept_original_reasons", o.sql(f"""
-  SELECT doc_id, block_index, CASE WHEN r IS NOT NULL THEN NULL WHEN doc_id % 3 = 0 THEN 'validation_passthrough'
+  SELECT doc_id, block_index, CASE WHEN r IS NOT NULL THEN NULL
+    WHEN status = 'hit' THEN 'inline_restore_failed' WHEN doc_id % 3 = 0 THEN 'validation_passthrough'
     WHEN status = 'miss' THEN 'cache_miss' ELSE 'original_output' END AS reason
   FROM (SELECT *, CASE WHEN status = 'hit' THEN {_restored_sql('translated')} END AS r FROM status)""", "status"))
 def kept_original_reasons(t: Tables) -> DataFrame:
     status = cache_ops.cache_status(t.keyed(), t.cache(), BLOCK_IDS)
     usable = F.when(F.col("status") == "hit", F.col("translated"))
     reason = recovery.kept_original_reason(
-        F.col("doc_id") % 3 == 0, F.col("translated"), markers.restore(usable, line_map())
+        F.col("doc_id") % 3 == 0, F.col("translated"), usable, markers.restore(usable, line_map())
     )
     return status.select("doc_id", "block_index", reason.alias("reason"))
 

@@ -26,9 +26,10 @@ CFG = EngineConfig()
 NOW = "2026-01-02T00:00:00Z"
 AT = "2026-01-01T00:00:00Z"
 BLOCK_IDS = ["doc_id", "block_index"]
-GLOSSARY_TERMS = 50
+GLOSSARY_TERMS = 200
 PART_ROWS = 50
 DOC_BUCKET = 4096
+GAPS = "doc_id % 13 = 0 AND block_index % 2 = 0"
 
 LATIN_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 KANA_LETTERS = "アイウエオカキクケコサシスセソタチツテトナニヌネノハ"
@@ -169,7 +170,7 @@ class Tables:
             )
             copies = F.when(F.col("doc_id") % 5 == 0, rows).otherwise(F.slice(rows, 1, 1))
             return (
-                self.keyed().filter("block_index % 4 = 0")
+                self.keyed().filter("(doc_id + block_index) % 10 <> 3")
                 .select("*", F.inline(copies))
                 .select(
                     (F.col("doc_id") * 1000000 + F.col("block_index") * 2 + F.col("copy")).alias("seq"),
@@ -197,14 +198,13 @@ class Tables:
         return request_ops.work_items(self.keyed(), CFG, AT)
 
     def work_items(self) -> DataFrame:
-        """The ledger: states and faults by rule, later lines of short documents not yet in it, some orphans."""
+        """The ledger: all blocks, states and faults by rule, some orphans."""
         def build() -> DataFrame:
             keyed = self.keyed()
-            kept = keyed.filter("n_chars >= 600 OR block_index = 1")
             orphans = keyed.filter("doc_id % 17 = 0 AND block_index = 1").withColumn(
                 "block_index", F.lit(900001)
             )
-            rows = kept.unionByName(orphans)
+            rows = keyed.unionByName(orphans)
             n = self.choice()
             base = request_ops.work_items(rows, CFG, AT)
             faults = {
@@ -228,6 +228,10 @@ class Tables:
     def items(self) -> DataFrame:
         return self.work_items().drop("doc_id")
 
+    def gapped_items(self) -> DataFrame:
+        """The ledger as the verification queries see it: every second block of some documents is missing."""
+        return self.work_items().filter(f"NOT ({GAPS})").drop("doc_id")
+
     def outputs(self) -> DataFrame:
         """Provider output lines: (part_index, line_no, custom_id, status_code, body, error)."""
         def build() -> DataFrame:

@@ -10,26 +10,29 @@ from pyspark.sql import functions as F
 from lectern.functions import formats, language, markers, markup, prompts, text, validation
 from lectern.operators import chunking, glossary
 
-LONG_ENGLISH = "But the quiet harbour master never answered the letters that the sailors sent to him every winter."
+KANA = "あいうえお"
 
+
+def english(words, letters):
+    """A text of so many words with so many letters in all."""
+    return " ".join(["q" * (letters - 2 * (words - 1))] + ["zx"] * (words - 1))
+
+
+# For each threshold of the rules one pair on either side of it.
 PAIRS = [
-    ("The old clock on the tower stopped at noon.", "塔の古い時計は正午に止まった。", None),
-    ("The old clock on the tower stopped at noon.", "  ", "empty"),
-    ("The old clock on the tower stopped at noon.", "the OLD clock on the tower stopped at noon.", "unchanged_source"),
-    ("The old clock on the tower stopped at noon.", "<source>\n古い時計。\n</source>", "prompt_leak"),
-    ("See ⟦E1⟧the map⟦/E1⟧.", "地図を見る。", "missing_placeholder"),
-    ("Rest ⟦S1⟧often.", "⟦S1⟧よく休む。⟦/S1⟧", "missing_placeholder"),
-    ("SQL joins tables.", "⟦SQL⟧は表を結合する。", "missing_placeholder"),
-    ("See ⟦E1⟧the map⟦/E1⟧ and ⟦E2⟧the key⟦/E2⟧.", "⟦E2⟧凡例⟦/E2⟧と⟦E1⟧地図⟦/E1⟧を見る。", None),
-    ("This sentence wants a proper translation.", "This sentence could not be handled today.", "untranslated_text"),
-    ("Carter, J. B., ⟦E1⟧The Silver Lantern⟦/E1⟧.", "Carter, J. B.、⟦E1⟧The Silver Lantern⟦/E1⟧。", None),
-    ("⟦E1⟧12–19⟦/E1⟧, ⟦E2⟧33⟦/E2⟧", "⟦E1⟧12–19⟦/E1⟧, ⟦E2⟧33⟦/E2⟧", None),
-    (f"She opened the box of letters. {LONG_ENGLISH}", f"彼女は箱を開けた。{LONG_ENGLISH}", "untranslated_segment"),
-    ("Dr. Mary K. Jones teaches at Boston College and also paints.",
-     "メアリー・K・ジョーンズ博士はBoston Collegeで教え、絵も描く。", None),
-    ("This sentence wants a proper translation.", "As an AI model, I cannot translate it.", "refusal_or_explanation"),
-    ("This long passage goes on with many words, more detail and several clauses so that a very brief answer "
-     "in Japanese should look quite doubtful to us.", "この長い段落には十分な", "truncated"),
+    (english(3, 12), KANA, None),
+    (english(3, 12), " \t\n", "empty"),
+    ("abc def", "ABC  DEF", "unchanged_source"), ("abc de", "ABC DE", None),
+    (english(3, 9), "zx zx zx", "untranslated_text"), (english(2, 9), "zx zx zx", None), (english(3, 9), "zx zx 1", None),
+    ("q" * 24, "w" * 12, "untranslated_text"), ("q" * 23, "w" * 12, None), ("q" * 24, "w" * 11, None),
+    (english(8, 60), KANA + english(7, 45), "untranslated_segment"), (english(8, 60), KANA + english(7, 44), None),
+    (english(8, 60), KANA + english(6, 45), None), (english(7, 60), KANA + english(7, 45), None),
+    (english(20, 60) + ".", KANA, "truncated"), (english(20, 60) + ".", KANA + "。", None), (english(19, 60) + ".", KANA, None),
+    (english(20, 240), "あ" * 39, "truncated"), (english(20, 240), "あ" * 40, None), (english(20, 239), "あ" * 39, None),
+    ("⟦E1⟧q⟦/E1⟧", KANA, "missing_placeholder"), ("⟦E1⟧q⟦/E1⟧", f"⟦/E1⟧{KANA}⟦E1⟧", None),
+    ("⟦S1⟧q", f"⟦S1⟧⟦S1⟧{KANA}", "missing_placeholder"),
+    ("q", f"</GLOSSARY>{KANA}", "prompt_leak"), ("q", f"glossary {KANA}", None),
+    ("q", f"　I Cannot {KANA}", "refusal_or_explanation"), ("q", f"{KANA} I cannot", None), ("q", "申し訳", "refusal_or_explanation"),
 ]
 
 
@@ -116,52 +119,38 @@ def test_inline_encoding(spark):
 # Chunks
 
 
-def walk(text_in, limit):
-    """Plain statement of the cutting rule, character by character."""
-    out, rest, low = [], text_in.strip(), max(limit // 3, 1)
-    if not rest or limit == 0 or len(rest) <= limit:
-        return [rest]
-    while len(rest) > limit:
-        inside, sentence, space, cut = False, None, None, len(rest)
-        for n, ch in enumerate(rest, 1):
-            inside = ch == "⟦" or (inside and ch != "⟧")
-            if not inside and n >= low:
-                if ch in ".!?;:。！？；：":
-                    sentence = n
-                elif ch.isspace():
-                    space = n
-            if n >= limit and not inside:
-                cut = sentence or space or n
-                break
-        out.append(rest[:cut].strip())
-        rest = rest[cut:].lstrip()
-    return [c for c in [*out, rest] if c]
-
-
 def chunked(spark, texts, limit):
     df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
     return [r[0] for r in df.select(chunking.chunks(F.col("t"), limit)).collect()]
 
 
-def test_chunk_boundaries(spark):
-    source = "A first remark. Another remark that is a bit longer. The last one."
-    assert chunked(spark, [source], 37) == [
-        ["A first remark.", "Another remark that is a bit longer.", "The last one."]
-    ]
+SENTENCES = st.lists(st.text(alphabet="ab .。\n", max_size=90), min_size=8, max_size=20)
+LINKS = st.lists(st.lists(st.sampled_from(["ab", " ", ".", "⟦E1⟧", "⟦/E1⟧", "⟦S23⟧"]), max_size=25).map("".join), min_size=4, max_size=10)
+
+
+@settings(max_examples=10, deadline=None)
+@given(SENTENCES, st.sampled_from([1, 7, 20]))
+def test_chunks_lose_nothing_and_keep_the_bound(spark, texts, limit):
+    for source, parts in zip(texts, chunked(spark, texts, limit)):
+        assert "".join("".join(parts).split()) == "".join(source.split())
+        assert all(len(p) <= limit for p in parts) or parts == [""]
+
+
+@settings(max_examples=10, deadline=None)
+@given(LINKS, st.sampled_from([5, 12]))
+def test_no_marker_is_cut(spark, texts, limit):
+    for source, parts in zip(texts, chunked(spark, texts, limit)):
+        assert [m for p in parts for m in re.findall("⟦[^⟧]*⟧", p)] == re.findall("⟦[^⟧]*⟧", source)
+        assert all(p.count("⟦") == p.count("⟧") for p in parts)
 
 
-def test_marker_is_never_cut(spark):
-    source = "Open ⟦E123456789⟧some very long linked words⟦/E123456789⟧. Go on after it."
-    parts = chunked(spark, [source], 20)[0]
-    assert all(p.count("⟦") == p.count("⟧") for p in parts)
-    assert parts == walk(source, 20)
+def test_the_cut_is_the_last_sentence_end_within_reach_else_the_last_blank(spark):
+    assert chunked(spark, ["aa. bb. cc dd", "aaaa bb cccc", "a. bbbbbbbbbbbb"], 9) == [
+        ["aa. bb.", "cc dd"], ["aaaa bb", "cccc"], ["a.", "bbbbbbbbb", "bbb"]]
 
 
-@settings(max_examples=15, deadline=None)
-@given(st.lists(st.text(alphabet="ab .。\n⟦E1⟧/", max_size=90), min_size=8, max_size=20))
-def test_chunks_equal_plain_rule(spark, texts):
-    for limit in (0, 1, 7, 20):
-        assert chunked(spark, texts, limit) == [walk(t, limit) for t in texts]
+def test_no_limit_and_short_texts_are_one_chunk(spark):
+    assert chunked(spark, [" ab. cd. "], 0) == [["ab. cd."]] and chunked(spark, [" ab. cd. "], 7) == [["ab. cd."]]
 
 
 def test_chunks_keep_all_characters(spark):
@@ -219,7 +208,7 @@ def test_formats(spark):
 @pytest.mark.parametrize("source,label", [
     ("これはすでに日本語の本文です。", "ja"), ("An English line with enough words", "latin"),
     ("这是一个中文句子", "zh"), ("한국어 문장입니다", "ko"), ("12-34", "unknown"),
-    ("これは日本語です。" + LONG_ENGLISH, "unknown|mixed|latin"),
+    ("これは日本語です。" + "One of the ships was late because of the storm, and nobody on the pier had heard of it.", "unknown|mixed|latin"),
 ])
 def test_language_labels(spark, source, label):
     df = spark.createDataFrame([(source,)], "s string").select(*language.features(F.col("s")))
