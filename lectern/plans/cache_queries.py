@@ -12,6 +12,7 @@ from lectern.config import EngineConfig
 from lectern.functions import text
 from lectern.operators import accounting, runs
 from lectern.operators import cache as cache_ops
+from lectern.operators import glossary as glossary_ops
 from lectern.operators import requests
 from lectern.plans import oracle as o
 from lectern.plans.registry import query
@@ -171,6 +172,26 @@ def retention_plan(t: Tables) -> DataFrame:
     return runs.retention_plan(t.runs(), RETENTION_DAYS, NOW).select("run_hash", "expired")
 
 
+@query("retention_totals", _inventory_sql(f"""
+  SELECT coalesce(try_cast(last_updated_at AS TIMESTAMPTZ) < TIMESTAMPTZ '{NOW}' - INTERVAL {RETENTION_DAYS} DAY, false) AS expired,
+    count(*) AS runs, sum(size_bytes)::BIGINT AS bytes, sum(segments)::BIGINT AS segments FROM inventory GROUP BY 1"""))
+def retention_totals(t: Tables) -> DataFrame:
+    """Runs that go and stay, with the bytes that are freed and kept."""
+    return runs.plan_totals(runs.retention_plan(inventory(t), RETENTION_DAYS, NOW))
+
+
+@query("run_params", o.sql(f"""
+  SELECT corpus_id, '{CFG.provider}' AS provider, '{CFG.model_name}' AS model, 'v2' AS prompt_version,
+    'essay' AS style_id, digest AS glossary_sha FROM (SELECT DISTINCT source AS corpus_id FROM documents), (
+    SELECT {o.short_hash(f"string_agg(CASE WHEN dst <> '' THEN src || '=>' || dst || {o.NL} ELSE '' END, '' ORDER BY pos)")} AS digest
+    FROM glossary)""", "glossary"))
+def run_params(t: Tables) -> DataFrame:
+    """What a run of each corpus depends on besides its text; the digest is one row."""
+    digest = glossary_ops.glossary_digest(t.glossary()).select("digest")
+    made = t.runs().select("corpus_id").join(F.broadcast(digest))
+    return made.select("corpus_id", runs.run_params(CFG, F.col("digest")).alias("p")).select("corpus_id", "p.*")
+
+
 @query("clear_plan", _inventory_sql(f"""
   SELECT run_hash = '{SHOW_RUN}' AS expired, count(*) AS runs, sum(size_bytes)::BIGINT AS bytes,
     sum(segments)::BIGINT AS segments FROM inventory GROUP BY 1"""))

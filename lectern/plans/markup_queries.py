@@ -93,6 +93,24 @@ def block_count(t: Tables) -> DataFrame:
     return t.pages().select(*PAGE_IDS, markup.raw_block_count(F.col("html")).alias("raw_blocks"))
 
 
+BLOCK_NAMES = (
+    "p h1 h2 h3 h4 h5 h6 li blockquote figcaption aside dt dd caption td th summary").split()
+
+
+@query("block_starts", f"""
+  SELECT page_id, tag, count(*) AS n, tag IN {o.listed(BLOCK_NAMES)} AS block,
+    tag IN {o.listed(BLOCK_NAMES)} OR (tag = 'div' AND page_id % 3 = 0) AS starts
+  FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY page_id, tag""")
+def block_starts(t: Tables) -> DataFrame:
+    """Element names of each page under a prefix, with the id of a pop-up on every third page."""
+    names = F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1)))
+    tags = t.pages().select("page_id", names.alias("tag")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    named = F.concat(F.lit("x:"), F.col("tag"))
+    element_id = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(markup.POPUP_PREFIX), F.col("page_id").cast("string")))
+    return tags.select("page_id", "tag", "n", markup.is_block_tag(named).alias("block"),
+                       markup.is_block_start(named, element_id).alias("starts"))
+
+
 @query("inspect_report", o.sql(f"""
   SELECT corpus_id, page_no, href, 'application/xhtml+xml' AS media_type, page_id % 5 <> 0 AS linear, true AS present,
     strlen(html) AS bytes, len(regexp_extract_all(html, '{o.RAW_BLOCK}')) AS raw_blocks FROM hosts""", "hosts"))

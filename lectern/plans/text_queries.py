@@ -72,6 +72,14 @@ def marker_multiset(t: Tables) -> DataFrame:
     return t.responses().select(*IDS, F.array_join(markers.sorted_markers(target()), " ").alias("markers"))
 
 
+@query("marker_signature", o.sql(f"""
+  SELECT doc_id, block_index, coalesce(array_to_string(list_sort(list_transform(
+    regexp_extract_all(translated, '{o.KNOWN}'), lambda m: trim(m, '⟦⟧'))), ' '), '') AS signature
+  FROM responses""", "responses"))
+def marker_signature(t: Tables) -> DataFrame:
+    return t.responses().select(*IDS, F.array_join(markers.signature(target()), " ").alias("signature"))
+
+
 @query("marker_tokens", o.sql(f"""
   SELECT doc_id, block_index, place, CASE WHEN NOT known THEN 'text' WHEN starts_with(piece, '⟦/E') THEN 'close'
       WHEN starts_with(piece, '⟦E') THEN 'open' ELSE 'self' END AS kind,
