@@ -17,6 +17,7 @@ from lectern.operators import requests
 from lectern.plans import oracle as o
 from lectern.plans.registry import query
 from lectern.plans.tables import AT, BLOCK_IDS, CFG, NOW, KANA_LETTERS, LATIN_LETTERS, Tables
+from lectern.plans.text_queries import chunk_ctes
 
 SHOW_RUN = hashlib.sha256(b"src0").hexdigest()[:32]
 RETENTION_DAYS = 20
@@ -280,22 +281,30 @@ def fallback_resolve(t: Tables) -> DataFrame:
 # Usage and progress
 
 
-UNCUT = EngineConfig(max_chars=0)
+CHUNK_PROMPTS_SQL = f"""
+  SELECT c.*, coalesce(prompt_lines, '') AS prompt_lines, chunk AS source_text FROM doc_chunks c LEFT JOIN (
+    SELECT doc_id, block_index, chunk_index, string_agg('- ' || src || ' => ' || dst, {o.NL} ORDER BY pos) AS prompt_lines
+    FROM doc_chunks JOIN glossary ON dst <> '' AND contains(lower(chunk), lower(src)) GROUP BY ALL)
+    USING (doc_id, block_index, chunk_index)"""
 
 
 @query("usage_estimate", o.sql(f"""
-  SELECT corpus_id, count(DISTINCT page_no) AS pages, count(*) AS blocks_total,
-    count(*) FILTER (hit) AS cached_blocks, count(*) FILTER (NOT hit) AS uncached_blocks,
-    sum(c)::BIGINT AS source_chars, sum(CASE WHEN hit THEN 0 ELSE c END)::BIGINT AS uncached_source_chars,
-    count(*) FILTER (NOT hit) AS requests, coalesce(sum(i) FILTER (NOT hit), 0)::BIGINT AS input_tokens,
-    coalesce(sum(x) FILTER (NOT hit), 0)::BIGINT AS output_tokens,
-    coalesce(sum(i + x) FILTER (NOT hit), 0)::BIGINT AS total_tokens
-  FROM (SELECT *, status = 'hit' AS hit, length(source_text) AS c,
-    (length({o.SYSTEM}) + 3) // 4 + (length({o.PROMPT}) + 3) // 4 AS i, (length(source_text) + 3) // 4 AS x FROM status)
-  GROUP BY corpus_id""", "status"))
+  SELECT corpus_id, pages, blocks_total, cached_blocks, uncached_blocks, source_chars, uncached_source_chars,
+    coalesce(requests, 0) AS requests, coalesce(i, 0) AS input_tokens, coalesce(x, 0) AS output_tokens,
+    coalesce(i, 0) + coalesce(x, 0) AS total_tokens
+  FROM (SELECT corpus_id, count(DISTINCT page_no) AS pages, count(*) AS blocks_total,
+      count(*) FILTER (status = 'hit') AS cached_blocks, count(*) FILTER (status <> 'hit') AS uncached_blocks,
+      sum(length(source_text))::BIGINT AS source_chars,
+      sum(CASE WHEN status = 'hit' THEN 0 ELSE length(source_text) END)::BIGINT AS uncached_source_chars
+    FROM status GROUP BY corpus_id)
+  LEFT JOIN (SELECT corpus_id, count(*) AS requests,
+      sum((length({o.SYSTEM}) + 3) // 4 + (length({o.PROMPT}) + 3) // 4)::BIGINT AS i,
+      sum((length(source_text) + 3) // 4)::BIGINT AS x FROM chunk_prompts GROUP BY corpus_id) USING (corpus_id)""",
+    "status", "glossary", **chunk_ctes(CFG.max_chars, "status WHERE status <> 'hit'", "corpus_id, doc_id, block_index", "source_text"),
+    chunk_prompts=CHUNK_PROMPTS_SQL).replace("walk AS MATERIALIZED", "walk AS"))
 def usage_estimate(t: Tables) -> DataFrame:
     valid = cache_ops.cache_status(t.keyed(), t.cache(), BLOCK_IDS).filter("status = 'hit'")
-    return requests.usage_estimate(t.keyed(), t.glossary(), valid, UNCUT, BLOCK_IDS)
+    return requests.usage_estimate(t.keyed(), t.glossary(), valid, CFG, BLOCK_IDS)
 
 
 @query("usage_totals", o.sql("""

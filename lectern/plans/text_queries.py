@@ -216,7 +216,8 @@ def error_classify(t: Tables) -> DataFrame:
 # Chunks
 
 
-def _chunk_ctes(max_chars: int) -> dict[str, str]:
+def chunk_ctes(max_chars: int, rows: str = "documents", keys: str = "doc_id", column: str = "text") -> dict[str, str]:
+    """The cutting rule as a walk over the rest of each text."""
     least = max(max_chars // 3, 1)
     head = f"left(rest, {max_chars})"
     sentence = f"length(regexp_extract({head}, '^((?s:.*)[.!?;:。！？；：])', 1))"
@@ -227,19 +228,19 @@ def _chunk_ctes(max_chars: int) -> dict[str, str]:
     )
     return {
         "walk": f"""
-      SELECT doc_id, 0 AS i, NULL::VARCHAR AS chunk, {o.strip('text')} AS rest, false AS done FROM documents
+      SELECT {keys}, 0 AS i, NULL::VARCHAR AS chunk, {o.strip(column)} AS rest, false AS done FROM {rows}
       UNION ALL
-      SELECT doc_id, i + 1, CASE WHEN length(rest) <= {max_chars} THEN rest ELSE {o.strip('left(rest, cut)')} END,
+      SELECT {keys}, i + 1, CASE WHEN length(rest) <= {max_chars} THEN rest ELSE {o.strip('left(rest, cut)')} END,
         CASE WHEN length(rest) <= {max_chars} THEN '' ELSE {o.strip('substr(rest, cut + 1)')} END,
         length(rest) <= {max_chars}
       FROM (SELECT *, {cut} AS cut FROM walk WHERE NOT done AND (rest <> '' OR i = 0))""",
-        "doc_chunks": "SELECT doc_id, i::BIGINT AS chunk_index, chunk FROM walk WHERE i > 0",
+        "doc_chunks": f"SELECT {keys}, i::BIGINT AS chunk_index, chunk FROM walk WHERE i > 0",
     }
 
 
 @query("chunk_documents", o.sql(f"""
   SELECT doc_id, chunk_index, length(chunk) AS chars, {o.short_hash('chunk')} AS hash FROM doc_chunks""",
-    **_chunk_ctes(CFG.max_chars)).replace("walk AS MATERIALIZED", "walk AS"))
+    **chunk_ctes(CFG.max_chars)).replace("walk AS MATERIALIZED", "walk AS"))
 def chunk_documents(t: Tables) -> DataFrame:
     docs = t.documents().select("doc_id", F.col("text").alias("source_text"))
     return chunking.chunk_texts(docs, CFG.max_chars).select(
@@ -252,7 +253,7 @@ def chunk_documents(t: Tables) -> DataFrame:
     {o.reason('text', 'translated')} AS reason
   FROM (SELECT doc_id, count(*) AS chunks, string_agg({o.kana('chunk')}, {o.NL} ORDER BY chunk_index) AS translated
     FROM doc_chunks GROUP BY doc_id) JOIN documents USING (doc_id)""",
-    **_chunk_ctes(REJOIN_CHARS)).replace("walk AS MATERIALIZED", "walk AS"))
+    **chunk_ctes(REJOIN_CHARS)).replace("walk AS MATERIALIZED", "walk AS"))
 def chunk_rejoin(t: Tables) -> DataFrame:
     docs = t.documents().select("doc_id", F.col("text").alias("source_text"))
     parts = chunking.chunk_texts(docs, REJOIN_CHARS).withColumn("translated", t.kana(F.col("chunk")))
