@@ -1,4 +1,4 @@
-"""The translation cache as a table: (seq, key, translated, provider, model, at)."""
+"""The translation cache as a table: (seq, key, translated, provider, model, at); seq is unique in a log."""
 
 from __future__ import annotations
 

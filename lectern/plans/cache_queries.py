@@ -54,13 +54,13 @@ def cache_merge_first_valid(t: Tables) -> DataFrame:
 @query("cache_replace", o.sql(f"""
   SELECT key, {o.short_hash('translated')} AS hash, replaced FROM (
     SELECT key, seq, translated, false AS replaced FROM cache_log
-    UNION ALL SELECT cache_key, 1000000000000000 + doc_id, {o.kana('source_text')}, true FROM failures
+    UNION ALL SELECT cache_key, 1000000000000000 + doc_id * 1000000 + block_index, {o.kana('source_text')}, true FROM failures
       WHERE reason = 'inline_restore_failed')
   QUALIFY row_number() OVER (PARTITION BY key ORDER BY replaced DESC, CASE WHEN replaced THEN -seq ELSE seq END) = 1""",
     "cache_log", "failures"))
 def cache_replace(t: Tables) -> DataFrame:
     forced = t.failures().filter("reason = 'inline_restore_failed'").select(
-        (F.lit(10**15) + F.col("doc_id")).alias("seq"), F.col("cache_key").alias("key"),
+        (F.lit(10**15) + F.col("doc_id") * 1000000 + F.col("block_index")).alias("seq"), F.col("cache_key").alias("key"),
         t.kana(F.col("source_text")).alias("translated"), F.lit(CFG.provider).alias("provider"),
         F.lit(CFG.model_name).alias("model"), F.lit(NOW).alias("at"), F.lit(True).alias("replace"),
     )
