@@ -7,21 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRACKED = 100
+TRACKED = 1_000
+COUNTERS = 100_000
 SALTS = 64
 HOT_ROWS = 1_000_000
 
 
 def hot_values(rows: DataFrame, key: str, least: int = HOT_ROWS) -> list:
-    """Values that hold more than 1/TRACKED of the rows, of which there are fewer than TRACKED.
+    """Values with more than ``least`` rows, a task's worth whatever the table's size; the commonest first.
 
-    One pass over the key column with a fixed-size sketch; no shuffle of keys.
+    The sketch's counters tell such values apart up to ``least`` x COUNTERS rows. One pass
+    over the key column with a sketch of fixed size; no shuffle of keys.
     """
-    found = rows.agg(
-        F.count("*").alias("n"), F.expr(f"approx_top_k(`{key}`, {TRACKED}, {TRACKED * 100})").alias("top")
-    ).first()
-    floor = max(least, found.n // TRACKED)
-    return [t["item"] for t in found.top or [] if t["count"] > floor and t["item"] is not None]
+    found = rows.agg(F.expr(f"approx_top_k(`{key}`, {TRACKED}, {COUNTERS})").alias("top")).first()
+    return [t["item"] for t in found.top or [] if t["count"] > least and t["item"] is not None]
 
 
 def spread_join(rows: DataFrame, lookup: DataFrame, key: str, spread_by: Sequence[str],

@@ -73,6 +73,13 @@ def test_spread_join_equals_plain_join(spark):
         assert sorted(map(str, spread.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
 
 
+def test_a_key_of_half_a_percent_is_split(spark):
+    rows = spark.createDataFrame([(i, "warm" if i % 200 == 0 else f"k{i}") for i in range(2_000)], "i int, k string")
+    assert joins.hot_values(rows, "k", 8) == ["warm"] and joins.hot_values(rows, "k", 10) == []
+    spread = joins.spread_join(rows, spark.createDataFrame([("warm", 1)], "k string, v int"), "k", ["i"], least=8)
+    assert "_salt" in spread._jdf.queryExecution().optimizedPlan().toString() and spread.where("v = 1").count() == 10
+
+
 # Cache
 
 
