@@ -31,7 +31,7 @@ from lectern.llm.common import as_batch, as_lists, held_out, shipped
 from lectern.llm.wordtable import table_for
 
 #: Bounds of the sample that the machine is fitted on: labelled documents of each class.
-SAMPLE_DOCUMENTS = 1_500
+SAMPLE_DOCUMENTS = 1_000
 #: Distinct strings of a sampled document that are used, drawn by hash.
 SAMPLE_STRINGS = 2_000
 SHORTEST, LENGTH, DECAY = 3, 4, 0.6
@@ -259,23 +259,32 @@ def telling_roots(bags: list[dict[str, str]], labels: Sequence[int]) -> list[str
     passage that many toxic documents share makes none of its words telling. Of beginnings
     that extend each other the longest without a loss of support stands for all.
     """
+    def beginnings(bag) -> set[str]:
+        return {s[:n] for s in bag for n in range(ROOT[0], min(len(s), ROOT[1]) + 1)}
+
     groups = unrelated([list(bag) for bag in bags])
-    hits: dict[str, tuple[set, set]] = {}
-    clean = Counter()
+    n_toxic = len({g for g, label in zip(groups, labels) if label})
+    n_clean = max(1, sum(1 for label in labels if not label))
+    least = max(3, LEAST_SUPPORT * n_toxic)
+    documents = Counter()
+    for bag, label in zip(bags, labels):
+        if label:
+            documents.update(beginnings(bag))
+    # Few beginnings are in enough documents; only for these the groups and the words before are kept.
+    hits: dict[str, tuple[set, set]] = {s: (set(), set()) for s, n in documents.items() if n >= least}
+    del documents
     for bag, label, group in zip(bags, labels, groups):
         if label:
             for s, last in bag.items():
                 for n in range(ROOT[0], min(len(s), ROOT[1]) + 1):
-                    found = hits.setdefault(s[:n], (set(), set()))
-                    found[0].add(group)
-                    found[1].add(last)
-    n_toxic = len({g for g, label in zip(groups, labels) if label})
-    n_clean = max(1, sum(1 for label in labels if not label))
-    least = max(3, LEAST_SUPPORT * n_toxic)
+                    if s[:n] in hits:
+                        hits[s[:n]][0].add(group)
+                        hits[s[:n]][1].add(last)
     support = {s: n for s, (in_groups, after) in hits.items() if (n := min(len(in_groups), len(after))) >= least}
+    clean = Counter()
     for bag, label in zip(bags, labels):
         if not label:
-            clean.update({s[:n] for s in bag for n in range(ROOT[0], min(len(s), ROOT[1]) + 1)} & support.keys())
+            clean.update(beginnings(bag) & support.keys())
     good = {s: n for s, n in support.items()
             if (n + 0.5) / (n_toxic + 1) >= LEAST_ODDS * (clean[s] + 0.5) / (n_clean + 1)}
     shortened = {s[:-1] for s, n in good.items() if n >= 0.9 * good.get(s[:-1], 1 << 60)}
