@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.caches import claim
 from lectern.llm.common import as_batch, as_lists, shipped, whole_text
 from lectern.llm.components import components
 from lectern.session import written
@@ -36,7 +37,7 @@ IDF_STRENGTH = 0.1
 COUNTERS_LOG2, BLOCKS_LOG2 = 20, 6
 LEAST_AGREEMENT = 0.5
 CROWDED = 2_000
-KEPT_WORDS = 800_000
+KEPT_WORDS = 300_000
 WEIGHT_STEPS = 32
 
 DRAWN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("draws", pa.binary())])
@@ -53,6 +54,7 @@ def _word_hash(word: bytes) -> int:
 
 def shingles(text: str) -> np.ndarray:
     """64-bit hashes of the text's shingles, in order. Fewer than five words are one shingle; no words, none."""
+    claim("shingles", _word_hashes.clear)
     ws = text.encode("utf-8", "surrogatepass").split()
     known = _word_hashes.get
     hashed = np.fromiter((known(w) or _word_hash(w) for w in ws), np.uint64, len(ws))

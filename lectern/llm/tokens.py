@@ -16,6 +16,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from tokenizers import Tokenizer
 
+from lectern.llm.caches import claim
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 END_ID = 2
@@ -91,6 +93,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(spec: str) -> Encoder:
     """The worker's encoder for this tokenizer."""
+    claim("tokens", _encoders.clear)
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _encoders:
         _encoders[key] = Encoder(spec)

@@ -11,7 +11,9 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-KEPT = 600_000
+from lectern.llm.caches import claim
+
+KEPT = 400_000
 
 
 class WordTable:
@@ -53,6 +55,7 @@ _tables: dict[str, WordTable] = {}
 
 def table_for(key: str, answer: Callable[[list[str]], np.ndarray]) -> WordTable:
     """The worker's table for the model named by ``key``; another model's table is dropped."""
+    claim("words", _tables.clear)
     if key not in _tables:
         _tables.clear()
         _tables[key] = WordTable(answer)

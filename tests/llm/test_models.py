@@ -5,10 +5,11 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from lectern.llm import language, toxicity
-from lectern.llm.wordtable import WordTable
+from lectern.llm import language, minhash, tokens, toxicity
+from lectern.llm.wordtable import WordTable, table_for
 
 SYLLABLES = {"xx": "ka to mi ru sha no".split(), "yy": "gro wen tsch ält üb ein".split(), "zz": "é oui lle eau ç tion".split()}
 
@@ -143,3 +144,12 @@ def test_a_full_word_table_starts_anew():
         got = table.of(docs)
         assert [g[:, 0].tolist() if len(g) else [] for g in got] == [[len(w) for w in d] for d in docs]
     assert max(map(len, asked)) <= 3
+
+
+def test_a_worker_holds_one_cache_at_a_time():
+    minhash.shingles("one two three four five six")
+    assert minhash._word_hashes
+    tokens.encoder(tokens.spec_of(public_tokenizers.path("byte_bpe_50k.json")))
+    assert tokens._encoders and not minhash._word_hashes
+    table_for("m", lambda words: np.zeros((len(words), 1)))
+    assert not tokens._encoders
