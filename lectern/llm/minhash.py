@@ -256,9 +256,11 @@ def _across(get_idf, least: float):
     such member is compared with all others at once: its weights are laid out over the
     block's shingles, and the others' shares in them are summed per set. Of the members of
     a component that it links with, one link is kept, so a block gives fewer links than it
-    has members.
+    has members. In a block of two sides each member of the first is compared with all of
+    the second.
     """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("side", kind="stable")
         hashed = [np.frombuffer(h, np.uint64) for h in pdf["hashed"]]
         every = np.concatenate(hashed)
         weights = np.frombuffer(b"".join(pdf["counts"]), "<u4") * get_idf()[_counter_of(every)]
@@ -270,12 +272,18 @@ def _across(get_idf, least: float):
         values, sizes = np.unique(labels, return_counts=True)
         laid = np.zeros(len(names), np.float32)
         us, vs = [], []
-        for i in np.flatnonzero(labels != values[sizes.argmax()]):
+        n_first = int((pdf["side"].to_numpy() == 0).sum())
+        two = n_first < len(pdf)
+        asked = range(n_first) if two else np.flatnonzero(labels != values[sizes.argmax()])
+        at = n_first if two else 0
+        # What is compared with: all of the block, or its second side.
+        place_of, weights_of, starts_of, sums_of = place[starts[at]:], weights[starts[at]:], starts[at:] - starts[at], sums[at:]
+        for i in asked:
             own = slice(starts[i], ends[i])
             laid[place[own]] = weights[own]
-            shared = np.add.reduceat(np.minimum(laid[place], weights), starts, dtype=np.float64)
+            shared = np.add.reduceat(np.minimum(laid[place_of], weights_of), starts_of, dtype=np.float64)
             laid[place[own]] = 0
-            alike = np.flatnonzero((shared >= least * (sums + sums[i] - shared)) & (labels != labels[i]))
+            alike = at + np.flatnonzero((shared >= least * (sums_of + sums[i] - shared)) & (labels[at:] != labels[i]))
             for label in np.unique(labels[alike]):
                 j = alike[labels[alike] == label][0]
                 us.append(max(rep[i], rep[j]))
@@ -334,7 +342,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, least_agreement:
         "component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(
         "a <> b").select("bucket")
-    blocks = _blocks(placed.join(mixed, "bucket").join(signed.select("rep", "draws"), "rep"))
+    blocks = _blocks(placed.join(mixed, "bucket"))
     second = written(blocks.join(sets, "rep").groupBy("bucket", "block").applyInPandas(
         _across(get_idf, least), "u long, v long"), "links")
     named = components(first.union(second))
@@ -345,28 +353,32 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, least_agreement:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Members of a bucket with a block; buckets above ``CROWDED`` are cut finer by further draws.
+    """(bucket, rep, component) -> (bucket, rep, component, block, side): what one task compares.
 
-    Classes alike enough to link agree in most draws. A finer key is a run of draws, longer
-    the more members there are, and every run's start is tried, so a pair that links still
-    meets in some block.
+    A bucket of up to ``CROWDED`` members is one block. A larger one is dealt by hash into
+    sub-blocks of half that many, those of its largest component apart from the rest, and
+    every pair of sub-blocks is a block of its own, one on either side; pairs inside the
+    largest component have nothing to join. So each pair of different components meets in
+    exactly one block, and no block grows with its bucket.
     """
-    def finer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            made = np.frombuffer(b"".join(pdf["draws"]), np.uint64).reshape(len(pdf), BANDS * ROWS)
-            length = np.where(pdf["n"] > CROWDED, 1 + np.log2(pdf["n"] / CROWDED).clip(0) // 3, 0).astype(int)
-            pdf = pdf[["bucket", "rep", "component"]]
-            yield pdf[length == 0].assign(block=np.int64(0))
-            for size in set(length) - {0}:
-                part, own = pdf[length == size], made[length == size]
-                for k in range(BANDS * ROWS):
-                    key = np.full(len(part), k, np.uint64)
-                    for at in range(k, k + size):
-                        key = (key ^ own[:, at % (BANDS * ROWS)]) * np.uint64(0x9E3779B97F4A7C15)
-                        key ^= key >> np.uint64(31)
-                    yield part.assign(block=key.view(np.int64))
-
-    return members.select("bucket", "n", "rep", "component", "draws").mapInPandas(
-        finer, "bucket long, rep long, component long, block long")
+    counted = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    sizes = counted.groupBy("bucket").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).select(
+        "bucket", "n", F.col("most.n").alias("n_most"), F.col("most.component").alias("most"))
+
+    def parts(n):
+        return F.ceil(n * 2 / F.lit(CROWDED)).cast("long")
+
+    rest, most = parts(F.col("n") - F.col("n_most")), parts(F.col("n_most"))
+    inside = F.col("component") == F.col("most")
+    part = F.pmod(F.xxhash64("rep"), F.when(inside, most).otherwise(rest))
+    # Sub-blocks of the rest come first; a block is named by its two sub-blocks, the lower one from the rest.
+    own = F.when(inside, rest + part).otherwise(part)
+    last = F.when(inside, rest).otherwise(rest + most)
+    others = F.when(F.col("n") <= CROWDED, F.array(F.lit(0).cast("long"))).otherwise(
+        F.sequence(F.lit(0).cast("long"), last - 1))
+    return members.select("bucket", "rep", "component").join(sizes, "bucket").select(
+        "bucket", "rep", "component", F.when(F.col("n") <= CROWDED, 0).otherwise(own).alias("own"),
+        F.explode(others).alias("other")).select(
+        "bucket", "rep", "component", F.struct(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).alias("block"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"))
