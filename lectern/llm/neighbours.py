@@ -10,6 +10,10 @@ all members of a ball link with each other. A pair that a pass verifies names it
 balls, and these are then resolved as a whole: by the angles of the pivots where those
 settle it, else by comparing their members in blocks. So no window and no group size limits
 how many partners a vector has.
+
+Each pass also measures, per vector, how long a common prefix its window resolved. Vectors in
+regions so dense that the passes leave a miss above the bound go through more passes among
+themselves, and are compared whole when they are few or further passes do not thin them out.
 """
 
 from __future__ import annotations
@@ -31,7 +35,11 @@ MISSED = 0.0001
 BITS = 64
 LEADERS = 32
 BLOCK = 256
+#: Vectors left open that are compared whole at once, and the size of the sub-blocks of that; bytes of vectors that one task of a pass holds.
+WHOLE, WHOLE_BLOCK = 100_000, 4_096
+TASK_BYTES = 64 << 20
 MARGIN = 1e-7
+BATCH = 8_192
 SEED = 20240
 
 
@@ -76,9 +84,13 @@ def _keyed(numbers: list[int]):
     return run
 
 
-def _ordered(df: DataFrame, numbers: list[int], columns: str) -> DataFrame:
+def _ordered(df: DataFrame, numbers: list[int], columns: str, tasks: int = 0) -> DataFrame:
+    """Rows in the order of each pass; in ``tasks`` ranges where the session's partitions would be fewer."""
     keyed = df.mapInPandas(_keyed(numbers), columns + ", number int, key long")
-    return keyed.repartitionByRange("number", "dims", "key", "rep").sortWithinPartitions("number", "dims", "key", "rep")
+    order = ("number", "dims", "key", "rep")
+    more = tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keyed.repartitionByRange(tasks, *order) if more else keyed.repartitionByRange(*order)
+    return dealt.sortWithinPartitions(*order)
 
 
 def _pivoted(radius: float):
@@ -106,31 +118,116 @@ def _pivoted(radius: float):
     return run
 
 
+def _common_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common beginning of two arrays of 64-bit keys."""
+    x = a ^ b
+    high, low = ((x >> np.uint64(32)).astype(np.float64), (x & np.uint64(0xFFFFFFFF)).astype(np.float64))
+    return BITS - np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(low)[1])
+
+
+def _walked(ball: np.ndarray, unit: np.ndarray, key: np.ndarray, cosine: float, window: int,
+            border: bool) -> tuple[list[np.ndarray], np.ndarray]:
+    """Linked (ball, ball) of each row and the next ``window`` rows of other balls, and the key bits a partner must share to be met.
+
+    Rows of the own ball are passed over, so a member inside a large ball reaches the vectors
+    around it. At the end of the rows nothing is left to meet, unless it is a ``border`` behind
+    which the order goes on: then only what shares more bits than the last row is sure to be met.
+    """
+    n = len(ball)
+    starts = np.flatnonzero(np.r_[True, ball[1:] != ball[:-1]])
+    run_end = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
+    hits, bits = [], np.zeros(n, np.int64)
+    for lot in range(0, n, BATCH):
+        row = np.arange(lot, min(n, lot + BATCH))
+        at = row
+        for step in range(window + 1):
+            at = np.minimum(at + 1, n)
+            own = (at < n) & (ball[np.minimum(at, n - 1)] == ball[row])
+            at = np.where(own, run_end[np.minimum(at, n - 1)], at)
+            on = np.flatnonzero(at < n)
+            if step == window or not len(on):
+                break
+            near = np.einsum("ij,ij->i", unit[row[on]], unit[at[on]]) >= cosine
+            a, b = ball[row[on[near]]], ball[at[on[near]]]
+            hits.append(np.stack([np.maximum(a, b), np.minimum(a, b)], 1))
+        beyond = _common_bits(key[row], key[np.minimum(at, n - 1)]) + 1
+        bits[row] = np.where(at < n, beyond, beyond if border else 0)
+    return hits, bits
+
+
 def _met(cosine: float, window: int):
-    """Ball pairs with a verified pair of members inside a window of the order."""
+    """Ball pairs with a verified pair of members inside a window of the order, and per row the logarithm of its miss."""
+    agree = 1 - math.acos(cosine) / math.pi
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail = None
-        for pdf in batches:
-            if tail is not None:
-                pdf = pd.concat([tail, pdf], ignore_index=True)
-            out = []
-            for _, part in pdf.groupby(["number", "dims"], sort=False):
-                ball = part["ball"].to_numpy()
-                inner = np.zeros(len(part), bool)
-                inner[1:-1] = (ball[1:-1] == ball[:-2]) & (ball[1:-1] == ball[2:])
-                part = part[~inner]
-                ball, unit = part["ball"].to_numpy(), _unit(list(part["vector"]))
-                for step in range(1, min(window, len(part) - 1) + 1):
-                    a, b = ball[:-step], ball[step:]
-                    hit = (np.einsum("ij,ij->i", unit[:-step], unit[step:]) >= cosine) & (a != b)
-                    out.append(np.stack([np.maximum(a[hit], b[hit]), np.minimum(a[hit], b[hit])], 1))
-            tail = pdf.tail(window)
-            pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-            yield pd.DataFrame(pairs, columns=["u", "v"])
+        held = [pdf for pdf in batches if len(pdf)]
+        if not held:
+            return
+        groups = [part for _, part in pd.concat(held, ignore_index=True).groupby(["number", "dims"], sort=False)]
+        for k, part in enumerate(groups):
+            ball, unit = part["ball"].to_numpy(), _unit(list(part["vector"]))
+            key = part["key"].to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+            after, ahead = _walked(ball, unit, key, cosine, window, k == len(groups) - 1)
+            before, behind = _walked(ball[::-1], unit[::-1], key[::-1], cosine, window, k == 0)
+            pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *after, *before]), axis=0)
+            met = np.minimum(agree ** np.maximum(ahead, behind[::-1]), 1 - 1e-9)
+            yield pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]}).astype("Int64").assign(rep=pd.NA, miss=None)[
+                ["u", "v", "rep", "miss"]]
+            yield pd.DataFrame({"u": pd.NA, "v": pd.NA, "rep": part["rep"].to_numpy(), "miss": np.log1p(-met)})
     return run
 
 
+def _compared(cosine: float):
+    """Linked ball pairs of one block: inside a sub-block, or between two."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ball, side, unit = pdf["ball"].to_numpy(), pdf["side"].to_numpy(), _unit(list(pdf["vector"]))
+        other = side == side.max()
+        out = [np.empty((0, 2), np.int64)]
+        rows = np.flatnonzero(side == 0)
+        for at in range(0, len(rows), 512):
+            i, j = np.nonzero(unit[rows[at:at + 512]] @ unit[other].T >= cosine)
+            a, b = ball[rows[at + i]], ball[other][j]
+            out.append(np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1)[a != b], axis=0))
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["u", "v"])
+    return run
+
+
+def _all_pairs(dense: DataFrame, n: int, cosine: float) -> DataFrame:
+    """Linked ball pairs of all vectors of a table, every pair of sub-blocks a task of its own."""
+    parts = max(1, math.ceil(n / WHOLE_BLOCK))
+    own = F.pmod(F.xxhash64("rep", "vector"), F.lit(parts))
+    paired = dense.select("dims", "ball", "vector", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("other"))
+    return paired.select("dims", "ball", "vector", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
+                         (F.col("own") > F.col("other")).cast("int").alias("side")).groupBy("dims", "a", "b").applyInPandas(
+        _compared(cosine), "u long, v long")
+
+
+def _met_pairs(members: DataFrame, n: int, width: int, cosine: float, window: int, missed: float) -> DataFrame:
+    """(u, v), the ball pairs with a link between members: passes for all, more passes for vectors
+    whose measured miss is above ``missed``, and these whole when they are few or stay many."""
+    columns = "ball long, rep long, copies long, dims int, vector binary"
+    passes, done, found, state, now = passes_needed(n, cosine, window, missed), 0, None, None, members
+    while n:
+        numbers = list(range(done + 1, done + passes + 1))
+        tasks = math.ceil(n * passes * 8 * width / TASK_BYTES)
+        out = written(_ordered(now, numbers, columns, tasks).mapInPandas(
+            _met(cosine, window), "u long, v long, rep long, miss double"), "ball-pairs")
+        pairs = out.where("u IS NOT NULL").select("u", "v")
+        found = pairs if found is None else found.union(pairs)
+        # A vector has one row per pass; ids that several vectors share must not count as passes.
+        miss = out.where("rep IS NOT NULL").groupBy("rep").agg((F.avg("miss") * passes).alias("miss"))
+        if state is not None:
+            miss = miss.join(state.withColumnRenamed("miss", "earlier"), "rep").select("rep", (F.col("miss") + F.col("earlier")).alias("miss"))
+        state = written(miss.where(F.col("miss") > math.log(missed)), "open-vectors")
+        now, before, done = written(now.join(state.select("rep"), "rep", "left_semi").select(*now.columns), "dense"), n, done + passes
+        n = now.count()
+        if 0 < n and (n <= WHOLE or 2 * n > before):
+            found = found.union(_all_pairs(now, n, cosine))
+            break
+    return found.distinct() if found is not None else members.selectExpr("ball u", "ball v").limit(0)
+
+
 def _resolved(cosine: float):
     """Linked members of two blocks: each member with the number of vectors on the other side."""
 
@@ -165,7 +262,7 @@ def link_vectors(embeddings: DataFrame, cosine: float = COSINE, window: int = WI
     stored = written(
         classes.select("rep", "copies", F.size("vector").alias("dims"), "vector").mapInPandas(
             _packed, class_columns), "vector-classes")
-    n = stored.count()
+    n, width = stored.agg(F.count("*"), F.coalesce(F.max("dims"), F.lit(0))).first()
 
     half = math.acos(cosine) / 2 - MARGIN
     members = written(
@@ -179,10 +276,7 @@ def link_vectors(embeddings: DataFrame, cosine: float = COSINE, window: int = WI
     members = written(members.join(balls.select("ball", "name"), "ball").select(
         F.col("name").alias("ball"), "rep", "copies", "dims", "vector"), "ball-members")
 
-    numbers = list(range(1, passes_needed(n, cosine, window, missed) + 1))
-    member_columns = "ball long, rep long, copies long, dims int, vector binary"
-    met = written(_ordered(members, numbers, member_columns).mapInPandas(
-        _met(cosine, window), "u long, v long").distinct(), "ball-pairs")
+    met = written(_met_pairs(members, n, width, cosine, window, missed), "ball-pairs")
 
     def side(x: str) -> DataFrame:
         return balls.select(F.col("name").alias(x), F.col("size").alias(f"size_{x}"), F.col("radius").alias(f"radius_{x}"),
