@@ -1,9 +1,10 @@
-"""Quality rules as a short-circuit cascade.
+"""Quality rules in an order from a sample.
 
 A rule is a condition under which a document is rejected. The cost of each rule and the
 share of documents it rejects are estimated on a bounded sample; the rules are then asked
-in the order of rejections per cost, and a rule is evaluated only for documents that all
-earlier ones let pass. The verdict does not depend on the order, only the work does.
+in the order of rejections per cost. The result holds the measures of every document, so all
+of them are computed whatever the order; only the comparisons of a rule are skipped for
+documents that an earlier one rejected. Neither the verdict nor nearly any work depends on the order.
 """
 
 from __future__ import annotations
@@ -145,7 +146,7 @@ def cascade_order(found: Sequence[Estimate]) -> list[Rule]:
 
 
 def first_rejection(order: Sequence[Rule]) -> Column:
-    """The name of the first rule that rejects, null if none does; later rules are not evaluated."""
+    """The name of the first rule that rejects, null if none does; later comparisons are not evaluated, their measures are."""
     verdict = F.lit(None).cast("string")
     for rule in reversed(order):
         verdict = F.when(F.expr(rule.rejects), F.lit(rule.name)).otherwise(verdict)
