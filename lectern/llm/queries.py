@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import centroids, language, minhash, mixing, neighbours, packing, records, rules, secrets, toxicity, warc
+from lectern.llm import centroids, language, minhash, mixing, neighbours, packing, records, rules, secrets, spelling, toxicity, warc
 from lectern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_centroid_clusters", centroids.CLUSTERS_SQL)
 def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_spelling_groups", spelling.SPELLING_SQL)
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
