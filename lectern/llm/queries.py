@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import centroids, language, minhash, mixing, neighbours, packing, records, rules, secrets, spelling, toxicity, warc
+from lectern.llm import centroids, language, minhash, mixing, neighbours, packing, records, repeats, rules, secrets, spelling, toxicity, warc
 from lectern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_spelling_groups", spelling.SPELLING_SQL)
 def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op13_repeated_passages")
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), kept_bytes=False).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
