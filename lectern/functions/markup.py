@@ -32,7 +32,11 @@ BLOCK_EDGE = rf"(?i)<(/?)(?:[a-z0-9]+:)?({_BLOCKS})(?:\s[^>]*)?>"
 BLOCK_OPEN = rf"(?i)<(?:[a-z0-9]+:)?(?:{_BLOCKS})(?:\s[^>]*)?>|<div\s[^>]*id=[\"']{POPUP_PREFIX}[^>]*>"
 POPUP_OPEN = rf"(?i)<div\s[^>]*id=[\"']{POPUP_PREFIX}[^>]*>"
 INLINE_PIECE = r"(?s)<!--.*?-->|<[/!?a-zA-Z][^>]*>|[^<]+|<"
+STRICT_PIECE = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[/!?a-zA-Z][^>]*>|[^<]+"
+CDATA_OPEN, CDATA_CLOSE = "<![CDATA[", "]]>"
 EDGE, NAME_END = "\x01", "\x02"
+#: Edges that one inner fold takes; appending to a list costs its length, so long pages are folded in stretches.
+STRETCH = 256
 
 
 def local_name(tag: Column) -> Column:
@@ -110,12 +114,18 @@ def _is_tag(piece: Column) -> Column:
     return piece.rlike("^</?[a-zA-Z]")
 
 
-def _is_single(piece: Column) -> Column:
-    name = F.lower(F.regexp_extract(piece, r"^<([^\s/>]+)", 1))
-    return piece.endswith("/>") | name.isin(*VOID_TAGS)
+def tag_name(piece: Column) -> Column:
+    return F.regexp_extract(piece, r"^</?([^\s/>]+)", 1)
 
 
-def _tag_numbers(pieces: Column) -> Column:
+def _is_single(piece: Column, strict: bool = False) -> Column:
+    """A tag without an end tag; only raw HTML leaves the slash of void elements out."""
+    if strict:
+        return piece.endswith("/>")
+    return piece.endswith("/>") | F.lower(tag_name(piece)).isin(*VOID_TAGS)
+
+
+def _tag_numbers(pieces: Column, strict: bool = False) -> Column:
     """Marker number of every piece, 0 for text.
 
     Start tags and single tags count up from 1; an end tag takes the number of the
@@ -129,14 +139,14 @@ def _tag_numbers(pieces: Column) -> Column:
     )
 
     def step(state: Column, piece: Column) -> Column:
-        name = F.lower(F.regexp_extract(piece, r"^</?([^\s/>]+)", 1))
+        name = tag_name(piece) if strict else F.lower(tag_name(piece))
         closing = piece.startswith("</")
         same = F.filter(state["open"], lambda o: o["name"] == name)
         match = F.when(closing & (F.size(same) > 0), F.element_at(same, -1)["id"])
         number = F.coalesce(match, state["next"])
         still_open = (
             F.when(match.isNotNull(), F.filter(state["open"], lambda o: o["id"] != match))
-            .when(closing | _is_single(piece), state["open"])
+            .when(closing | _is_single(piece, strict), state["open"])
             .otherwise(F.array_append(state["open"], F.struct(name.alias("name"), number.alias("id"))))
         )
         tagged = F.struct(
@@ -154,33 +164,116 @@ def _tag_numbers(pieces: Column) -> Column:
     return F.aggregate(pieces, start, step, lambda state: state["ids"])
 
 
-def encode_inline(body: Column) -> Column:
-    """(source_text, inline_map): inline tags replaced by numbered markers."""
-    empty_map = F.array().cast("array<struct<marker:string,tag:string>>")
+EMPTY_MAP = "array<struct<marker:string,tag:string>>"
+
+
+def encode_pieces(pieces: Column, strict: bool = False) -> Column:
+    """(source_text, inline_map) of a block's pieces: inline tags replaced by numbered markers.
+
+    Strict pieces keep the case of names and hold the text of CDATA sections as it is.
+    """
 
     def marked(piece: Column, number: Column) -> Column:
-        kind = F.when(piece.startswith("</"), "/E").when(_is_single(piece), "S").otherwise("E")
+        kind = F.when(piece.startswith("</"), "/E").when(_is_single(piece, strict), "S").otherwise("E")
         return F.struct(
             F.when(number > 0, F.concat(F.lit("⟦"), kind, number.cast("string"), F.lit("⟧"))).alias("marker"),
             piece.alias("tag"),
         )
 
     def put_together(entries: Column) -> Column:
-        shown = F.transform(
-            entries,
-            lambda e: F.when(e["marker"].isNotNull(), e["marker"])
-            .when(e["tag"].rlike("^<[!?]"), "")
-            .otherwise(e["tag"]),
-        )
+        def text(e: Column) -> Column:
+            shown = F.when(e["marker"].isNotNull(), e["marker"])
+            if not strict:
+                return shown.when(e["tag"].rlike("^<[!?]"), "").otherwise(e["tag"])
+            inside = F.substring(e["tag"], F.lit(len(CDATA_OPEN) + 1),
+                                 F.length(e["tag"]) - len(CDATA_OPEN) - len(CDATA_CLOSE))
+            return shown.when(e["tag"].startswith(CDATA_OPEN), inside).when(e["tag"].startswith("<"), "").otherwise(
+                decode_entities(e["tag"]))
+
+        joined = F.array_join(F.transform(entries, text), "")
         return F.struct(
-            collapse(decode_entities(F.array_join(shown, ""))).alias("source_text"),
+            collapse(joined if strict else decode_entities(joined)).alias("source_text"),
             F.filter(entries, lambda e: e["marker"].isNotNull()).alias("inline_map"),
         )
 
-    encoded = bound(
-        bound(inline_pieces(body), lambda pieces: F.zip_with(pieces, _tag_numbers(pieces), marked)), put_together
-    )
+    return bound(F.zip_with(pieces, _tag_numbers(pieces, strict), marked), put_together)
+
+
+def encode_inline(body: Column) -> Column:
+    """(source_text, inline_map): inline tags replaced by numbered markers."""
     plain_only = F.struct(
-        collapse(decode_entities(body)).alias("source_text"), empty_map.alias("inline_map")
+        collapse(decode_entities(body)).alias("source_text"), F.array().cast(EMPTY_MAP).alias("inline_map")
     )
-    return F.when(~body.contains("<"), plain_only).otherwise(encoded)
+    return F.when(~body.contains("<"), plain_only).otherwise(bound(inline_pieces(body), lambda p: encode_pieces(p)))
+
+
+def strict_pieces(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit(STRICT_PIECE), F.lit(0))
+
+
+def _strict_edges(pieces: Column) -> Column:
+    """(at, step, name, starts) of every start and end tag: its place, +1 or -1, and whether it opens a block."""
+
+    def edge(piece: Column, at: Column) -> Column:
+        closing, name = piece.startswith("</"), tag_name(piece)
+        popup = (local_name(name) == "div") & piece.rlike(rf"\sid\s*=\s*[\"']{POPUP_PREFIX}")
+        step = F.when(~_is_tag(piece) | _is_single(piece, True) & ~closing, 0).when(closing, -1).otherwise(1)
+        return F.struct(at.alias("at"), step.alias("step"), name.alias("name"),
+                        ((step == 1) & (is_block_tag(name) | popup)).alias("starts"))
+
+    return F.filter(F.transform(pieces, edge), lambda e: e["step"] != 0)
+
+
+BLOCK_PLACES = "array<struct<name:string,first:int,last:int>>"
+
+
+def outer_block_places(pieces: Column) -> Column:
+    """(blocks: (name, first, last) by the places of their tags, problem) of the outermost blocks.
+
+    A fold over the tags carries the open block and the depth inside it. A block ends at the end
+    tag at its own depth, which must bear its name; else, or where the page ends inside a block,
+    ``problem`` says so and what follows is not looked at.
+    """
+
+    def state(name, first, depth, problem, found) -> Column:
+        return F.struct(name.alias("name"), first.alias("first"), depth.alias("depth"),
+                        problem.alias("problem"), found.alias("found"))
+
+    nothing = F.lit(None).cast("string")
+    none_found = F.array().cast(BLOCK_PLACES)
+    start = state(nothing, F.lit(-1), F.lit(0), nothing, none_found)
+
+    def step(s: Column, e: Column) -> Column:
+        inside = s["name"].isNotNull() & s["problem"].isNull()
+        opens = s["name"].isNull() & s["problem"].isNull() & e["starts"]
+        at_end = inside & (e["step"] < 0) & (s["depth"] == 0)
+        closes = at_end & (s["name"] == e["name"])
+        block = F.struct(s["name"].alias("name"), s["first"].alias("first"), e["at"].alias("last"))
+        return state(
+            F.when(opens, e["name"]).when(closes, nothing).otherwise(s["name"]),
+            F.when(opens, e["at"]).otherwise(s["first"]),
+            F.when(opens, 0).when(inside & ~at_end, s["depth"] + e["step"]).otherwise(s["depth"]),
+            F.when(at_end & ~closes, F.concat(F.lit("</"), e["name"], F.lit("> inside <"), s["name"], F.lit(">"))).otherwise(s["problem"]),
+            F.when(closes, F.array_append(s["found"], block)).otherwise(s["found"]),
+        )
+
+    def stretch(edges: Column, number: Column, s: Column) -> Column:
+        fresh = state(s["name"], s["first"], s["depth"], s["problem"], none_found)
+        return F.aggregate(F.slice(edges, number * STRETCH + 1, F.lit(STRETCH)), fresh, step)
+
+    def folded(edges: Column) -> Column:
+        outer_start = state(nothing, F.lit(-1), F.lit(0), nothing, F.array().cast(f"array<{BLOCK_PLACES}>"))
+        stretches = F.sequence(F.lit(0), F.floor((F.size(edges) - 1) / STRETCH).cast("int"))
+
+        def outer(s: Column, number: Column) -> Column:
+            return bound(stretch(edges, number, s), lambda t: state(
+                t["name"], t["first"], t["depth"], t["problem"], F.array_append(s["found"], t["found"])))
+
+        def ended(s: Column) -> Column:
+            open_end = F.when(s["name"].isNotNull(), F.concat(F.lit("page ends inside <"), s["name"], F.lit(">")))
+            return F.struct(F.flatten(s["found"]).alias("blocks"), F.coalesce(s["problem"], open_end).alias("problem"))
+
+        empty = F.struct(none_found.alias("blocks"), nothing.alias("problem"))
+        return F.when(F.size(edges) == 0, empty).otherwise(F.aggregate(stretches, outer_start, outer, ended))
+
+    return bound(_strict_edges(pieces), folded)

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import markup
-from lectern.functions.text import collapse
-from lectern.operators import strict_markup
+from lectern.functions.text import bound, collapse
 
 
 def exploded_blocks(df: DataFrame, blocks: Column) -> DataFrame:
@@ -47,31 +43,32 @@ def extract_blocks(pages: DataFrame) -> DataFrame:
     return exploded_blocks(pages, blocks)
 
 
-STRICT_SCHEMA = (
-    "corpus_id string, page_no long, block_index int, tag string, source_text string, "
-    "inline_map array<struct<marker:string,tag:string>>, corrupt_reason string"
-)
-
-
 def extract_blocks_strict(pages: DataFrame) -> DataFrame:
     """Outermost blocks of well-formed XHTML; nested blocks become inline content.
 
-    A malformed page gives one row with its ``corrupt_reason``.
+    Takes (corpus_id, page_no, html). A page whose blocks do not close gives the blocks before
+    that place and one row with its ``corrupt_reason``.
     """
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for corpus, page, html in zip(frame.corpus_id, frame.page_no, frame.html):
-                found, problem = strict_markup.outer_blocks(html)
-                for index, (tag, source, inline_map) in enumerate(found, start=1):
-                    rows.append((corpus, page, index, tag, source, inline_map, None))
-                if problem:
-                    rows.append((corpus, page, None, None, None, None, problem))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in STRICT_SCHEMA.split(", ")])
-            yield out.astype({"block_index": "Int32"})
-
-    return pages.select("corpus_id", "page_no", "html").mapInPandas(batches, STRICT_SCHEMA)
+    pieces = pages.select("corpus_id", "page_no", markup.strict_pieces(F.col("html")).alias("pieces"))
+    placed = pieces.withColumn("outer", markup.outer_block_places(F.col("pieces")))
+
+    def block(place: Column) -> Column:
+        body = F.slice(F.col("pieces"), place["first"] + 2, place["last"] - place["first"] - 1)
+        return bound(markup.encode_pieces(body, strict=True), lambda inline: F.struct(
+            markup.local_name(place["name"]).alias("tag"), inline["source_text"].alias("source_text"),
+            inline["inline_map"].alias("inline_map")))
+
+    kept = F.filter(F.transform("outer.blocks", block), lambda b: b["source_text"] != "")
+    nothing = F.lit(None).cast("string")
+
+    def row(number: Column, tag: Column, source: Column, saved: Column, problem: Column) -> Column:
+        return F.struct(number.cast("int").alias("block_index"), tag.alias("tag"), source.alias("source_text"),
+                        saved.alias("inline_map"), problem.alias("corrupt_reason"))
+
+    found = F.transform(kept, lambda b, i: row(i + 1, b["tag"], b["source_text"], b["inline_map"], nothing))
+    corrupt = row(F.lit(None), nothing, nothing, F.lit(None).cast(markup.EMPTY_MAP), F.col("outer.problem"))
+    rows = F.when(F.col("outer.problem").isNull(), found).otherwise(F.array_append(found, corrupt))
+    return placed.select("corpus_id", "page_no", F.explode(rows).alias("row")).select("corpus_id", "page_no", "row.*")
 
 
 def line_blocks(documents: DataFrame) -> DataFrame:

@@ -140,10 +140,13 @@ def inline_encode(t: Tables) -> DataFrame:
     )
 
 
-@query("blocks_extract_strict")
+@query("blocks_extract_strict", o.sql("""
+  SELECT corpus_id, page_no, block_index, tag, source_text, sha256(tags) AS tags_hash, corrupt_reason
+  FROM strict_blocks""", "strict_blocks"))
 def blocks_extract_strict(t: Tables) -> DataFrame:
+    tags = F.array_join(F.transform("inline_map", lambda m: F.concat(m["marker"], m["tag"])), "")
     return block_ops.extract_blocks_strict(t.pages()).select(
-        *PAGE_IDS, "block_index", "tag", "source_text", "corrupt_reason"
+        *PAGE_IDS, "block_index", "tag", "source_text", F.sha2(tags, 256).alias("tags_hash"), "corrupt_reason"
     )
 
 

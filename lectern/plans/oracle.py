@@ -385,6 +385,53 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
           len(regexp_extract_all(body, '</[a-zA-Z][^>]*>')) AS ends,
           len(regexp_extract_all(body, '(?i)<(?:{VOIDS})(?:\s[^>]*)?>|<[a-zA-Z][^>]*/>')) AS singles
         FROM page_pieces) WHERE shown <> '' OR starts + ends > 0"""),
+    # Tags of a page with the number of elements open after each; ends close to the left of their start's level.
+    "strict_tags": (("hosts",), rf"""
+      SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY i) AS level FROM (
+        SELECT page_id, corpus_id, page_no, i, piece, regexp_extract(piece, '^</?([^\s/>]+)', 1) AS name,
+          CASE WHEN NOT regexp_matches(piece, '^</?[a-zA-Z]') THEN 0 WHEN starts_with(piece, '</') THEN -1
+            WHEN ends_with(piece, '/>') THEN 0 ELSE 1 END AS step
+        FROM (SELECT page_id, corpus_id, page_no, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM (
+          SELECT *, regexp_extract_all(html, '(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[/!?a-zA-Z][^>]*>|[^<]+') AS ps FROM hosts)))"""),
+    "strict_outer": (("strict_tags",), rf"""
+      SELECT *, min(CASE WHEN problem IS NOT NULL THEN first END) OVER (PARTITION BY page_id) AS bad FROM (
+        SELECT page_id, corpus_id, page_no, name, first, last,
+          CASE WHEN last IS NULL THEN 'page ends inside <' || name || '>'
+            WHEN closer <> name THEN '</' || closer || '> inside <' || name || '>' END AS problem
+        FROM (SELECT *, coalesce(max(coalesce(last, 1000000000)) OVER (PARTITION BY page_id ORDER BY first
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS covered FROM (
+          SELECT s.page_id, s.corpus_id, s.page_no, s.name, s.i AS first, min(e.i) AS last, arg_min(e.name, e.i) AS closer
+          FROM strict_tags s LEFT JOIN strict_tags e
+            ON e.page_id = s.page_id AND e.i > s.i AND e.step = -1 AND e.level < s.level
+          WHERE s.step = 1 AND (regexp_extract(s.name, '([^:]+)$', 1) IN {listed(BLOCK_TAGS)}
+            OR (regexp_extract(s.name, '([^:]+)$', 1) = 'div' AND regexp_matches(s.piece, '\sid\s*=\s*["'']{POPUP_PREFIX}')))
+          GROUP BY ALL)) WHERE first > covered)"""),
+    # An end without a start of its name lowers that name's sum to a new least value; others pair by height.
+    "strict_inline": (("strict_outer",), """
+      SELECT *, CASE WHEN kind = '/E' AND NOT lone THEN max(CASE WHEN kind = 'E' THEN fresh END)
+          OVER (PARTITION BY page_id, first, name, height ORDER BY i) ELSE fresh END AS number
+      FROM (SELECT *, count(CASE WHEN kind IN ('E', 'S') OR lone THEN 1 END) OVER (PARTITION BY page_id, first ORDER BY i) AS fresh,
+          total - least(0, coalesce(low, 0)) + CASE WHEN kind = '/E' AND NOT lone THEN 1 ELSE 0 END AS height
+        FROM (SELECT *, kind = '/E' AND total < least(0, coalesce(lag(low) OVER (PARTITION BY page_id, first, name ORDER BY i), 0)) AS lone
+          FROM (SELECT *, min(total) OVER (PARTITION BY page_id, first, name ORDER BY i) AS low
+            FROM (SELECT b.page_id, b.first, t.i, t.piece, t.name,
+                CASE WHEN NOT regexp_matches(t.piece, '^</?[a-zA-Z]') THEN NULL WHEN t.step = -1 THEN '/E'
+                  WHEN t.step = 0 THEN 'S' ELSE 'E' END AS kind,
+                sum(CASE WHEN regexp_matches(t.piece, '^</?[a-zA-Z]') THEN t.step ELSE 0 END)
+                  OVER (PARTITION BY b.page_id, b.first, t.name ORDER BY t.i) AS total
+              FROM strict_outer b JOIN strict_tags t ON t.page_id = b.page_id AND t.i > b.first AND t.i < b.last
+              WHERE b.problem IS NULL AND b.first < coalesce(b.bad, 1000000000)))))"""),
+    "strict_blocks": (("strict_inline",), rf"""
+      SELECT b.corpus_id, b.page_no, row_number() OVER (PARTITION BY b.page_id ORDER BY b.first) AS block_index,
+        regexp_extract(b.name, '([^:]+)$', 1) AS tag, source_text, tags, NULL AS corrupt_reason
+      FROM strict_outer b JOIN (SELECT page_id, first, {collapse("string_agg(shown, '' ORDER BY i)")} AS source_text,
+          coalesce(string_agg(CASE WHEN kind IS NOT NULL THEN shown || piece END, '' ORDER BY i), '') AS tags
+        FROM (SELECT *, CASE WHEN kind IS NOT NULL THEN '⟦' || kind || number || '⟧'
+            WHEN starts_with(piece, '<![CDATA[') THEN substr(piece, 10, length(piece) - 12) WHEN starts_with(piece, '<') THEN ''
+            ELSE {decode('piece')} END AS shown FROM strict_inline) GROUP BY page_id, first) x
+        ON x.page_id = b.page_id AND x.first = b.first
+      WHERE source_text <> ''
+      UNION ALL SELECT corpus_id, page_no, NULL, NULL, NULL, NULL, problem FROM strict_outer WHERE first = bad"""),
     "nav": (("hosts",), """
       SELECT corpus_id, page_no, unnest(a) AS piece, generate_subscripts(a, 1) AS pos, nav FROM (
         SELECT corpus_id, page_no, nav, regexp_extract_all(nav, '(?is)<a [^>]*>.*?</a\\s*>') AS a FROM (
