@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.config import GLOSSARY_MAX_TERMS, GLOSSARY_MIN_COUNT
 from lectern.functions.prompts import key_lines
-from lectern.functions.text import bound, short_hash, strip
+from lectern.functions.text import short_hash, strip
+from lectern.operators.matcher import with_matches
 
 # Words that often start a sentence, and front-matter headings.
 SENTENCE_STARTERS = (
@@ -20,13 +19,6 @@ SENTENCE_STARTERS = (
 )
 FRONT_MATTER = ("Title Page", "Copyright", "Contents", "Table of Contents", "Introduction")
 
-# Glossaries up to this size travel to the tasks as one array constant; larger ones are
-# matched by an equi-join on character grams.
-BROADCAST_TERMS = 1000
-GRAM = 3
-
-SUBSET_TYPE = "array<struct<pos:int,src:string,dst:string>>"
-
 
 def terms(text: Column) -> Column:
     """Capitalised terms of a text, in order, with repeats.
@@ -85,80 +77,16 @@ def numbered(candidates: DataFrame) -> DataFrame:
     ).select((F.col("place") + 1).alias("pos"), "entry.src")
 
 
-def _subset_column(block: Column, entries: Column) -> Column:
-    hits = bound(F.lower(block), lambda low: F.filter(entries, lambda e: low.contains(e["low"])))
-    return F.transform(
-        hits, lambda e: F.struct(e["pos"].alias("pos"), e["src"].alias("src"), e["dst"].alias("dst"))
-    )
-
-
-def glossary_subset(
-    blocks: DataFrame, glossary: DataFrame, ids: list[str], max_broadcast: int = BROADCAST_TERMS
-) -> DataFrame:
-    """Add ``subset``: the usable glossary entries that occur in the block, by position.
+def glossary_subset(blocks: DataFrame, glossary: DataFrame) -> DataFrame:
+    """Add ``subset``: the usable glossary entries that occur in ``source_text`` in any case, by position.
 
-    The number of entries is checked first. A glossary of at most ``max_broadcast``
-    terms becomes one array constant of the plan; a larger one is joined by grams.
-    ``ids`` names the columns that identify a block.
+    One path for glossaries of any size, see ``matcher``.
     """
     usable = glossary.select(
         F.col("pos").cast("int").alias("pos"), strip(F.col("src")).alias("src"),
         strip(F.col("dst")).alias("dst"),
-    ).filter((F.col("src") != "") & (F.col("dst") != ""))
-    few = usable.withColumn("low", F.lower("src")).limit(max_broadcast + 1).collect()
-    if len(few) > max_broadcast:
-        return _subset_by_grams(blocks, usable, ids)
-    rows = [r.asDict() for r in sorted(few, key=lambda r: r.pos)]
-    entries = F.from_json(
-        F.lit(json.dumps(rows)), "array<struct<pos:int,src:string,dst:string,low:string>>"
-    )
-    return blocks.withColumn("subset", _subset_column(F.col("source_text"), entries))
-
-
-def grams(text: Column, size: int) -> Column:
-    places = F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1)))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, size)))
-
-
-def _subset_by_grams(blocks: DataFrame, usable: DataFrame, ids: list[str]) -> DataFrame:
-    """Exact substring match for glossaries of any size.
-
-    Every term is looked up under its rarest gram; a block can only contain the
-    term if it contains that gram. Terms shorter than a gram use their own length.
-    """
-    low_terms = usable.withColumn("low", F.lower("src"))
-    low_blocks = blocks.select(*ids, F.lower("source_text").alias("low_text"))
-    sizes = range(1, GRAM + 1)
-    block_grams = low_blocks.select(
-        *ids, F.explode(F.array_distinct(F.concat(*[grams(F.col("low_text"), n) for n in sizes]))).alias("gram")
-    )
-    term_grams = low_terms.select(
-        "pos",
-        F.explode(
-            F.when(F.length("low") >= GRAM, grams(F.col("low"), GRAM)).otherwise(F.array("low"))
-        ).alias("gram"),
-    )
-    frequency = block_grams.join(term_grams.select("gram").distinct(), "gram").groupBy("gram").agg(
-        F.count("*").alias("freq")
-    )
-    keyed = (
-        term_grams.join(frequency, "gram", "left")
-        .groupBy("pos")
-        .agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "gram")).alias("key"))
-        .filter("key.freq > 0")
-        .select("pos", "key.gram")
-    )
-    hits = (
-        block_grams.join(keyed, "gram")
-        .join(low_terms, "pos")
-        .join(low_blocks, ids)
-        .filter(F.col("low_text").contains(F.col("low")))
-        .groupBy(*ids)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "src", "dst"))).alias("subset"))
-    )
-    return blocks.join(hits, ids, "left").withColumn(
-        "subset", F.coalesce("subset", F.array().cast(SUBSET_TYPE))
-    )
+    ).filter((F.col("src") != "") & (F.col("dst") != "")).withColumn("low", F.lower("src"))
+    return with_matches(blocks.withColumn("_low", F.lower("source_text")), "_low", usable, "subset")
 
 
 def glossary_digest(glossary: DataFrame) -> DataFrame:

@@ -87,10 +87,9 @@ def uncached(keyed: DataFrame, cache: DataFrame) -> DataFrame:
     )
 
 
-def prepare(blocks: DataFrame, glossary: DataFrame, cache: DataFrame | None, cfg: EngineConfig,
-            ids: list[str]) -> DataFrame:
+def prepare(blocks: DataFrame, glossary: DataFrame, cache: DataFrame | None, cfg: EngineConfig) -> DataFrame:
     """Keyed blocks that still need a request."""
-    keyed = with_cache_key(glossary_subset(blocks, glossary, ids), cfg)
+    keyed = with_cache_key(glossary_subset(blocks, glossary), cfg)
     return keyed if cache is None else uncached(keyed, cache)
 
 
@@ -200,7 +199,7 @@ def usage_estimate(blocks: DataFrame, glossary: DataFrame, valid_keys: DataFrame
     pieces = chunk_texts(base.filter("not cached").select("corpus_id", *ids, "source_text"), cfg.max_chars)
     parts = glossary_subset(
         pieces.select("corpus_id", *ids, "chunk_index", F.col("chunk").alias("source_text")),
-        glossary, [*ids, "chunk_index"],
+        glossary,
     )
     prompt = prompts.user_prompt(F.col("source_text"), F.col("subset"))
     system_tokens = -(-len(prompts.system_prompt(cfg.style)) // 4)

@@ -9,7 +9,7 @@ from lectern.functions.text import short_hash
 from lectern.operators import importing, ledger, packing, parts, requests, verify
 from lectern.plans import oracle as o
 from lectern.plans.registry import query
-from lectern.plans.tables import BLOCK_IDS, CFG, NOW, PART_ROWS, Tables
+from lectern.plans.tables import CFG, NOW, PART_ROWS, Tables
 from lectern.session import new_folder
 from lectern.sources import jsonl
 
@@ -27,7 +27,7 @@ ELAPSED = 3725
     WHERE c.key IS NULL OR {o.reason('e.source_text', 'c.translated')} IS NOT NULL)""",
     "expected", "keyed", "cache"))
 def batch_prepare(t: Tables) -> DataFrame:
-    todo = requests.prepare(t.doc_blocks(), t.glossary(), t.cache(), CFG, BLOCK_IDS)
+    todo = requests.prepare(t.doc_blocks(), t.glossary(), t.cache(), CFG)
     return requests.prepared(todo, CFG, NOW).select(
         "custom_id", "source_hash", "prompt_hash", "source_chars", F.length("body.input").alias("request_chars")
     )

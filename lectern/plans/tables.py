@@ -122,7 +122,7 @@ class Tables:
         return self.stored(
             "keyed",
             lambda: request_ops.with_cache_key(
-                glossary_ops.glossary_subset(self.doc_blocks(), self.glossary(), BLOCK_IDS), CFG
+                glossary_ops.glossary_subset(self.doc_blocks(), self.glossary()), CFG
             ),
         )
 

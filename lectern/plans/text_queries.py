@@ -11,7 +11,7 @@ from lectern.operators import cache as cache_ops
 from lectern.operators import chunking, glossary, requests, spine
 from lectern.plans import oracle as o
 from lectern.plans.registry import query
-from lectern.plans.tables import BLOCK_IDS, CFG, Tables
+from lectern.plans.tables import CFG, Tables
 from lectern.session import new_folder
 from lectern.sources import jsonl
 
@@ -281,11 +281,33 @@ def _subset_text(subset):
 
 @query("glossary_subset", o.sql("SELECT doc_id, block_index, positions FROM keyed", "keyed"))
 def glossary_subset(t: Tables) -> DataFrame:
-    return glossary.glossary_subset(t.doc_blocks(), t.glossary(), BLOCK_IDS).select(
+    return glossary.glossary_subset(t.doc_blocks(), t.glossary()).select(
         *IDS, _subset_text(F.col("subset")).alias("positions")
     )
 
 
+LARGE_TERM_CHARS = (6, 10)
+
+
+@query("glossary_large", o.sql(f"""
+  SELECT doc_id, block_index, count(src) AS hits, {o.short_hash("string_agg(src, ',' ORDER BY src)")} AS digest
+  FROM (SELECT DISTINCT doc_id, block_index, unnest(list_transform(range(1, length(low) - w + 2),
+      lambda i: substr(low, i, w))) AS src
+    FROM (SELECT doc_id, block_index, lower(source_text) AS low, unnest(range({LARGE_TERM_CHARS[0]}, {LARGE_TERM_CHARS[1]} + 1)) AS w
+      FROM doc_blocks)) JOIN large_terms USING (src) GROUP BY doc_id, block_index""", "doc_blocks", large_terms=f"""
+  SELECT DISTINCT src FROM (SELECT lower(unnest(regexp_extract_all(text, '[^ \n]+'))) AS src FROM documents)
+  WHERE length(src) BETWEEN {LARGE_TERM_CHARS[0]} AND {LARGE_TERM_CHARS[1]}"""))
+def glossary_large(t: Tables) -> DataFrame:
+    """Every word of medium length as an entry: tens of thousands at once."""
+    words = t.documents().select(F.explode(F.regexp_extract_all("text", F.lit("[^ \n]+"), F.lit(0))).alias("word"))
+    entries = words.select(F.lower("word").alias("src")).distinct().where(F.length("src").between(*LARGE_TERM_CHARS)).select(
+        F.lit(1).alias("pos"), "src", F.lit("t").alias("dst"))
+    found = F.array_sort(F.transform("subset", lambda e: e["src"]))
+    return glossary.glossary_subset(t.doc_blocks(), entries).select(
+        *IDS, F.size("subset").cast("long").alias("hits"), text.short_hash(F.array_join(found, ",")).alias("digest")
+    ).where("hits > 0")
+
+
 @query("glossary_coverage", o.sql("""
   SELECT pos, src, count(*) AS blocks FROM doc_blocks
   JOIN glossary ON dst <> '' AND contains(lower(source_text), lower(src)) GROUP BY ALL""", "doc_blocks", "glossary"))
@@ -392,7 +414,7 @@ def lang_report(t: Tables) -> DataFrame:
 
 @query("cache_keys", o.sql("SELECT doc_id, block_index, cache_key FROM keyed", "keyed"))
 def cache_keys(t: Tables) -> DataFrame:
-    subset = glossary.glossary_subset(t.doc_blocks(), t.glossary(), BLOCK_IDS)
+    subset = glossary.glossary_subset(t.doc_blocks(), t.glossary())
     return requests.with_cache_key(subset, CFG).select(*IDS, "cache_key")
 
 

@@ -1,14 +1,16 @@
 """Column functions on cases small enough to judge by eye."""
 
+import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lectern.functions import formats, language, markers, markup, prompts, text, validation
-from lectern.operators import chunking, glossary
+from lectern.operators import chunking, glossary, matcher
 
 KANA = "あいうえお"
 
@@ -170,18 +172,33 @@ def test_terms(spark):
     assert got == ["The Silver Lantern", "However Anna", "'Bob' Lee's NASA-Team Xi'an", "Ab Mirror Chapter"]
 
 
-def test_large_glossary_finds_the_same(spark):
+@pytest.mark.parametrize("shard_bytes", [1, matcher.SHARD_BYTES])
+def test_glossary_matches_in_any_number_of_shards(spark, monkeypatch, shard_bytes):
+    monkeypatch.setattr(matcher, "SHARD_BYTES", shard_bytes)
     blocks = spark.createDataFrame(
-        [(1, "A party of art lovers met at the museum"), (2, "x Y z"), (3, ""), (4, "Straße art")],
+        [(1, "A party of art lovers met at the museum"), (2, "x Y z"), (3, ""), (4, "Straße art"), (5, None)],
         "id int, source_text string",
     )
-    terms = [("art", "a"), ("museum", "b"), ("y", "c"), ("xy", "d"), ("  Art lovers ", "e"), ("q", ""), ("ß", "f")]
+    terms = [("art", "a"), ("museum", "b"), ("y", "c"), ("xy", "d"), ("  Art lovers ", "e"), ("q", ""), ("ß", "f"), ("ART", "g")]
     entries = spark.createDataFrame([(i, s, d) for i, (s, d) in enumerate(terms, 1)], "pos int, src string, dst string")
-    found = [
-        {r.id: [e.pos for e in r.subset] for r in glossary.glossary_subset(blocks, entries, ["id"], limit).collect()}
-        for limit in (100, 2)
-    ]
-    assert found[0] == found[1] == {1: [1, 2, 3, 5], 2: [3], 3: [], 4: [1, 7]}
+    found = {r.id: [(e.pos, e.src) for e in r.subset] for r in glossary.glossary_subset(blocks, entries).collect()}
+    assert found == {1: [(1, "art"), (2, "museum"), (3, "y"), (5, "Art lovers"), (8, "ART")], 2: [(3, "y")], 3: [],
+                     4: [(1, "art"), (7, "ß"), (8, "ART")], 5: []}
+    none = glossary.glossary_subset(blocks, entries.limit(0)).collect()
+    assert all(r.subset == [] for r in none)
+
+
+def test_automaton_finds_what_contains_finds(monkeypatch):
+    rng = random.Random(5)
+    for width in (8, 512):
+        monkeypatch.setattr(matcher, "WINDOW", width)
+        terms = ["".join(rng.choice("abé") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+        texts = ["".join(rng.choice("abéx") for _ in range(rng.randint(0, 90))) for _ in range(80)] + ["", "a" * 500]
+        data = [t.encode() for t in texts]
+        begins = np.cumsum([0, *map(len, data)])
+        automaton = matcher.Automaton.from_row(matcher.Automaton.of(terms, list(range(60)), terms, terms).row())
+        got = sorted(automaton.matches(np.frombuffer(b"".join(data), np.uint8), begins))
+        assert got == sorted((i, e) for i, t in enumerate(texts) for e, term in enumerate(terms) if term in t)
 
 
 def test_key_depends_on_usable_glossary_only(spark):
