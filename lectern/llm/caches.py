@@ -7,8 +7,12 @@ pipeline of several operators holds no more than the largest of them.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _holder: list[tuple[str, Callable[[], None]]] = []
 
 
@@ -18,4 +22,15 @@ def claim(name: str, clear: Callable[[], None]) -> None:
         return
     if _holder:
         _holder.pop()[1]()
+        _given_back()
     _holder.append((name, clear))
+
+
+def _given_back() -> None:
+    """Hands freed memory back to the system, which the allocators would keep for later."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library

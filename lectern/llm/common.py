@@ -5,7 +5,9 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,10 +56,28 @@ def shipped(spark: SparkSession, value: object) -> Callable[[], object]:
     return get
 
 
+#: Bytes of text that a task turns into Python objects at a time.
+LOT_BYTES = 4 << 20
+
+
+def lots(batch: pa.RecordBatch, most: int = LOT_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts hold at most ``most`` bytes; a longer text is a slice of its own."""
+    if "text" not in batch.schema.names or batch.nbytes <= most:
+        yield batch
+        return
+    until = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, before = 0, 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(until, before + most, side="right")))
+        yield batch.slice(at, end - at)
+        at, before = end, int(until[end - 1])
+
+
 def as_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-    """Batches as a list per column. Whole numbers beside nulls stay whole, which they would not in pandas."""
+    """Batches, cut into lots, as a list per column. Whole numbers beside nulls stay whole, which they would not in pandas."""
     for batch in batches:
-        yield batch.to_pydict()
+        for lot in lots(batch):
+            yield lot.to_pydict()
 
 
 def as_batch(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from lectern.llm.common import held_out, shipped
+from lectern.llm.common import held_out, lots, shipped
 from lectern.llm.wordtable import table_for
 
 UNKNOWN = "und"
@@ -246,10 +246,11 @@ def with_language(docs: DataFrame, network: ByteNetwork | None, prediction: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = predictions(get(), batch.column("text").to_pylist(), key)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                names=[*batch.schema.names, prediction, score])
+            for lot in lots(batch):
+                langs, scores = predictions(get(), lot.column("text").to_pylist(), key)
+                yield pa.RecordBatch.from_arrays(
+                    [*lot.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                    names=[*lot.schema.names, prediction, score])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = StructType(rows.schema.fields + [StructField(prediction, StringType()), StructField(score, DoubleType())])

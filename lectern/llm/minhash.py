@@ -54,7 +54,7 @@ def _word_hash(word: bytes) -> int:
 
 def shingles(text: str) -> np.ndarray:
     """64-bit hashes of the text's shingles, in order. Fewer than five words are one shingle; no words, none."""
-    claim("shingles", _word_hashes.clear)
+    claim("shingles", _cleared)
     ws = text.encode("utf-8", "surrogatepass").split()
     known = _word_hashes.get
     hashed = np.fromiter((known(w) or _word_hash(w) for w in ws), np.uint64, len(ws))
@@ -177,6 +177,11 @@ class _Sampler:
 _samplers: list[_Sampler] = []
 
 
+def _cleared() -> None:
+    _word_hashes.clear()
+    _samplers.clear()
+
+
 def draws(hashed: np.ndarray, weights: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
     """One consistent weighted sample per hash function, as 64-bit numbers (element and level)."""
     if not _samplers:
@@ -324,7 +329,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, least_agreement:
     filed = written(ranked.select("rep", "bucket").join(shared, "bucket"), "buckets")
     wanted = filed.select("rep").distinct().join(signed.select("rep", "digest"), "rep")
     sets = written(keyed.select(F.col("doc_id").alias("rep"), F.md5(F.col("text").cast("binary")).alias("digest"), "text").join(
-        wanted, ["rep", "digest"]).select("rep", "text").mapInPandas(_sets, "rep long, hashed binary, counts binary"), "sets")
+        wanted, ["rep", "digest"]).groupBy("rep", "digest").agg(F.first("text").alias("text")).select("rep", "text").mapInPandas(_sets, "rep long, hashed binary, counts binary"), "sets")
 
     def beside(pairs: DataFrame, table: DataFrame, values: list[str]) -> DataFrame:
         for x in ("u", "v"):

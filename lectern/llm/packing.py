@@ -11,6 +11,7 @@ is partitioned anew with one window more.
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from lectern.session import written
 
 CAPACITY = 4096
 PIECE = 512
-GROUP_WINDOWS = 256
+GROUP_WINDOWS, GROUP_PIECES = 256, 16_384
 
 PIECES = ("piece_id long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
 PIECE_SCHEMA = pa.schema([*[(c, pa.int64()) for c in ("piece_id", "doc_id", "start", "length", "ids_crc32", "doc_tokens")],
@@ -129,14 +130,15 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     return written(docs.select("doc_id", "text").mapInArrow(cut, PIECES), "pieces")
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY, group_windows: int = GROUP_WINDOWS) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = CAPACITY, group_windows: int = GROUP_WINDOWS,
+          group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Stored pieces -> their sequence and offset there. Only lengths and ids of pieces are moved.
 
-    The number of groups follows from the tokens, so a group holds about ``group_windows``
-    windows at every size; the hash that deals pieces to groups knows no source or key.
+    The number of groups follows from the tokens and the pieces, so a group holds about
+    ``group_windows`` windows and ``group_pieces`` pieces at most at every size; the hash that deals pieces to groups knows no source or key.
     """
-    total = pieces.agg(F.sum("length").alias("n")).first()["n"] or 0
-    groups = max(1, round(total / (capacity * group_windows)))
+    total, count = pieces.agg(F.sum("length"), F.count("*")).first()
+    groups = max(1, round((total or 0) / (capacity * group_windows)), math.ceil(count / group_pieces))
     names = [c.split()[0] for c in PLACED.split(", ")]
 
     def pack(group: pa.Table) -> pa.Table:

@@ -2,7 +2,8 @@
 
 A text is cut where the tokenizer's own pre-tokenization always cuts, so the ids of the
 text are those of its chunks in a row. Workers keep the ids of the chunks they have met,
-up to a bound, from batch to batch. Texts where a cut would not be safe are encoded whole.
+up to a bound, from batch to batch. Texts where a cut would not be safe, and those that hold the
+text of a special token (which the tokenizer gives its own id), are encoded whole.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ class Encoder:
 
     def __init__(self, spec: str, kept: int = KEPT_CHUNKS):
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.kept = kept
         parts = json.loads(spec)
@@ -45,6 +45,9 @@ class Encoder:
             not steps["add_prefix_space"])
         self.word_level = kinds == ["NFC", "Replace", "Lowercase"] and (
             [s["type"] for s in steps.get("pretokenizers", [])] == ["Split", "ByteLevel"])
+        # Texts that hold an added token, in any case, are left to the tokenizer as a whole.
+        self.added = [t["content"].lower() for t in parts["added_tokens"]]
+        self.added_starts = {a[:2] for a in self.added if a[:2].upper() == a[:2]}
         self.first: dict[str, bytes] = {"": b""}
         self.later: dict[str, bytes] = {}
 
@@ -76,8 +79,17 @@ class Encoder:
             found = self._learn(cache, prefix, {c for c in chunks if c not in cache})
             return b"".join([cache[c] if c in cache else found[c] for c in chunks])
 
+    def _holds_added(self, text: str) -> bool:
+        if len(self.added_starts) and all(a[:2] in self.added_starts for a in self.added) and (
+                not any(start in text for start in self.added_starts)):
+            return False
+        low = text.lower()
+        return any(a in low for a in self.added)
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian integers of ``dtype``."""
+        if self._holds_added(text):
+            return self._ids([text])[0]
         if self.byte_level and not _BEFORE_SPACE.search(text):
             head, *rest = text.split(" ")
             return self._joined(self.first, "", [head]) + self._joined(self.later, " ", rest)

@@ -14,12 +14,16 @@ import numpy as np
 from lectern.llm.caches import claim
 
 KEPT = 400_000
+#: Bytes of the table's words, their places and their rows, about.
+KEPT_BYTES = 96 << 20
+WORD_BYTES = 130
 
 
 class WordTable:
-    def __init__(self, answer: Callable[[list[str]], np.ndarray], kept: int = KEPT):
+    def __init__(self, answer: Callable[[list[str]], np.ndarray], kept: int = KEPT, kept_bytes: int = KEPT_BYTES):
         """``answer`` gives a row of numbers per word."""
-        self.answer, self.kept = answer, kept
+        self.answer, self.kept, self.kept_bytes = answer, kept, kept_bytes
+        self.size = 0
         self.places: dict[str, int] = {}
         self.rows: np.ndarray | None = None
 
@@ -28,12 +32,14 @@ class WordTable:
         places = self.places
         fresh = {w for words in docs for w in words if w not in places}
         if fresh:
-            if len(places) + len(fresh) > self.kept:
+            row = 0 if self.rows is None else self.rows[:1].nbytes
+            if len(places) + len(fresh) > self.kept or self.size + sum(WORD_BYTES + row + len(w) for w in fresh) > self.kept_bytes:
                 places.clear()
-                self.rows = None
+                self.rows, self.size = None, 0
                 fresh = {w for words in docs for w in words}
             new = sorted(fresh)
             found = self.answer(new)
+            self.size += sum(WORD_BYTES + found[:1].nbytes + len(w) for w in new)
             start = 0 if self.rows is None else len(places)
             if self.rows is None:
                 self.rows = found

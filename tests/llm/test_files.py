@@ -10,26 +10,26 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lectern.llm import files, packing, records, tokens, warc
+from lectern.llm import common, files, packing, records, tokens, warc
 
 WORD, BYTE = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 TEXTS = [
     "Plain text, with marks! And 'quotes' it's.", "two  blanks\n\n and \t tabs ", " leading", "trailing ", "\n", "",
-    "ÄÖÜ straße ÇA é é İstanbul Σίσυφος", "日本語 テキスト", "<|endoftext|> x", "a b c", "1234 5 67.8%%% ***",
+    "ÄÖÜ straße ÇA é é İstanbul Σίσυφος", "日本語 テキスト", "<|endoftext|> x", "a <|endoftext|> b<|startoftext|>", "a <|ENDOFTEXT|> b", "<| endoftext |>", "a b c", "1234 5 67.8%%% ***",
     "\U0001F600 \U0001F1E9\U0001F1EA", "don't we'll I'm 'tis", "tab\tword\x0b\x1cx", "CAPS!! WITH!! MARKS!!",
 ]
 
 
 @functools.cache
 def tokenizer_of(path):
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def reference(path, text):
@@ -124,6 +124,25 @@ def test_packing_covers_every_id_once(spark, odd, none):
     assert packing.pack(none, WORD).count() == 0
 
 
+def test_tiny_pieces_make_more_groups(spark):
+    rows = spark.range(3_000).select("id", F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("length"),
+                                     F.lit(7).cast("long").alias("ids_crc32"), F.lit(1).cast("long").alias("doc_tokens"))
+    placed = packing.place(rows.withColumnRenamed("id", "piece_id").withColumn("ids", F.lit(b"")), group_pieces=200).collect()
+    assert sorted(r.doc_id for r in placed) == list(range(3_000))
+    by = {}
+    for r in placed:
+        by.setdefault(r.sequence_id, []).append(r.offset)
+    assert len(by) == 15 and all(sorted(o) == list(range(len(o))) for o in by.values())
+
+
+def test_lots_are_bounded_in_bytes_and_lose_nothing():
+    texts = ["a" * n for n in (5, 0, 30, 3, 3, 3)] + [None, "é" * 9]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "k": list(range(8))})
+    lots = list(common.lots(batch, 10))
+    assert [lot.column("k").to_pylist() for lot in lots] == [[0, 1], [2], [3, 4, 5, 6], [7]]
+    assert [t for lot in lots for t in lot.column("text").to_pylist()] == texts
+
+
 def test_padding_stops_at_powers_of_two(spark):
     df = spark.createDataFrame([(n,) for n in (1, 3, 2048, 2049, 4096)], "used long")
     assert [r.p for r in df.select(packing.padded_length(df.used).alias("p")).collect()] == [1, 4096, 2048, 4096, 4096]
