@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.config import STALL_REQUESTS, STALL_SECONDS
 from lectern.plans import oracle as o
-from lectern.plans.cache_queries import STALL_SQL
 from lectern.plans.registry import query
 from lectern.plans.tables import Tables
 from lectern.session import new_folder
 from lectern.streaming import ingest, monitors
 
-FILES = 3
+FILES, FILES_A_BATCH = 12, 4
 GAP_HOURS = 6
 
 
@@ -21,19 +23,22 @@ def clock(name: str) -> Column:
 
 
 def _in_files(df: DataFrame, key: str, label: str) -> str:
-    """Store a table as three files in the order of a numeric key, one append after the other."""
-    path = new_folder(df.sparkSession, label)
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    place = F.least(F.floor((F.col(key) - low) * FILES / F.lit(high - low + 1)), F.lit(FILES - 1))
-    for part in range(FILES):
-        df.filter(place == part).coalesce(1).write.mode("append").parquet(path)
+    """Store a table in one write as files in the order of a key, dated in that order, as a log would have grown."""
+    spark = df.sparkSession
+    path = new_folder(spark, label)
+    df.repartitionByRange(FILES, key).sortWithinPartitions(key).write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().toString() for f in system.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    for age, name in enumerate(reversed(names)):
+        system.setTimes(spark._jvm.org.apache.hadoop.fs.Path(name), int((time.time() - 60 - age) * 1000), -1)
     return path
 
 
 def _events(t: Tables) -> DataFrame:
     """Event stream in arrival order."""
     events = t.run_events()
-    return ingest.file_stream(t.spark, _in_files(events, "event_id", "stream-events"), events.schema)
+    return ingest.file_stream(t.spark, _in_files(events, "event_id", "stream-events"), events.schema, FILES_A_BATCH)
 
 
 @query("stream_cache_ingest", o.sql("""
@@ -41,7 +46,7 @@ def _events(t: Tables) -> DataFrame:
 def stream_cache_ingest(t: Tables) -> DataFrame:
     rows = t.cache_rows()
     path = _in_files(rows, "seq", "stream-cache-log")
-    return ingest.ingest_cache(t.spark, path, rows.schema).select("key", "seq")
+    return ingest.ingest_cache(t.spark, path, rows.schema, files=FILES_A_BATCH).select("key", "seq")
 
 
 @query("stream_import", o.sql("""
@@ -50,19 +55,46 @@ def stream_cache_ingest(t: Tables) -> DataFrame:
 def stream_import(t: Tables) -> DataFrame:
     outputs = t.outputs()
     path = _in_files(outputs, "part_index", "stream-outputs")
-    lines = ingest.import_stream(t.spark, path, outputs.schema, t.items(), t.cache())
+    lines = ingest.import_stream(t.spark, path, outputs.schema, t.items(), t.cache(), FILES_A_BATCH)
     return lines.select("custom_id", "outcome")
 
 
-@query("stream_stall", o.sql("SELECT run_key, island FROM stalls", "run_events", stalls=STALL_SQL))
+def _stalls_sql(secs: int, requests: int) -> str:
+    return o.sql(f"""
+  SELECT run_key, island, strftime(due, '%Y-%m-%d %H:%M:%S.%f') AS at, due > last_ts AND next_ts IS NULL AS waited
+  FROM (SELECT *, lead(start_ts) OVER (PARTITION BY run_key ORDER BY island) AS next_ts FROM (
+    SELECT run_key, island, min(ts) AS start_ts, max(ts) AS last_ts,
+      greatest(min(ts) + INTERVAL {secs} SECOND, min(CASE WHEN request = {requests} THEN ts END)) AS due,
+      count(*) - 1 AS requests
+    FROM (SELECT *, row_number() OVER (PARTITION BY run_key, island ORDER BY ts, event_id) - 1 AS request FROM (
+      SELECT *, sum(completed::INT) OVER (PARTITION BY run_key ORDER BY ts, event_id)::BIGINT AS island FROM run_events))
+    GROUP BY run_key, island))
+  WHERE requests >= {requests}
+    AND due <= coalesce(next_ts, greatest(last_ts, (SELECT max(ts) - INTERVAL 1 HOUR FROM run_events)))""", "run_events")
+
+
+def _stalls(t: Tables, secs: int, requests: int) -> DataFrame:
+    """``waited``: no event after the due time ended the wait, only the clock did."""
+    alerts = monitors.collected(t.spark, monitors.stall_stream(_events(t), secs, requests))
+    last = t.run_events().groupBy("run_key").agg(F.max("ts").alias("last_ts"))
+    return alerts.join(last, "run_key").select("run_key", "island", clock("at"), (F.col("at") > F.col("last_ts")).alias("waited"))
+
+
+@query("stream_stall", _stalls_sql(STALL_SECONDS, STALL_REQUESTS))
 def stream_stall(t: Tables) -> DataFrame:
-    return monitors.collected(t.spark, monitors.stall_stream(_events(t)))
+    return _stalls(t, STALL_SECONDS, STALL_REQUESTS)
+
+
+@query("stream_stall_silent", _stalls_sql(4 * 86_400, 5))
+def stream_stall_silent(t: Tables) -> DataFrame:
+    """Long waits for few requests, most of which end in silence: the timer gives those alerts."""
+    return _stalls(t, 4 * 86_400, 5)
 
 
 @query("stream_state_counts", o.sql("SELECT state, count(*) AS n FROM work_items GROUP BY state", "work_items"))
 def stream_state_counts(t: Tables) -> DataFrame:
     items = t.items().select("state", "page_index")
-    stream = ingest.file_stream(t.spark, _in_files(items, "page_index", "stream-items"), items.schema)
+    stream = ingest.file_stream(t.spark, _in_files(items, "page_index", "stream-items"), items.schema, FILES_A_BATCH)
     return monitors.collected(t.spark, monitors.live_state_counts(stream), "complete")
 
 
@@ -76,7 +108,7 @@ def stream_usage_window(t: Tables) -> DataFrame:
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit(1).cast("long").alias("requests"), F.length("props").alias("input_tokens"),
         F.floor("value").alias("output_tokens"),
     )
-    stream = ingest.file_stream(t.spark, _in_files(usage, "event_id", "stream-usage"), usage.schema)
+    stream = ingest.file_stream(t.spark, _in_files(usage, "event_id", "stream-usage"), usage.schema, FILES_A_BATCH)
     windows = monitors.collected(t.spark, monitors.usage_windows(stream))
     return windows.withColumn("window_start", clock("window_start"))
 

@@ -2,29 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lectern.operators.cache import first_rows
 from lectern.operators.importing import DUPLICATE, judged_lines
 from lectern.session import new_folder
 
 
-def file_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def file_stream(spark: SparkSession, path: str, schema: StructType, files: int = 1) -> DataFrame:
+    """A stream over a folder's files, ``files`` of them a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, on disk beside the executors."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
 
 
 def run_to_end(stream: DataFrame, handle, checkpoint: str, mode: str = "append") -> None:
     """Process everything available, one micro-batch after the other."""
-    query = (
-        stream.writeStream.foreachBatch(handle)
-        .outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    with state_store(stream.sparkSession):
+        query = (
+            stream.writeStream.foreachBatch(handle)
+            .outputMode(mode)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
 
 
 def _earlier(spark: SparkSession, path: str, schema: StructType, batch_id: int) -> DataFrame:
@@ -35,21 +55,45 @@ def _earlier(spark: SparkSession, path: str, schema: StructType, batch_id: int)
     return spark.read.schema(schema).parquet(*folders)
 
 
-def ingest_cache(spark: SparkSession, source: str, schema: StructType) -> DataFrame:
-    """First row per key over a stream of cache rows. Each batch writes its own folder."""
-    target = new_folder(spark, "stream-cache")
+def _first_of_batch(schema: StructType):
+    """The first row of each key among a task's rows; holds one row per key of the micro-batch."""
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if kept is None else pa.concat_tables([kept, rows])
+            rows = rows.append_column("_at", pa.array(range(len(rows)), pa.int64())).sort_by([("seq", "ascending"), ("_at", "ascending")])
+            rows = rows.append_column("_first", pa.array(range(len(rows)), pa.int64()))
+            first = rows.group_by("key").aggregate([("_first", "min")]).column("_first_min")
+            kept = rows.take(first).select(schema.names)
+        if kept is not None:
+            yield from kept.combine_chunks().to_batches()
+
+    return reduced
+
+
+def first_per_key(rows: DataFrame) -> DataFrame:
+    """First row per key of a stream of cache rows: the first micro-batch with the key, the least seq in it.
+
+    The keys seen so far are the state; no micro-batch reads what earlier ones stored.
+    """
+    return rows.repartition("key").mapInArrow(_first_of_batch(rows.schema), rows.schema).dropDuplicates(["key"])
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        stored = _earlier(batch.sparkSession, target, schema, batch_id)
-        fresh = first_rows(batch).join(stored.select("key"), "key", "left_anti")
-        fresh.select(*schema.names).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    run_to_end(file_stream(spark, source, schema), handle, new_folder(spark, "stream-cp"))
-    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(target)
+def ingest_cache(spark: SparkSession, source: str, schema: StructType, target: str | None = None,
+                 checkpoint: str | None = None, files: int = 1) -> DataFrame:
+    """Runs ``first_per_key`` over the files of a folder into another; with both folders given it goes on from there."""
+    target, checkpoint = target or new_folder(spark, "stream-cache"), checkpoint or new_folder(spark, "stream-cp")
+    fresh = first_per_key(file_stream(spark, source, schema, files))
+    with state_store(spark):
+        fresh.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(
+            availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(target)
 
 
 def import_stream(spark: SparkSession, source: str, schema: StructType, work_items: DataFrame,
-                  cache: DataFrame) -> DataFrame:
+                  cache: DataFrame, files: int = 1) -> DataFrame:
     """Import output lines as their files arrive; returns all lines with outcomes.
 
     Ids seen in earlier batches are duplicates; keys imported earlier count as cached.
@@ -77,5 +121,5 @@ def import_stream(spark: SparkSession, source: str, schema: StructType, work_ite
         judged = judged_lines(work_items, known, new, no_errors).select(*kept.names)
         judged.unionByName(repeats).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    run_to_end(file_stream(spark, source, schema), handle, new_folder(spark, "stream-cp"))
+    run_to_end(file_stream(spark, source, schema, files), handle, new_folder(spark, "stream-cp"))
     return spark.read.schema(kept).option("recursiveFileLookup", True).parquet(target)

@@ -3,26 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lectern.config import STALL_REQUESTS, STALL_SECONDS
 from lectern.session import new_folder
 from lectern.streaming.ingest import run_to_end
 
+#: A run without an event for so long is over, whatever its last event.
+FORGET_SECONDS = 90 * 86_400
 
-def collected(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream to its end and read what it emitted (in complete mode: the last result)."""
-    target = new_folder(spark, "stream-out")
+
+def collected(spark: SparkSession, stream: DataFrame, mode: str = "append", target: str | None = None,
+              checkpoint: str | None = None) -> DataFrame:
+    """Run a stream to its end and read what it emitted (in complete mode: the last result).
+
+    With both folders given, a later run goes on from the checkpoint and adds to the target.
+    """
+    target, checkpoint = target or new_folder(spark, "stream-out"), checkpoint or new_folder(spark, "stream-cp")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         folder = target if mode == "complete" else f"{target}/batch={batch_id}"
         batch.write.mode("overwrite").parquet(folder)
 
-    run_to_end(stream, handle, new_folder(spark, "stream-cp"), mode)
+    run_to_end(stream, handle, checkpoint, mode)
     return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(target)
 
 
@@ -51,34 +58,83 @@ def run_sessions(beats: DataFrame, gap: str, delay: str = "1 hour") -> DataFrame
     )
 
 
-def stall_stream(events: DataFrame, secs: int = STALL_SECONDS, requests: int = STALL_REQUESTS) -> DataFrame:
-    """One alert per stretch without completions, as soon as it is too long.
+STALL_STATE = "island bigint, start_us bigint, requests bigint, due_us bigint, alerted boolean, last_us bigint, timer_ms bigint"
+STALL_OUT = "run_key bigint, island bigint, at timestamp, silent boolean"
+NEVER = -1
+
+
+class StallWatch(StatefulProcessor):
+    """Seven numbers per run: its stretch without completions, when that began, what it cost, when it is due.
 
-    The state of a run key is four numbers: stretch, its start, its requests, alerted.
-    ``events``: run_key, event_id, ts, completed; event order follows arrival.
+    A stretch is due at the later of its begin plus ``secs`` and its ``requests``-th request. It
+    gives an alert as soon as an event arrives that is not older than that, or, for a run that
+    falls silent, when the watermark gets there: a timer waits for the due time. A run without an
+    event for ``forget_secs`` is forgotten by a timer of its own, and its state freed.
     """
 
-    def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        island, start, used, alerted = state.get if state.exists else (0, None, -1, False)
-        alerts = []
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for at, completed in zip(rows.ts, rows.completed):
-            second = int(at.timestamp())
-            if completed:
-                island, start, used, alerted = island + 1, second, 0, False
+    def __init__(self, secs: int, requests: int, forget_secs: int):
+        self.secs, self.requests, self.forget_secs = secs, requests, forget_secs
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("stall", STALL_STATE)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        island, start, used, due, alerted, _, timer = self.state.get() or (0, NEVER, -1, NEVER, False, NEVER, NEVER)
+        before = timer
+        for event in sorted(rows, key=lambda r: (r.ts, r.event_id)):
+            now = _micros(event.ts)
+            if due != NEVER and not alerted and due <= now:
+                alerted = True
+                yield Row(run_key=key[0], island=island, at=_moment(due), silent=False)
+            if event.completed:
+                island, start, used, due, alerted = island + 1, now, 0, NEVER, False
                 continue
-            start = second if start is None else start
+            start = now if start == NEVER else start
             used += 1
-            if not alerted and used >= requests and second - start >= secs:
-                alerted = True
-                alerts.append(island)
-        state.update((island, start, used, alerted))
-        yield pd.DataFrame({"run_key": [key[0]] * len(alerts), "island": alerts})
-
-    return events.groupBy("run_key").applyInPandasWithState(
-        watch,
-        "run_key long, island long",
-        "island long, start long, used long, alerted boolean",
-        "append",
-        GroupStateTimeout.NoTimeout,
+            if used == self.requests:
+                due = max(now, start + self.secs * 1_000_000)
+        waits = due if due != NEVER and not alerted else now + self.forget_secs * 1_000_000
+        timer = -(-waits // 1_000)
+        if timer != before:
+            if before != NEVER:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(timer)
+        self.state.update((island, start, used, due, alerted, now, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        island, start, used, due, alerted, last, _ = self.state.get()
+        if due != NEVER and not alerted:
+            yield Row(run_key=key[0], island=island, at=_moment(due), silent=True)
+            timer = max(-(-(last + self.forget_secs * 1_000_000) // 1_000), expiredTimerInfo.getExpiryTimeInMs() + 1)
+            self.handle.registerTimer(timer)
+            self.state.update((island, start, used, due, True, last, timer))
+        else:
+            self.state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _micros(at: datetime) -> int:
+    return (at.replace(tzinfo=None) - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+
+
+def _moment(micros: int) -> datetime:
+    return datetime(1970, 1, 1) + timedelta(microseconds=micros)
+
+
+def stall_stream(events: DataFrame, secs: int = STALL_SECONDS, requests: int = STALL_REQUESTS,
+                 delay: str = "1 hour", forget_secs: int = FORGET_SECONDS) -> DataFrame:
+    """One alert per stretch without completions, as soon as it is too long, silent runs included.
+
+    ``events``: run_key, event_id, ts, completed; rows older than the watermark are late and
+    count for nothing. The state lives in RocksDB (``with_state_store``).
+    """
+    return (
+        # The processor reads and writes wall clock times, so that no session time zone matters.
+        events.select("run_key", "event_id", "completed", "ts")
+        .withWatermark("ts", delay)
+        .groupBy("run_key")
+        .transformWithState(StallWatch(secs, requests, forget_secs), STALL_OUT, "append", "eventTime")
     )
