@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.prompts import response_text
@@ -39,17 +39,56 @@ def all_lines(outputs: DataFrame, errors: DataFrame) -> DataFrame:
     )
 
 
+def last_rows(work_items: DataFrame) -> DataFrame:
+    """One ledger row per id: of repeated ids the last one in the ledger's order counts.
+
+    That order is (page_index, block_index), then the time of the last change; rows alike in all
+    of these are told apart by their state and text, so that a rerun takes the same one.
+    """
+    order = F.struct("page_index", "block_index", "updated_at", "attempt", "state", "source_hash", "cache_key")
+    repeated = work_items.groupBy("custom_id").agg(F.count("*").alias("_n"), F.max(order).alias("_last")).where("_n > 1")
+    # Repeats are few: only their ids and last places are joined back, and only they are numbered.
+    marked = work_items.join(repeated.select("custom_id", "_last"), "custom_id", "left")
+    single = marked.where(F.col("_last").isNull()).select(*work_items.columns)
+    last = marked.where(F.col("_last") == order).dropDuplicates(["custom_id"]).select(*work_items.columns)
+    return single.unionByName(last)
+
+
+def line_fault() -> Column:
+    """What is wrong with an output line that has (source_text, status_code, error, answer); null for nothing."""
+    return (
+        F.when(F.col("error").isNotNull(), F.concat(F.lit("batch output error: "), F.col("error")))
+        .when(F.col("status_code").isNull(), NO_RESPONSE)
+        .when(
+            F.col("status_code") != 200,
+            F.concat(F.lit("batch output status_code was "), F.col("status_code").cast("string")),
+        )
+        .when(F.col("answer").isNull(), NO_TEXT)
+        .otherwise(reason_message(validation_reason(F.col("source_text"), F.col("answer"))))
+    )
+
+
+def line_message(remote_fault: Column) -> Column:
+    """The error text of a line with (outcome, hash_ok, fault)."""
+    return (
+        F.when(F.col("outcome") == "duplicate", DUPLICATE)
+        .when(F.col("outcome") == "unknown", UNKNOWN)
+        .when(F.col("outcome") == "failed", remote_fault)
+        .when(F.col("outcome") == "rejected", F.when(~F.col("hash_ok"), HASH_MISMATCH).otherwise(F.col("fault")))
+    )
+
+
 def judged_lines(work_items: DataFrame, cache: DataFrame, outputs: DataFrame, errors: DataFrame) -> DataFrame:
     """Every line with its outcome.
 
     ``cache`` has one row per key. Lines are imported in the order (stream,
     part_index, line_no). Both "first line of an id" and "first valid line of a key"
     are minima, found with partial aggregation and joined back, so a key shared by
-    very many lines never gathers in one task. The judged lines are written once,
+    very many lines never gathers in one task. Of ledger rows that share an id the last one counts. The judged lines are written once,
     because both the winners and the outcomes are read from them.
     """
     lines = all_lines(outputs, errors).withColumn("ord", F.struct(*LINE_PLACE))
-    items = work_items.select(
+    items = last_rows(work_items).select(
         "custom_id", "cache_key", "source_text", "source_hash", F.lit(True).alias("known")
     )
     # Both sides hold one row per id, so the lines themselves meet one lookup only.
@@ -72,17 +111,7 @@ def judged_lines(work_items: DataFrame, cache: DataFrame, outputs: DataFrame, er
         .withColumn("answer", F.when(F.col("open"), answer))
         .withColumn(
             "fault",
-            F.when(
-                F.col("open"),
-                F.when(F.col("error").isNotNull(), F.concat(F.lit("batch output error: "), F.col("error")))
-                .when(F.col("status_code").isNull(), NO_RESPONSE)
-                .when(
-                    F.col("status_code") != 200,
-                    F.concat(F.lit("batch output status_code was "), F.col("status_code").cast("string")),
-                )
-                .when(F.col("answer").isNull(), NO_TEXT)
-                .otherwise(reason_message(validation_reason(source, F.col("answer")))),
-            ),
+            F.when(F.col("open"), line_fault()),
         )
         .select(
             *LINE_PLACE, "ord", "custom_id", "cache_key", "status_code", "error", "known", "repeat", "open", "hash_ok",
@@ -114,11 +143,7 @@ def judged_lines(work_items: DataFrame, cache: DataFrame, outputs: DataFrame, er
         .withColumn("outcome", outcome)
         .withColumn(
             "message",
-            F.when(F.col("outcome") == "duplicate", DUPLICATE)
-            .when(F.col("outcome") == "unknown", UNKNOWN)
-            .when(F.col("outcome") == "failed", remote_fault)
-            .when(F.col("outcome") == "rejected",
-                  F.when(~F.col("hash_ok"), HASH_MISMATCH).otherwise(F.col("fault"))),
+            line_message(remote_fault),
         )
         .select("stream", "part_index", "line_no", "custom_id", "cache_key", "outcome", "message", "answer")
     )

@@ -50,13 +50,12 @@ def stream_cache_ingest(t: Tables) -> DataFrame:
 
 
 @query("stream_import", o.sql("""
-  SELECT custom_id, outcome FROM (
-    SELECT * FROM import_lines WHERE stream = 0)""", "import_lines"))
+  SELECT part_index, line_no, custom_id, outcome, message FROM import_lines WHERE stream = 0""", "import_lines"))
 def stream_import(t: Tables) -> DataFrame:
     outputs = t.outputs()
     path = _in_files(outputs, "part_index", "stream-outputs")
     lines = ingest.import_stream(t.spark, path, outputs.schema, t.items(), t.cache(), FILES_A_BATCH)
-    return lines.select("custom_id", "outcome")
+    return lines.select("part_index", "line_no", "custom_id", "outcome", "message")
 
 
 def _stalls_sql(secs: int, requests: int) -> str:

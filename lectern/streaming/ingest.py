@@ -6,11 +6,15 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from lectern.operators.importing import DUPLICATE, judged_lines
+from lectern.functions.prompts import response_text
+from lectern.functions.text import short_hash
+from lectern.functions.validation import validation_reason
+from lectern.operators.importing import last_rows, line_fault, line_message
 from lectern.session import new_folder
 
 
@@ -47,14 +51,6 @@ def run_to_end(stream: DataFrame, handle, checkpoint: str, mode: str = "append")
         query.awaitTermination()
 
 
-def _earlier(spark: SparkSession, path: str, schema: StructType, batch_id: int) -> DataFrame:
-    """Rows that earlier micro-batches stored; a replayed batch does not see itself."""
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    folders = [f"{path}/batch={i}" for i in range(batch_id)]
-    return spark.read.schema(schema).parquet(*folders)
-
-
 def _first_of_batch(schema: StructType):
     """The first row of each key among a task's rows; holds one row per key of the micro-batch."""
 
@@ -92,34 +88,131 @@ def ingest_cache(spark: SparkSession, source: str, schema: StructType, target: s
     return spark.read.schema(schema).parquet(target)
 
 
-def import_stream(spark: SparkSession, source: str, schema: StructType, work_items: DataFrame,
-                  cache: DataFrame, files: int = 1) -> DataFrame:
+ITEM_STATE = "cache_key string, source_text string, source_hash string, stored_ok boolean, seen boolean"
+ITEM = ("cache_key", "source_text", "source_hash", "stored_ok")
+LINE = "part_index bigint, line_no bigint, custom_id string, status_code int, body string, error string"
+OPENED = f"{LINE}, cache_key string, source_text string, source_hash string, stored_ok boolean, known boolean, repeat boolean"
+JUDGED = ("part_index bigint, line_no bigint, custom_id string, cache_key string, known boolean, repeat boolean, "
+          "hash_ok boolean, stored_ok boolean, answer string, fault string")
+OUTCOMES = "part_index bigint, line_no bigint, custom_id string, cache_key string, outcome string, message string, answer string"
+OPENED_ROW, OUTCOME_ROW = (Row(*[c.split()[0] for c in x.split(", ")]) for x in (OPENED, OUTCOMES))
+
+
+class FirstLine(StatefulProcessor):
+    """The ledger as state, a row per id, and whether a line of the id has come."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.item = handle.getValueState("item", ITEM_STATE)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.item.update((*(initialState[c] for c in ITEM), False))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        cache_key, source, digest, stored, seen = self.item.get() or (None, None, None, None, False)
+        for line in sorted(rows, key=lambda r: (r.part_index, r.line_no)):
+            known, repeat, seen = source is not None, seen, True
+            shown = (cache_key, source, digest, stored) if known and not repeat else (cache_key, None, None, None)
+            yield OPENED_ROW(*line, *shown, known, repeat)
+        self.item.update((cache_key, source, digest, stored, True))
+
+    def close(self) -> None:
+        pass
+
+
+class FirstGood(StatefulProcessor):
+    """Whether a key has its translation; the first good line brings it, and what comes behind is cached.
+
+    Lines come in any order within a micro-batch. One good line is held at a time, and the
+    micro-batch's bad lines of the key, which are bad only if they stand before the first good one.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.won = handle.getValueState("won", "won boolean")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        def told(line: Row, outcome: str) -> Row:
+            return OUTCOME_ROW(line.part_index, line.line_no, line.custom_id, key[0], outcome,
+                               line.fault if outcome == "rejected" else None, line.answer if outcome == "imported" else None)
+
+        best, bad, won = None, [], self.won.exists()
+        for line in rows:
+            if won:
+                yield told(line, "already_cached")
+            elif line.fault is not None:
+                bad.append(line)
+            else:
+                if best is None or _place(line) < _place(best):
+                    line, best = best, line
+                if line is not None:
+                    yield told(line, "already_cached")
+        for line in bad:
+            yield told(line, "already_cached" if best is not None and _place(line) > _place(best) else "rejected")
+        if best is not None:
+            yield told(best, "imported")
+            self.won.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
+def _place(line: Row) -> tuple[int, int]:
+    return line.part_index, line.line_no
+
+
+def ledger_state(work_items: DataFrame, cache: DataFrame) -> DataFrame:
+    """What the import has to know of each ledger row: its text, and whether the cache answers it."""
+    stored = cache.select(F.col("key").alias("cache_key"), F.col("translated").alias("stored"))
+    judged = last_rows(work_items).select("custom_id", "cache_key", "source_text", "source_hash").join(stored, "cache_key", "left")
+    valid = F.col("stored").isNotNull() & validation_reason(F.col("source_text"), F.col("stored")).isNull()
+    return judged.select("custom_id", "cache_key", "source_text", "source_hash", valid.alias("stored_ok"))
+
+
+def opened_lines(lines: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Stream of output lines, each with its ledger row if it is the first of its id."""
+    first = lines.select(*[c.split()[0] for c in LINE.split(", ")]).groupBy("custom_id").transformWithState(
+        FirstLine(), OPENED, "append", "none", ledger.groupBy("custom_id"))
+    opened = first.withColumn("open", F.col("known") & ~F.col("repeat")).withColumn(
+        "answer", F.when(F.col("open"), response_text(F.col("body"))))
+    return opened.select(
+        "part_index", "line_no", "custom_id", "cache_key", "known", "repeat",
+        (F.col("source_hash") == short_hash(F.col("source_text"))).alias("hash_ok"), "stored_ok", "answer",
+        F.when(F.col("open"), line_fault()).alias("fault"))
+
+
+def line_outcomes(judged: DataFrame) -> DataFrame:
+    """Stream of judged lines with their outcomes; only lines that their key decides need state."""
+    undecided = F.coalesce(F.col("known") & ~F.col("repeat") & F.col("hash_ok") & ~F.col("stored_ok"), F.lit(False))
+    decided = judged.where(undecided).select(
+        "part_index", "line_no", "custom_id", "cache_key", "fault",
+        F.when(F.col("fault").isNull(), F.col("answer")).alias("answer")).groupBy("cache_key").transformWithState(
+        FirstGood(), OUTCOMES, "append", "none")
+    outcome = (
+        F.when(F.col("repeat"), "duplicate").when(~F.col("known"), "unknown").when(~F.col("hash_ok"), "rejected")
+        .otherwise("already_cached")
+    )
+    others = judged.where(~undecided).withColumn("outcome", outcome).withColumn(
+        "message", line_message(F.lit(None).cast("string"))).select(
+        "part_index", "line_no", "custom_id", "cache_key", "outcome", "message", F.lit(None).cast("string").alias("answer"))
+    return decided.unionByName(others)
+
+
+def import_stream(spark: SparkSession, source: str, schema: StructType, work_items: DataFrame, cache: DataFrame,
+                  files: int = 1, folder: str | None = None) -> DataFrame:
     """Import output lines as their files arrive; returns all lines with outcomes.
 
-    Ids seen in earlier batches are duplicates; keys imported earlier count as cached.
+    Two queries, one behind the other: the first holds the ledger as state by id, the second
+    the keys that have a translation. A micro-batch touches the state of its own ids and keys
+    and reads nothing that came before. With ``folder`` given, a later run goes on from there;
+    ledger and cache are read for the first run alone.
     """
-    target = new_folder(spark, "stream-import")
-    no_errors = spark.createDataFrame([], schema)
-    kept = StructType().add("part_index", "long").add("line_no", "long").add("custom_id", "string").add(
-        "cache_key", "string").add("outcome", "string").add("message", "string").add("answer", "string")
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        earlier = _earlier(batch.sparkSession, target, kept, batch_id)
-        won = earlier.filter("outcome = 'imported'").select(
-            F.col("cache_key").alias("key"), F.col("answer").alias("translated")
-        )
-        known = won.unionByName(
-            cache.select("key", "translated").join(won.select("key"), "key", "left_anti")
-        )
-        ids = earlier.select("custom_id").distinct()
-        new = batch.join(ids, "custom_id", "left_anti")
-        repeats = batch.join(ids, "custom_id", "left_semi").select(
-            "part_index", "line_no", "custom_id", F.lit(None).cast("string").alias("cache_key"),
-            F.lit("duplicate").alias("outcome"), F.lit(DUPLICATE).alias("message"),
-            F.lit(None).cast("string").alias("answer"),
-        )
-        judged = judged_lines(work_items, known, new, no_errors).select(*kept.names)
-        judged.unionByName(repeats).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+    folder = folder or new_folder(spark, "stream-import")
+
+    def run(stream: DataFrame, name: str) -> None:
+        with state_store(spark):
+            stream.writeStream.format("parquet").option("path", f"{folder}/{name}").option(
+                "checkpointLocation", f"{folder}/{name}-cp").trigger(availableNow=True).start().awaitTermination()
 
-    run_to_end(file_stream(spark, source, schema, files), handle, new_folder(spark, "stream-cp"))
-    return spark.read.schema(kept).option("recursiveFileLookup", True).parquet(target)
+    run(opened_lines(file_stream(spark, source, schema, files), ledger_state(work_items, cache)), "judged")
+    # A micro-batch of the first query is whole in one of the second, so lines keep their order.
+    run(line_outcomes(spark.readStream.schema(JUDGED).parquet(f"{folder}/judged")), "outcomes")
+    return spark.read.schema(OUTCOMES).parquet(f"{folder}/outcomes")

@@ -3,7 +3,9 @@
 from datetime import datetime, timedelta
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from lectern.functions.text import short_hash
 from lectern.session import new_folder
 from lectern.streaming import ingest, monitors
 
@@ -80,3 +82,29 @@ def test_first_rows_are_found_across_arrow_batches(spark):
         ([5, 6], ["a", "b"]), ([4, 7, 1], ["a", "b", "c"]))]
     out = [r for b in ingest._first_of_batch(schema)(iter(batches)) for r in b.to_pylist()]
     assert sorted((r["key"], r["seq"], r["translated"]) for r in out) == [("a", 4, "4"), ("b", 6, "6"), ("c", 1, "1")]
+
+
+LINES = "part_index long, line_no long, custom_id string, status_code int, body string, error string"
+ITEMS = ("custom_id string, cache_key string, page_index long, block_index int, updated_at string, attempt int, state string, "
+         "source_text string, source_hash string")
+
+
+def test_import_goes_on_with_the_ids_and_keys_of_earlier_files(spark):
+    source, folder = new_folder(spark, "lines"), new_folder(spark, "import")
+    rows = [(f"id{i}", f"k{i % 3}", 1, i, "2026", 1, "submitted", "the source text here", "?") for i in range(6)]
+    rows += [("id7", "k7", 1, 7, "2026-01", 1, "submitted", "old text of it", "?"), ("id7", "k8", 1, 7, "2026-02", 1, "submitted", "the source text here", "?")]
+    items = spark.createDataFrame(rows, ITEMS).withColumn("source_hash", short_hash(F.col("source_text")))
+    cache = spark.createDataFrame([("k2", "訳文です。")], "key string, translated string")
+
+    def run(*lines):
+        frame = spark.createDataFrame([(p, n, i, 200, f'{{"output_text":"{text}"}}', None) for p, n, i, text in lines], LINES)
+        frame.coalesce(1).write.mode("append").parquet(source)
+        out = ingest.import_stream(spark, source, frame.schema, items, cache, folder=folder)
+        return {(r.part_index, r.line_no): (r.custom_id, r.cache_key, r.outcome) for r in out.collect()}
+
+    first = run((1, 1, "id0", ""), (1, 3, "id3", "訳文。"), (1, 4, "id0", "訳文。"), (1, 5, "id2", "訳"), (1, 6, "nobody", "x"))
+    assert first == {(1, 1): ("id0", "k0", "rejected"), (1, 3): ("id3", "k0", "imported"), (1, 4): ("id0", "k0", "duplicate"),
+                     (1, 5): ("id2", "k2", "already_cached"), (1, 6): ("nobody", None, "unknown")}
+    second = run((2, 1, "id3", "訳文。"), (2, 2, "id1", "訳文。"), (2, 3, "id4", ""), (2, 4, "nobody", "x"), (2, 5, "id7", "訳文。"))
+    assert second == first | {(2, 1): ("id3", "k0", "duplicate"), (2, 2): ("id1", "k1", "imported"), (2, 3): ("id4", "k1", "already_cached"),
+                              (2, 4): ("nobody", None, "duplicate"), (2, 5): ("id7", "k8", "imported")}
