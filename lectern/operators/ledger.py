@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.config import LOCAL_REQUEST_BUDGET
+from lectern.config import LOCAL_REQUEST_BUDGET, STALL_REQUESTS, STALL_SECONDS
 from lectern.functions import text
 from lectern.functions.formats import age_seconds, compact_age, hms
 from lectern.functions.validation import is_auth_error, reason_message
 from lectern.operators.joins import spread_join
+from lectern.operators.ordinals import running_sums
+from lectern.session import written
 
 # States and what they count as.
 RETRY_STATES = ("failed", "rejected", "local_exhausted")
@@ -187,12 +189,43 @@ def failure_text(reason: Column, error: Column, source: Column, requests: Column
     )
 
 
+STALLED = "batch translate-local stalled: %d completed, %d errors; no new completions for %dm %02ds while API requests increased by %d; current item p%d b%d %s"
+
+
+def fill_stop(processed: DataFrame, secs: int = STALL_SECONDS, requests: int = STALL_REQUESTS) -> DataFrame:
+    """One row: where a local fill stops, and why; nulls where it does not.
+
+    ``processed`` has, per item in reach, ``_key`` (its unique place in the priority order), ``done``,
+    ``auth`` (an authentication failure), ``requests`` and ``seconds``. The fill stops at the first item
+    that fails to authenticate, or at which so many seconds and requests went by since the last
+    completion. What went by comes from sums inside ranges of the key and totals of the ranges
+    before; the items of one wait are told apart by the number of completions before them.
+    """
+    ranges = processed.repartitionByRange("_key").withColumn("_range", F.spark_partition_id())
+    ranges = written(ranges, "fill-ranges")
+    done = F.col("done").cast("long")
+    sums = {"n_done": done, "n_failed": 1 - done, "r": F.col("requests"), "s": F.col("seconds")}
+    walked = running_sums(ranges, [], F.col("_range"), [F.col("_key")], sums)
+    # A wait begins with the completion that ended the one before, so its least sums are its base.
+    base = walked.groupBy("n_done").agg(F.min("r").alias("r0"), F.min("s").alias("s0"))
+    since = walked.join(base, "n_done").select(
+        "_key", "done", "auth", "n_done", "n_failed",
+        (F.col("r") - F.when(F.col("n_done") > 0, F.col("r0")).otherwise(0)).alias("since_requests"),
+        (F.col("s") - F.when(F.col("n_done") > 0, F.col("s0")).otherwise(0)).alias("since_seconds"))
+    stalls = ~F.col("done") & (F.col("since_requests") >= requests) & (F.col("since_seconds") >= secs)
+    kind = F.when(F.col("auth"), "auth").when(stalls, "stall")
+    first = F.min(F.when(kind.isNotNull(), F.struct("_key", kind.alias("kind"), "n_done", "n_failed", "since_requests", "since_seconds")))
+    return since.agg(first.alias("_stop"))
+
+
 def fill_local(work_items: DataFrame, cache: DataFrame, results: DataFrame, priority: str, now: str,
-               limit: int | None = None) -> DataFrame:
+               limit: int | None = None, stops: bool = True) -> DataFrame:
     """Ledger after the local provider ran over local_pending items.
 
-    ``results``: cache_key, translated, reason, error, requests. The limit counts
-    processed items in priority order.
+    ``results``: cache_key, translated, reason, error, requests, and seconds where stalls are to
+    be told. The limit counts processed items in priority order. With ``stops`` the fill ends at
+    the first authentication failure or stall (``fill_stop``): items behind it keep their state, and
+    the item it stalls at is exhausted.
     """
     flagged = with_cache_flag(work_items, cache).withColumn("_key", priority_key(priority))
     pending = F.col("state") == "local_pending"
@@ -202,8 +235,10 @@ def fill_local(work_items: DataFrame, cache: DataFrame, results: DataFrame, prio
         )
         flagged = flagged.join(F.broadcast(cut))
         pending = pending & F.coalesce(F.col("_key") <= F.col("_cut"), F.lit(False))
+    seconds = F.col("seconds") if "seconds" in results.columns else F.lit(0)
     called = results.select(
-        "cache_key", *[F.col(c).alias(f"_{c}") for c in ("reason", "error", "requests")], F.lit(True).alias("_called")
+        "cache_key", *[F.col(c).alias(f"_{c}") for c in ("reason", "error", "requests")],
+        seconds.cast("long").alias("_seconds"), F.lit(True).alias("_called")
     )
     joined = spread_join(flagged, called, "cache_key", PLACE, hot_from=work_items).withColumn("_pending", pending)
     source = F.col("source_text")
@@ -217,20 +252,39 @@ def fill_local(work_items: DataFrame, cache: DataFrame, results: DataFrame, prio
         .when(exhausts(F.col("_reason"), source, F.col("_requests")), "exhausted")
         .otherwise("failed")
     )
+    told = joined.withColumn("_outcome", outcome)
     done = F.col("_outcome").isin("cached", "translated")
+    was_called = F.col("_outcome").isin("translated", "exhausted", "failed")
+    message = F.lit(None).cast("string")
+    if stops:
+        spent = lambda c: F.when(was_called, F.coalesce(F.col(c), F.lit(0))).otherwise(0).cast("long")
+        stop = fill_stop(told.filter("_outcome is not null").select(
+            "_key", done.alias("done"), (was_called & ~done & is_auth_error(F.col("_error"))).alias("auth"),
+            spent("_requests").alias("requests"), spent("_seconds").alias("seconds")))
+        behind = F.coalesce(F.col("_key") > F.col("_stop._key"), F.lit(False))
+        told = told.join(F.broadcast(stop)).withColumn("_outcome", F.when(~behind, F.col("_outcome")))
+        at = F.coalesce((F.col("_key") == F.col("_stop._key")) & (F.col("_stop.kind") == "stall"), F.lit(False))
+        told = told.withColumn("_stalled", at)
+        waited = F.col("_stop.since_seconds")
+        message = F.when(F.col("_stalled"), F.format_string(
+            STALLED, "_stop.n_done", "_stop.n_failed", F.floor(waited / 60), waited % 60, "_stop.since_requests",
+            "page_index", "block_index", "href"))
+    else:
+        told = told.withColumn("_stalled", F.lit(False))
+    error = F.when(F.col("_outcome") == "reference_like", REFERENCE_SKIP).when(
+        F.col("_outcome").isin("exhausted", "failed"),
+        failure_text(F.col("_reason"), F.col("_error"), source, F.col("_requests")))
     changed = {
         "state": F.when(done, "local_imported")
-        .when(F.col("_outcome").isin("reference_like", "exhausted"), "local_exhausted")
+        .when(F.col("_stalled") | F.col("_outcome").isin("reference_like", "exhausted"), "local_exhausted")
         .otherwise(F.col("state")),
-        "last_error": F.when(F.col("_outcome") == "reference_like", REFERENCE_SKIP)
-        .when(F.col("_outcome").isin("exhausted", "failed"),
-              failure_text(F.col("_reason"), F.col("_error"), source, F.col("_requests")))
-        .when(F.col("_outcome").isNull(), F.col("last_error")),
+        "last_error": F.when(F.col("_stalled"), F.concat_ws(" | ", error, message))
+        .when(F.col("_outcome").isNotNull(), error).otherwise(F.col("last_error")),
         "updated_at": F.when(F.col("_outcome").isNotNull(), F.lit(now)).otherwise(F.col("updated_at")),
     }
-    return joined.withColumn("_outcome", outcome).select(
+    return told.select(
         *[changed.get(c, F.col(c)).alias(c) for c in work_items.columns],
-        F.col("_outcome").alias("fill_outcome"),
+        F.when(F.col("_stalled"), "stalled").otherwise(F.col("_outcome")).alias("fill_outcome"),
     )
 
 

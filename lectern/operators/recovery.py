@@ -112,10 +112,15 @@ def record_options(log: DataFrame, provider: str | None = None, model: str | Non
     )
 
 
-def recover_outcome(log: DataFrame, cache: DataFrame, results: DataFrame) -> DataFrame:
-    """Outcome of each record: recovered, already_cached, unrecoverable or aborted.
+LOG_ORDER = ("page_no", "block_index", "cache_key")
 
-    ``results``: cache_key, reason, error of the new attempt (null both = success).
+
+def recover_outcome(log: DataFrame, cache: DataFrame, results: DataFrame, stops: bool = True) -> DataFrame:
+    """Outcome of each record: recovered, already_cached, unrecoverable, aborted or not_reached.
+
+    ``results``: cache_key, reason, error of the new attempt (null both = success). A recovery of an
+    input ends at its first record that fails to authenticate: that one is aborted, and those
+    behind it are not reached. Without ``stops`` every record is told what it would become.
     """
     keys = cache.select(F.col("key").alias("cache_key")).distinct().withColumn("in_cache", F.lit(True))
     tried = results.select(
@@ -137,7 +142,14 @@ def recover_outcome(log: DataFrame, cache: DataFrame, results: DataFrame) -> Dat
             F.coalesce("_error", "_reason")
         ),
     )
-    return joined.withColumn("outcome", outcome).select(
+    told = joined.withColumn("outcome", outcome)
+    if stops:
+        # One row per input: the least place of a failing record, found with partial aggregation.
+        stop = told.filter("outcome = 'aborted'").groupBy("input").agg(F.min(F.struct(*LOG_ORDER)).alias("_stop"))
+        behind = F.coalesce(F.struct(*LOG_ORDER) > F.col("_stop"), F.lit(False))
+        told = told.join(stop, "input", "left").withColumn(
+            "outcome", F.when(behind, "not_reached").otherwise(F.col("outcome")))
+    return told.select(
         *log.columns, "outcome",
         error.alias("failure"),
         ((F.col("outcome") == "recovered") & (F.col("reason") == RESTORE_FAILED)).alias("replaces"),

@@ -16,7 +16,7 @@ from lectern.functions.validation import (
 from lectern.operators.chunking import chunk_texts
 from lectern.operators.glossary import glossary_subset
 from lectern.operators.joins import spread_join
-from lectern.session import written
+from lectern.session import exists, new_folder
 
 def with_cache_key(blocks: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Add ``cache_key`` to blocks that carry their glossary ``subset``."""
@@ -93,53 +93,96 @@ def prepare(blocks: DataFrame, glossary: DataFrame, cache: DataFrame | None, cfg
     return keyed if cache is None else uncached(keyed, cache)
 
 
-def provider_stage(
-    requests: DataFrame,
+CALL = ["cache_key", "chunk_index"]
+
+
+def request_chunks(requests: DataFrame, glossary: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """(cache_key, source_text) -> a row per call unit: chunk_index, its own source_text and glossary ``subset``."""
+    pieces = chunk_texts(requests.select("cache_key", "source_text"), cfg.max_chars)
+    return glossary_subset(pieces.select(*CALL, F.col("chunk").alias("source_text")), glossary)
+
+
+def provider_attempts(
+    chunks: DataFrame,
     provider: Callable[[pd.Series], pd.Series],
     cfg: EngineConfig,
-) -> DataFrame:
-    """Call the provider, validate, and ask again with the reason, up to retries + 1 times.
+    folder: str,
+) -> list[DataFrame]:
+    """Asks for every chunk, and again with the reason for those whose answer fails, up to retries + 1 times.
 
-    ``requests`` holds (cache_key, source_text, subset). Every attempt is one bulk
-    stage whose answers are written to the shared folder, so a lost executor never
-    repeats paid calls of an earlier attempt.
+    Gives a table per attempt: (cache_key, chunk_index, source_text, subset, translated, reason).
+    Each attempt is one bulk stage whose answers are stored in ``folder`` under its number before
+    they are judged. An attempt that is stored is read and not asked again, so a lost executor or
+    a restart repeats no paid call of an attempt that ended. A restart takes the same chunks.
     """
-    columns = ["cache_key", "source_text", "subset"]
-    source = F.col("source_text")
-    pending = requests.select(*columns, prompts.user_prompt(source, F.col("subset")).alias("prompt"))
-    schema = "cache_key string, translated string"
+    spark = chunks.sparkSession
+    schema = "cache_key string, chunk_index int, translated string"
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"cache_key": frame.cache_key, "translated": provider(frame.prompt)})
+            yield pd.DataFrame({"cache_key": frame.cache_key, "chunk_index": frame.chunk_index,
+                                "translated": provider(frame.prompt)})
+
+    def stored(name: str, rows: Callable[[], DataFrame]) -> DataFrame:
+        path = f"{folder}/{name}"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            rows().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
 
-    finished = None
+    source, subset = F.col("source_text"), F.col("subset")
+    chunks = stored("chunks", lambda given=chunks: given)
+    pending = chunks.withColumn("prompt", prompts.user_prompt(source, subset))
+    attempts = []
     for attempt in range(1, cfg.retries + 2):
-        answers = written(
-            pending.select("cache_key", "prompt").mapInPandas(call, schema), "provider-answers"
-        )
-        judged = written(
-            pending.drop("prompt").join(answers, "cache_key").select(
-                *columns,
-                "translated",
-                F.lit(attempt).alias("attempts"),
-                validation_reason(source, F.col("translated")).alias("reason"),
-            ),
-            "provider-judged",
-        )
-        last = attempt == cfg.retries + 1
-        done = judged if last else judged.filter("reason is null")
-        finished = done if finished is None else finished.unionByName(done)
+        asked = pending.select(*CALL, "prompt")
+        answers = stored(f"answers-{attempt}", lambda asked=asked: asked.mapInPandas(call, schema))
+        judged = stored(f"judged-{attempt}", lambda answers=answers: chunks.join(answers, CALL).withColumn(
+            "reason", validation_reason(source, F.col("translated"))))
+        attempts.append(judged)
         failed = judged.filter("reason is not null")
-        if last or failed.isEmpty():
+        if failed.isEmpty():
             break
-        pending = failed.select(
-            *columns,
-            prompts.retry_prompt(
-                source, F.col("subset"), F.col("translated"), reason_message(F.col("reason")), F.col("reason")
-            ).alias("prompt"),
-        )
-    return finished.select("cache_key", "source_text", "translated", "attempts", "reason")
+        pending = failed.select(*CALL, prompts.retry_prompt(
+            source, subset, F.col("translated"), reason_message(F.col("reason")), F.col("reason")).alias("prompt"))
+    return attempts
+
+
+def provider_stage(
+    requests: DataFrame,
+    glossary: DataFrame,
+    provider: Callable[[pd.Series], pd.Series],
+    cfg: EngineConfig,
+    folder: str | None = None,
+) -> DataFrame:
+    """Calls the provider for every text, cut into chunks, and joins and validates the answers.
+
+    ``requests`` holds one (cache_key, source_text) per key. Every chunk has its own glossary
+    subset, prompt, validation and retries. Gives (cache_key, source_text, chunks, attempts,
+    translated, failed_chunk, reason): ``attempts`` counts all calls for the key; ``failed_chunk``
+    is the first chunk without a valid answer and ``reason`` its reason, else that of the whole.
+    With ``folder`` given, a run that was stopped goes on from the attempts stored there.
+    """
+    folder = folder or new_folder(requests.sparkSession, "provider")
+    tables = provider_attempts(request_chunks(requests, glossary, cfg), provider, cfg, folder)
+    last = len(tables)
+    rows = None
+    for number, table in enumerate(tables, start=1):
+        row = table.select(*CALL, "translated", "reason", F.lit(number == last).alias("final"))
+        rows = row if rows is None else rows.unionByName(row)
+    done = F.col("final") | F.col("reason").isNull()
+    part = F.when(done, F.struct("chunk_index", F.col("translated").alias("part")))
+    bad = done & F.col("reason").isNotNull()
+    # A group is one text's calls; nothing else is gathered.
+    per_key = rows.groupBy("cache_key").agg(
+        F.array_sort(F.collect_list(part)).alias("parts"), F.count("*").alias("attempts"),
+        F.min(F.when(bad, F.struct("chunk_index", "reason"))).alias("failed"))
+    joined = requests.select("cache_key", "source_text").join(per_key, "cache_key").select(
+        "cache_key", "source_text", F.size("parts").cast("long").alias("chunks"), "attempts",
+        F.array_join(F.transform("parts", lambda p: text.strip(p["part"])), "\n").alias("translated"), "failed")
+    whole = F.when(F.col("chunks") > 1, validation_reason(F.col("source_text"), F.col("translated")))
+    return joined.select(
+        "cache_key", "source_text", "chunks", "attempts", "translated", F.col("failed.chunk_index").alias("failed_chunk"),
+        F.coalesce(F.col("failed.reason"), whole).alias("reason"))
 
 
 def resolve_fallback(primary: DataFrame, fallback: DataFrame, passthrough: bool) -> DataFrame:

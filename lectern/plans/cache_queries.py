@@ -246,15 +246,38 @@ def forgetful(prompts_in: pd.Series) -> pd.Series:
     return prompts_in.map(one)
 
 
-@query("provider_stage", o.sql(f"""
-  SELECT cache_key, (CASE WHEN r IS NOT NULL THEN 4 WHEN length(source_text) % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS attempts, r AS reason
-  FROM (SELECT cache_key, source_text, {o.reason('source_text', o.kana('source_text'))} AS r FROM keyed
-    QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY doc_id, block_index) = 1)""", "keyed"))
+def _stage_sql(max_chars: int, jobs: str, *needs: str) -> str:
+    """Every chunk fails for good or is answered at the first or second call; the joined whole may fail as well."""
+    return o.sql(f"""
+  SELECT cache_key, chunks, attempts, failed_chunk, CASE WHEN failed_chunk IS NOT NULL THEN failed_reason
+    WHEN chunks > 1 THEN {o.reason('source_text', 'translated')} END AS reason
+  FROM jobs JOIN (SELECT cache_key, count(*) AS chunks, sum(calls)::BIGINT AS attempts, arg_min(r, chunk_index) FILTER (r IS NOT NULL) AS failed_reason,
+      min(chunk_index) FILTER (r IS NOT NULL) AS failed_chunk, string_agg({o.kana('chunk')}, {o.NL} ORDER BY chunk_index) AS translated
+    FROM (SELECT *, CASE WHEN r IS NOT NULL THEN 4 WHEN length(chunk) % 3 = 0 THEN 2 ELSE 1 END AS calls FROM (
+      SELECT *, {o.reason('chunk', o.kana('chunk'))} AS r FROM doc_chunks)) GROUP BY cache_key) USING (cache_key)""",
+        *needs, jobs=jobs, **chunk_ctes(max_chars, "jobs", "cache_key", "source_text")).replace("walk AS MATERIALIZED", "walk AS")
+
+
+STAGE_COLUMNS = ("cache_key", "chunks", "attempts", "failed_chunk", "reason")
+
+
+@query("provider_stage", _stage_sql(STAGE_CFG.max_chars, """
+  SELECT cache_key, min(source_text) AS source_text FROM keyed GROUP BY cache_key""", "keyed"))
 def provider_stage(t: Tables) -> DataFrame:
-    jobs = t.keyed().groupBy("cache_key").agg(F.min(F.struct("source_text", "subset")).alias("b")).select(
-        "cache_key", "b.*"
-    )
-    return requests.provider_stage(jobs, forgetful, STAGE_CFG).select("cache_key", "attempts", "reason")
+    jobs = t.keyed().groupBy("cache_key").agg(F.min("source_text").alias("source_text"))
+    return requests.provider_stage(jobs, t.glossary(), forgetful, STAGE_CFG).select(*STAGE_COLUMNS)
+
+
+CHUNK_CFG = EngineConfig(max_chars=400)
+
+
+@query("provider_chunks", _stage_sql(CHUNK_CFG.max_chars, """
+  SELECT 'd' || doc_id AS cache_key, text AS source_text FROM documents"""))
+def provider_chunks(t: Tables) -> DataFrame:
+    """Whole documents as texts, most of which take several calls."""
+    jobs = t.documents().select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("cache_key"),
+                                F.col("text").alias("source_text"))
+    return requests.provider_stage(jobs, t.glossary(), forgetful, CHUNK_CFG).select(*STAGE_COLUMNS)
 
 
 @query("fallback_resolve", o.sql(f"""

@@ -373,26 +373,80 @@ def failure_actions(t: Tables) -> DataFrame:
     )
 
 
-@query("local_fill", o.sql(f"""
-  SELECT custom_id, CASE WHEN outcome IN ('cached', 'translated') THEN 'local_imported'
-      WHEN outcome IN ('reference_like', 'exhausted') THEN 'local_exhausted' ELSE state END AS state,
-    CASE WHEN outcome IS NULL THEN last_error
-      WHEN outcome = 'reference_like' THEN 'skipped local batch retry for reference-like block | suggested_action=inspect_reference_or_try_another_provider'
-      WHEN outcome IN ('exhausted', 'failed') THEN failure END AS last_error, outcome AS fill_outcome
-  FROM (SELECT *, CASE WHEN state <> 'local_pending' OR place > {FILL_LIMIT} THEN NULL
+def _fill_told_sql(limit: int, order: str, error: str = "error") -> str:
+    return f"""
+  SELECT *, CASE WHEN state <> 'local_pending' OR place > {limit} THEN NULL
       WHEN {o.reference_like('source_text')} THEN 'reference_like' WHEN in_cache THEN 'cached'
       WHEN reason IS NULL AND error IS NULL THEN 'translated' WHEN {_exhausts_sql()} THEN 'exhausted' ELSE 'failed' END AS outcome,
       {_failure_text_sql()} AS failure
     FROM (SELECT f.*, a.reason, a.error, a.requests,
-      row_number() OVER (PARTITION BY state ORDER BY {ORDERS['page-order']}) AS place
-      FROM flagged f JOIN (SELECT cache_key, reason, error, requests FROM attempts) a USING (cache_key)))""",
+      row_number() OVER (PARTITION BY state ORDER BY {order}) AS place
+      FROM flagged f JOIN (SELECT cache_key, reason, {error} AS error, requests FROM attempts) a USING (cache_key))"""
+
+
+FILL_STATE_SQL = """CASE WHEN outcome IN ('cached', 'translated') THEN 'local_imported'
+      WHEN outcome IN ('reference_like', 'exhausted') THEN 'local_exhausted' ELSE state END"""
+FILL_ERROR_SQL = """CASE WHEN outcome = 'reference_like' THEN 'skipped local batch retry for reference-like block | suggested_action=inspect_reference_or_try_another_provider'
+      WHEN outcome IN ('exhausted', 'failed') THEN failure END"""
+
+
+@query("local_fill", o.sql(f"""
+  SELECT custom_id, {FILL_STATE_SQL} AS state,
+    CASE WHEN outcome IS NULL THEN last_error ELSE {FILL_ERROR_SQL} END AS last_error, outcome AS fill_outcome
+  FROM ({_fill_told_sql(FILL_LIMIT, ORDERS['page-order'])})""",
     "work_items", "cache", "attempts", flagged=FLAGGED_SQL))
 def local_fill(t: Tables) -> DataFrame:
-    return ledger.fill_local(t.items(), t.cache(), t.attempts(), "page-order", NOW, FILL_LIMIT).select(
+    """What a fill would make of every item in reach, were it not stopped."""
+    return ledger.fill_local(t.items(), t.cache(), t.attempts(), "page-order", NOW, FILL_LIMIT, stops=False).select(
         "custom_id", "state", "last_error", "fill_outcome"
     )
 
 
+SECONDS_A_REQUEST = 40
+
+
+def _stopped_fill_sql(priority: str, error: str) -> str:
+    """The fill walked in order; sums over the whole order, and a wait's base from the completions before it."""
+    order = ORDERS[priority]
+    return o.sql(f"""
+  SELECT custom_id, CASE WHEN fill_outcome = 'stalled' THEN 'local_exhausted' ELSE {FILL_STATE_SQL} END AS state,
+    CASE WHEN outcome IS NULL THEN last_error WHEN fill_outcome = 'stalled' THEN {FILL_ERROR_SQL} || ' | batch translate-local stalled: ' ||
+      n_done || ' completed, ' || n_failed || ' errors; no new completions for ' || (secs // 60) || 'm ' || lpad((secs % 60)::VARCHAR, 2, '0') ||
+      's while API requests increased by ' || reqs || '; current item p' || page_index || ' b' || block_index || ' ' || href
+      ELSE {FILL_ERROR_SQL} END AS last_error, fill_outcome
+  FROM (SELECT * REPLACE (CASE WHEN place <= coalesce(stop, place) THEN outcome END AS outcome),
+      CASE WHEN place = stop AND NOT auth THEN 'stalled' WHEN place <= coalesce(stop, place) THEN outcome END AS fill_outcome
+    FROM (SELECT *, min(CASE WHEN auth OR (NOT done AND reqs >= 20 AND secs >= 600) THEN place END) OVER () AS stop
+      FROM (SELECT *, r - CASE WHEN n_done > 0 THEN min(r) OVER (PARTITION BY outcome IS NULL, n_done) ELSE 0 END AS reqs,
+          (r - CASE WHEN n_done > 0 THEN min(r) OVER (PARTITION BY outcome IS NULL, n_done) ELSE 0 END) * {SECONDS_A_REQUEST} AS secs
+        FROM (SELECT *, sum(done::INT) OVER (PARTITION BY outcome IS NULL ORDER BY place) AS n_done,
+            sum((NOT done)::INT) OVER (PARTITION BY outcome IS NULL ORDER BY place) AS n_failed,
+            sum(spent) OVER (PARTITION BY outcome IS NULL ORDER BY place) AS r
+          FROM (SELECT *, coalesce(outcome IN ('cached', 'translated'), false) AS done,
+              coalesce(outcome IN ('failed', 'exhausted') AND contains(error, 'HTTP 401'), false) AS auth,
+              CASE WHEN outcome IN ('translated', 'exhausted', 'failed') THEN requests ELSE 0 END AS spent
+            FROM ({_fill_told_sql(10**9, order, error)}))))))""",
+        "work_items", "cache", "attempts", flagged=FLAGGED_SQL)
+
+
+def _stopped_fill(t: Tables, priority: str, attempts: DataFrame) -> DataFrame:
+    timed = attempts.withColumn("seconds", F.col("requests") * SECONDS_A_REQUEST)
+    return ledger.fill_local(t.items(), t.cache(), timed, priority, NOW).select(
+        "custom_id", "state", "last_error", "fill_outcome")
+
+
+@query("local_fill_auth", _stopped_fill_sql("short-first", "error"))
+def local_fill_auth(t: Tables) -> DataFrame:
+    """A fill that meets authentication failures."""
+    return _stopped_fill(t, "short-first", t.attempts())
+
+
+@query("local_fill_stall", _stopped_fill_sql("oldest-first", "NULL::VARCHAR"))
+def local_fill_stall(t: Tables) -> DataFrame:
+    """A fill without authentication failures: only a stall can stop it."""
+    return _stopped_fill(t, "oldest-first", t.attempts().withColumn("error", F.lit(None).cast("string")))
+
+
 @query("fill_status", o.sql("""
   SELECT corpus_id, CASE WHEN bool_or(state = 'local_pending') THEN 'local_pending'
     WHEN bool_or(state = 'local_exhausted') THEN 'local_exhausted' ELSE 'local_imported' END AS status

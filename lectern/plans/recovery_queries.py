@@ -106,25 +106,45 @@ def recover_select(t: Tables) -> DataFrame:
     )
 
 
-@query("recover_outcome", o.sql(f"""
-  SELECT input, page_no, block_index, outcome, outcome = 'recovered' AND reason = 'inline_restore_failed' AS replaces,
-    CASE WHEN outcome = 'unrecoverable' THEN CASE WHEN NOT hash_ok THEN 'source_hash does not match source_text'
-      ELSE coalesce(new_error, new_reason) END END AS failure
-  FROM (SELECT *, CASE WHEN NOT hash_ok THEN 'unrecoverable'
+RECOVER_TOLD_SQL = f"""
+  SELECT *, CASE WHEN NOT hash_ok THEN 'unrecoverable'
       WHEN reason <> 'inline_restore_failed' AND in_cache THEN 'already_cached'
       WHEN new_reason IS NULL AND new_error IS NULL THEN 'recovered'
       WHEN coalesce(contains(new_error, 'HTTP 401'), false) THEN 'aborted' ELSE 'unrecoverable' END AS outcome
     FROM (SELECT l.*, l.source_hash = {o.short_hash('l.source_text')} AS hash_ok, c.key IS NOT NULL AS in_cache,
         a.reason AS new_reason, a.error AS new_error
-      FROM recovery_log l JOIN attempts a USING (cache_key) LEFT JOIN cache c ON c.key = l.cache_key))""",
-    "recovery_log", "attempts", "cache"))
-def recover_outcome(t: Tables) -> DataFrame:
+      FROM recovery_log l JOIN attempts a USING (cache_key) LEFT JOIN cache c ON c.key = l.cache_key)"""
+
+
+def _recover_sql(told: str) -> str:
+    return o.sql(f"""
+  SELECT input, page_no, block_index, outcome, outcome = 'recovered' AND reason = 'inline_restore_failed' AS replaces,
+    CASE WHEN outcome = 'unrecoverable' THEN CASE WHEN NOT hash_ok THEN 'source_hash does not match source_text'
+      ELSE coalesce(new_error, new_reason) END END AS failure
+  FROM ({told})""", "recovery_log", "attempts", "cache")
+
+
+def _recovered(t: Tables, stops: bool) -> DataFrame:
     log = recovery.record_options(t.recovery_log())
-    return recovery.recover_outcome(log, t.cache(), t.attempts()).select(
+    return recovery.recover_outcome(log, t.cache(), t.attempts(), stops).select(
         "input", "page_no", "block_index", "outcome", "replaces", "failure"
     )
 
 
+@query("recover_outcome", _recover_sql(RECOVER_TOLD_SQL))
+def recover_outcome(t: Tables) -> DataFrame:
+    """What every record would become, were the recovery not stopped."""
+    return _recovered(t, stops=False)
+
+
+@query("recover_stopped", _recover_sql(f"""
+  SELECT * REPLACE (CASE WHEN place > stop THEN 'not_reached' ELSE outcome END AS outcome)
+  FROM (SELECT *, min(CASE WHEN outcome = 'aborted' THEN place END) OVER (PARTITION BY input) AS stop
+    FROM (SELECT *, row_number() OVER (PARTITION BY input ORDER BY page_no, block_index, cache_key) AS place FROM ({RECOVER_TOLD_SQL})))"""))
+def recover_stopped(t: Tables) -> DataFrame:
+    return _recovered(t, stops=True)
+
+
 @query("recover_options", o.sql(f"""
   SELECT use_provider, use_model, use_style, use_output, count(*) AS n FROM (
     SELECT '{CFG.provider}' AS use_provider, 'other-model' AS use_model, 'essay' AS use_style,
