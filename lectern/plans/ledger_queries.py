@@ -415,8 +415,8 @@ def _stopped_fill_sql(priority: str, error: str) -> str:
       's while API requests increased by ' || reqs || '; current item p' || page_index || ' b' || block_index || ' ' || href
       ELSE {FILL_ERROR_SQL} END AS last_error, fill_outcome
   FROM (SELECT * REPLACE (CASE WHEN place <= coalesce(stop, place) THEN outcome END AS outcome),
-      CASE WHEN place = stop AND NOT auth THEN 'stalled' WHEN place <= coalesce(stop, place) THEN outcome END AS fill_outcome
-    FROM (SELECT *, min(CASE WHEN auth OR (NOT done AND reqs >= 20 AND secs >= 600) THEN place END) OVER () AS stop
+      CASE WHEN outcome IS NOT NULL AND place = stop AND NOT auth THEN 'stalled' WHEN place <= coalesce(stop, place) THEN outcome END AS fill_outcome
+    FROM (SELECT *, min(CASE WHEN outcome IS NOT NULL AND (auth OR NOT done AND reqs >= 20 AND secs >= 600) THEN place END) OVER () AS stop
       FROM (SELECT *, r - CASE WHEN n_done > 0 THEN min(r) OVER (PARTITION BY outcome IS NULL, n_done) ELSE 0 END AS reqs,
           (r - CASE WHEN n_done > 0 THEN min(r) OVER (PARTITION BY outcome IS NULL, n_done) ELSE 0 END) * {SECONDS_A_REQUEST} AS secs
         FROM (SELECT *, sum(done::INT) OVER (PARTITION BY outcome IS NULL ORDER BY place) AS n_done,
@@ -426,12 +426,14 @@ def _stopped_fill_sql(priority: str, error: str) -> str:
               coalesce(outcome IN ('failed', 'exhausted') AND contains(error, 'HTTP 401'), false) AS auth,
               CASE WHEN outcome IN ('translated', 'exhausted', 'failed') THEN requests ELSE 0 END AS spent
             FROM ({_fill_told_sql(10**9, order, error)}))))))""",
-        "work_items", "cache", "attempts", flagged=FLAGGED_SQL)
+        "work_items", "attempts", flagged="SELECT *, false AS in_cache FROM work_items")
 
 
 def _stopped_fill(t: Tables, priority: str, attempts: DataFrame) -> DataFrame:
+    """A fill of the whole ledger with an empty cache, so that every item is a call."""
     timed = attempts.withColumn("seconds", F.col("requests") * SECONDS_A_REQUEST)
-    return ledger.fill_local(t.items(), t.cache(), timed, priority, NOW).select(
+    empty = t.spark.createDataFrame([], "key string, translated string")
+    return ledger.fill_local(t.items(), empty, timed, priority, NOW).select(
         "custom_id", "state", "last_error", "fill_outcome")
 
 
