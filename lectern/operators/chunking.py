@@ -2,68 +2,60 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.config import MAX_CHARS_PER_REQUEST
-from lectern.functions.text import SENTENCE_BOUNDARIES, SPACE, strip
+from lectern.functions.text import SENTENCE_BOUNDARIES, SPACE, bound, strip
 from lectern.functions.validation import validation_reason
 
-_BOUNDARY = re.compile(f"[{re.escape(SENTENCE_BOUNDARIES)}]")
-_BLANK = re.compile(r"\s")
-
-
-def _last(pattern: re.Pattern, text: str, start: int) -> int | None:
-    ends = [m.end() for m in pattern.finditer(text, start)]
-    return ends[-1] if ends else None
-
-
-def marked_chunks(text: str, max_chars: int) -> list[str]:
-    """Cut a stripped text that holds markers; a marker is never cut."""
-    out, rest, first = [], text, max(max_chars // 3, 1) - 1
-    while len(rest) > max_chars:
-        hidden = re.sub("⟦[^⟧]*", lambda m: "\0" * len(m.group()), rest)
-        limit = re.compile("[^\0]").search(hidden, max_chars - 1)
-        if limit is None:
-            break
-        window = hidden[: limit.end()]
-        cut = _last(_BOUNDARY, window, first) or _last(_BLANK, window, first) or limit.end()
-        out.append(rest[:cut].strip())
-        rest = rest[cut:].lstrip()
-    return [chunk for chunk in [*out, rest.strip()] if chunk]
+# Noncharacters, which no text holds: a hidden place of a marker, and the end of a chunk.
+HIDDEN, CUT = "\ufdd0", "\ufdd1"
 
 
-def chunks(text: Column, max_chars: int = MAX_CHARS_PER_REQUEST) -> Column:
-    """Array of chunks of at most ``max_chars`` characters (0: no cutting).
+def _chunk_pattern(max_chars: int) -> str:
+    """One chunk of what is left: all of it, or up to the last sentence end, else blank, else the limit.
 
-    Texts without markers are cut by one regular expression in the JVM; only long
-    texts with markers reach Python.
+    Hidden places count as characters but are never cut at: a limit that falls on one moves to
+    the next open place, and a rest without one stays whole.
     """
-    whole = strip(text)
-    if max_chars == 0:
-        return F.array(whole)
     least, most = max(max_chars // 3, 1) - 1, max_chars - 1
-    pattern = (
+    return (
         rf"(?s){SPACE}*+(?:.{{1,{max_chars}}}\z"
+        rf"|.{{{most}}}{HIDDEN}++\z"
         rf"|.{{{least},{most}}}[{SENTENCE_BOUNDARIES}]"
         rf"|.{{{least},{most}}}{SPACE}"
-        rf"|.{{{max_chars}}})"
-    )
-    plain = F.filter(
-        F.transform(F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)), strip),
-        lambda c: c != "",
+        rf"|.{{{most}}}{HIDDEN}*+[^{HIDDEN}])"
     )
 
-    @F.pandas_udf("array<string>")
-    def cut_marked(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else marked_chunks(t, max_chars))
 
-    long_text = F.length(whole) > max_chars
-    marked = cut_marked(F.when(long_text & whole.contains("⟦"), whole))
-    return F.when(~long_text, F.array(whole)).otherwise(F.coalesce(marked, plain))
+def _marked_chunks(whole: Column, pattern: str) -> Column:
+    """Chunks of a text with markers: the markers are hidden once, the text is cut, and they are put back.
+
+    Every step is linear in the text. A hidden run ends where its marker closes, so runs and
+    markers stand in the same order.
+    """
+    def put_back(pieces: Column) -> Column:
+        is_marker = lambda p: p.startswith("⟦")
+        hidden = F.array_join(F.transform(
+            pieces, lambda p: F.when(is_marker(p), F.repeat(F.lit(HIDDEN), F.length(p))).otherwise(p)), "")
+        shown = F.split(F.regexp_replace(hidden, pattern, "$0" + CUT), HIDDEN + "+", -1)
+        restored = F.zip_with(shown, F.filter(pieces, is_marker), lambda text, marker: F.concat(text, F.coalesce(marker, F.lit(""))))
+        return F.split(F.array_join(restored, ""), CUT, -1)
+
+    return bound(F.regexp_extract_all(whole, F.lit("⟦[^⟧]*|[^⟦]+"), F.lit(0)), put_back)
+
+
+def chunks(text: Column, max_chars: int = MAX_CHARS_PER_REQUEST) -> Column:
+    """Array of chunks of at most ``max_chars`` characters (0: no cutting); a marker is never cut."""
+    whole = strip(text)
+    if max_chars == 0:
+        return F.array(whole)
+    pattern = _chunk_pattern(max_chars)
+    cut = F.when(whole.contains("⟦"), _marked_chunks(whole, pattern)).otherwise(
+        F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)))
+    stripped = F.filter(F.transform(cut, strip), lambda c: c != "")
+    return F.when(F.length(whole) <= max_chars, F.array(whole)).otherwise(stripped)
 
 
 def chunk_texts(df: DataFrame, max_chars: int = MAX_CHARS_PER_REQUEST) -> DataFrame:
