@@ -15,29 +15,30 @@ from lectern.sources import archives
 
 FIRST_PAGE, LAST_PAGE = 11, 500
 PAGE_IDS = ("corpus_id", "page_no")
-CONTAINER = (
-    '<container><rootfiles><rootfile full-path="OEBPS/package.opf" media-type="x"/></rootfiles></container>'
-)
+CONTAINER = ('<container><rootfiles><rootfile full-path="OEBPS/p', '.opf" media-type="x"/></rootfiles></container>')
+CONTAINER_SQL = f"({o.quote(CONTAINER[0])} || page_id || {o.quote(CONTAINER[1])})"
 
 
 @query("ingest_packages", f"""
-  SELECT 'b' || page_id AS corpus_id, path, bytes, hash, 'OEBPS/package.opf' AS root_file FROM (
+  SELECT 'b' || page_id AS corpus_id, path, bytes, hash, 'OEBPS/p' || page_id || '.opf' AS root_file FROM (
     SELECT page_id, 'p' || page_id || '.xhtml' AS path, strlen(html) AS bytes, sha256(html) AS hash FROM pages
-    UNION ALL SELECT page_id, 'META-INF/container.xml', strlen({o.quote(CONTAINER)}), sha256({o.quote(CONTAINER)})
+    UNION ALL SELECT page_id, 'META-INF/container.xml', strlen({CONTAINER_SQL}), sha256({CONTAINER_SQL})
     FROM pages)""")
 def ingest_packages(t: Tables) -> DataFrame:
+    """Archives unpacked, each with the root file that its own container names."""
+    page = F.col("page_id").cast("string")
     books = archives.pack_rows(
         t.pages().select(
-            F.concat(F.lit("b"), F.col("page_id").cast("string")).alias("corpus_id"),
-            F.lit(CONTAINER).alias("container"), "href", "html",
+            F.concat(F.lit("b"), page).alias("corpus_id"),
+            F.concat(F.lit(CONTAINER[0]), page, F.lit(CONTAINER[1])).alias("container"), "href", "html",
         )
     )
     entries = archives.archive_entries(books)
-    root = spine.root_file(F.lit(CONTAINER))
+    containers = entries.filter(F.col("path") == "META-INF/container.xml").select(
+        "corpus_id", spine.root_file(F.col("content").cast("string")).alias("root_file"))
     return entries.select(
         "corpus_id", "path", F.octet_length("content").alias("bytes"), F.sha2("content", 256).alias("hash"),
-        root.alias("root_file"),
-    )
+    ).join(containers, "corpus_id")
 
 
 @query("corpus_fingerprint", "SELECT page_id, sha256(html) AS sha256, substr(sha256(html), 1, 32) AS input_hash FROM pages")
@@ -235,6 +236,31 @@ def toc_render(t: Tables) -> DataFrame:
     return navigation.rendered(toc_nav(t)).select(*PAGE_IDS, "pos", "line")
 
 
+LANDMARKS = '<nav epub:type="landmarks"><ol><li><a href="x">Start</a></li></ol></nav>'
+
+
+def typed_pages(t: Tables) -> DataFrame:
+    """A third of the pages name their list by type, behind another one; a third by role; a third do not."""
+    html = F.col("html")
+    by_type = F.regexp_replace(html, "<nav>", LANDMARKS + '<nav epub:type="lot toc">')
+    by_role = F.regexp_replace(html, "<nav>", '<nav role="doc-toc">')
+    kind = F.col("page_id") % 3
+    return t.pages().withColumn("html", F.when(kind == 0, by_type).when(kind == 1, by_role).otherwise(html))
+
+
+@query("toc_nav_typed", o.sql("""
+  SELECT corpus_id, page_no, pos, level, label, href FROM nav_toc WHERE label <> '' AND (page_no - 1) % 3 <> 2""", "nav_toc"))
+def toc_nav_typed(t: Tables) -> DataFrame:
+    return navigation.nav_contents(typed_pages(t))
+
+
+@query("toc_render_typed", o.sql("""
+  SELECT corpus_id, page_no, pos, repeat('  ', level - 1) || '- ' || label || coalesce(' -> ' || href, '') AS line
+  FROM nav_toc WHERE label <> '' AND (page_no - 1) % 3 <> 2""", "nav_toc"))
+def toc_render_typed(t: Tables) -> DataFrame:
+    return navigation.rendered(toc_nav_typed(t)).select(*PAGE_IDS, "pos", "line")
+
+
 @query("toc_ncx", o.sql("""
   SELECT corpus_id, page_no, CASE WHEN pos = 0 THEN n - 1 ELSE pos - 1 END AS pos,
     (CASE WHEN pos = 0 THEN 1 ELSE 2 END)::BIGINT AS level, label, href

@@ -333,27 +333,32 @@ def glossary_load(t: Tables) -> DataFrame:
     return jsonl.read_glossary(t.spark, path)
 
 
-@query("glossary_export", o.sql("""
-  SELECT 'en' AS source_lang, 'ja' AS target_lang, count(*) AS entries, min(term) AS first_src, max(term) AS last_src
+@query("glossary_export", o.sql(f"""
+  SELECT 'en' AS source_lang, 'ja' AS target_lang, count(*) AS entries,
+    {o.short_hash(f"string_agg(term, {o.NL} ORDER BY n DESC, lower(term), term)")} AS sources
   FROM candidates""", "candidates"))
 def glossary_export(t: Tables) -> DataFrame:
+    """All entries in their order."""
     parsed = F.from_json("document", "source_lang string, target_lang string, entries array<struct<src:string>>")
     src = F.transform(F.col("d.entries"), lambda e: e["src"])
     return glossary.glossary_document(glossary_candidates(t)).select(parsed.alias("d")).select(
         "d.source_lang", "d.target_lang", F.size("d.entries").alias("entries"),
-        F.array_min(src).alias("first_src"), F.array_max(src).alias("last_src"),
+        text.short_hash(F.array_join(src, "\n")).alias("sources"),
     )
 
 
+_ENTRY_SQL = f"""'{{' || {o.NL} || '    "src" : "' || term || '",' || {o.NL} || '    "dst" : ""' || {o.NL} || '  }}'"""
+
+
 @query("glossary_review_doc", o.sql(f"""
-  SELECT starts_with({o.quote(glossary.REVIEW_INSTRUCTIONS)}, '# Glossary review') AS titled, count(*) AS entries
-  FROM candidates""", "candidates"))
+  SELECT length(document) AS chars, {o.short_hash("document")} AS document_hash FROM (
+    SELECT {o.quote(glossary.REVIEW_INSTRUCTIONS)} || '```json' || {o.NL} || '{{' || {o.NL} || '  "source_lang" : "en",' || {o.NL} ||
+      '  "target_lang" : "ja",' || {o.NL} || '  "entries" : [ ' || string_agg({_ENTRY_SQL}, ', ' ORDER BY n DESC, lower(term), term) ||
+      ' ]' || {o.NL} || '}}' || {o.NL} || '```' || {o.NL} AS document FROM candidates)""", "candidates"))
 def glossary_review_doc(t: Tables) -> DataFrame:
+    """The whole document, letter by letter."""
     document = glossary.review_document(glossary.glossary_document(glossary_candidates(t)))
-    return document.select(
-        F.col("document").startswith("# Glossary review").alias("titled"),
-        F.regexp_count("document", F.lit('"src" :')).alias("entries"),
-    )
+    return document.select(F.length("document").alias("chars"), text.short_hash(F.col("document")).alias("document_hash"))
 
 
 # Language
