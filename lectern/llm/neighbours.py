@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.components import components
+from lectern.operators.joins import spread_join
 from lectern.session import written
 
 COSINE = 0.95
@@ -257,7 +258,9 @@ def link_vectors(embeddings: DataFrame, cosine: float = COSINE, window: int = WI
         & F.exists("vector", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("_sound", sound)
     good = rows.where("_sound").drop("_sound")
-    classes = good.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    # Different vectors may share an id, so a class has a number of its own.
+    classes = written(good.groupBy("vector").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies")).withColumn(
+        "rep", F.monotonically_increasing_id()), "vector-numbers")
     class_columns = "rep long, copies long, dims int, vector binary"
     stored = written(
         classes.select("rep", "copies", F.size("vector").alias("dims"), "vector").mapInPandas(
@@ -269,7 +272,7 @@ def link_vectors(embeddings: DataFrame, cosine: float = COSINE, window: int = WI
         _ordered(stored, [0], class_columns).mapInPandas(
             _pivoted(half), class_columns + ", number int, key long, ball long, pivot binary, angle double"
         ).drop("number", "key"), "vector-balls")
-    # A ball is named by its least id, so that a component is named by its least vector.
+    # A ball is named by its least class.
     balls = written(members.groupBy("ball").agg(
         F.min("rep").alias("name"), F.sum("copies").alias("size"), F.count("*").alias("n_classes"),
         F.max("angle").alias("radius"), F.first("pivot").alias("pivot")), "balls")
@@ -314,9 +317,12 @@ def link_vectors(embeddings: DataFrame, cosine: float = COSINE, window: int = WI
         of_balls, "ball", "left").join(of_members, "rep", "left").join(
         named.withColumnRenamed("node", "ball"), "ball", "left").select(
         "rep", (F.col("size") - 1 + F.coalesce("ball_links", F.lit(0)) + F.coalesce("own_links", F.lit(0))).alias("n_links"),
-        F.coalesce("component", "ball").alias("component_id"))
-    result = good.join(classes.select("vector", "rep"), "vector").join(per_class, "rep").select(
-        "vec_id", "n_links", "component_id")
+        F.coalesce("component", "ball").alias("component"))
+    linked = written(classes.select("rep", "least_id", "vector").join(per_class, "rep"), "linked-classes")
+    least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named_classes = spread_join(linked.select("rep", "n_links", "component"), least, "component", ["rep"], "inner", hot_from=linked)
+    result = good.join(linked.select("vector", "rep"), "vector").join(
+        named_classes.select("rep", "n_links", "component_id"), "rep").select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT _sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return result.union(alone).select(
         "*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

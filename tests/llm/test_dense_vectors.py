@@ -49,3 +49,25 @@ def test_common_bits():
     a = np.array([0, 1, 1 << 63, (1 << 53) - 1, 5], np.uint64)
     b = np.array([0, 0, 0, 0, 4], np.uint64)
     assert neighbours._common_bits(a, b).tolist() == [64, 63, 0, 11, 63]
+
+
+def test_vectors_that_share_an_id_keep_their_rows_and_links(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(12, 16))
+    rows = [(int(rng.integers(1, 9)), (base[rng.integers(0, 12)] + rng.normal(0, 0.04, 16)).tolist()) for _ in range(120)]
+    rows += [(1, base[0].tolist()), (1, base[5].tolist()), (1, base[0].tolist()), (9, (-base[0]).tolist()), (2, [0.0] * 16)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = np.array([np.array(v) / (np.linalg.norm(v) or 1) for _, v in rows])
+    link = unit @ unit.T >= 0.95
+    np.fill_diagonal(link, False)
+    label = list(range(len(rows)))
+    for i, j in zip(*np.nonzero(link)):
+        a, b = label[i], label[j]
+        label = [a if x == b else x for x in label]
+    least = {}
+    for (i, _), x in zip(rows, label):
+        least[x] = min(i, least.get(x, i))
+    want = sorted((i, int(n), least[x], i == least[x]) for (i, _), n, x in zip(rows, link.sum(1), label))
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in neighbours.link_vectors(frame).collect())
+    assert len(got) == len(rows)
+    assert got == want
