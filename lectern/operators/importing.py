@@ -39,19 +39,24 @@ def all_lines(outputs: DataFrame, errors: DataFrame) -> DataFrame:
     )
 
 
-def last_rows(work_items: DataFrame) -> DataFrame:
-    """One ledger row per id: of repeated ids the last one in the ledger's order counts.
+def marked_last(work_items: DataFrame) -> DataFrame:
+    """Adds ``is_last``: is this the ledger's last row of its id?
 
-    That order is (page_index, block_index), then the time of the last change; rows alike in all
-    of these are told apart by their state and text, so that a rerun takes the same one.
+    The last one has the greatest (updated_at, attempt, state, source_hash, cache_key); rows of an
+    id alike in all of these are all last. Repeated ids are few: only they are joined back.
     """
-    order = F.struct("page_index", "block_index", "updated_at", "attempt", "state", "source_hash", "cache_key")
+    order = F.struct("updated_at", "attempt", "state", "source_hash", "cache_key")
     repeated = work_items.groupBy("custom_id").agg(F.count("*").alias("_n"), F.max(order).alias("_last")).where("_n > 1")
-    # Repeats are few: only their ids and last places are joined back, and only they are numbered.
-    marked = work_items.join(repeated.select("custom_id", "_last"), "custom_id", "left")
-    single = marked.where(F.col("_last").isNull()).select(*work_items.columns)
-    last = marked.where(F.col("_last") == order).dropDuplicates(["custom_id"]).select(*work_items.columns)
-    return single.unionByName(last)
+    return work_items.join(repeated.select("custom_id", "_last"), "custom_id", "left").select(
+        *work_items.columns, (F.col("_last").isNull() | (F.col("_last") == order)).alias("is_last"),
+        F.col("_last").isNotNull().alias("_repeated"))
+
+
+def last_rows(work_items: DataFrame) -> DataFrame:
+    """One ledger row per id: of repeated ids the last one counts."""
+    marked = marked_last(work_items).where("is_last")
+    single = marked.where("NOT _repeated").select(*work_items.columns)
+    return single.unionByName(marked.where("_repeated").select(*work_items.columns).dropDuplicates(["custom_id"]))
 
 
 def line_fault() -> Column:
@@ -151,7 +156,10 @@ def judged_lines(work_items: DataFrame, cache: DataFrame, outputs: DataFrame, er
 
 def import_outputs(work_items: DataFrame, cache: DataFrame, outputs: DataFrame, errors: DataFrame,
                    now: str) -> ImportResult:
-    """Judge all lines, advance the ledger and collect new cache rows."""
+    """Judge all lines, advance the ledger and collect new cache rows.
+
+    Where ledger rows share an id the last one is judged and moved; the others stay as they are.
+    """
     lines = judged_lines(work_items, cache, outputs, errors)
     moves = lines.filter(F.col("outcome").isin("imported", "already_cached", "rejected", "failed")).select(
         "custom_id",
@@ -159,17 +167,17 @@ def import_outputs(work_items: DataFrame, cache: DataFrame, outputs: DataFrame,
         .otherwise(F.col("outcome")).alias("_state"),
         F.col("message").alias("_message"),
     )
-    moved = F.col("_state").isNotNull()
+    moved = F.col("_state").isNotNull() & F.col("is_last")
     changed = {
-        "state": F.coalesce("_state", "state"),
+        "state": F.when(moved, F.col("_state")).otherwise(F.col("state")),
         "last_error": F.when(moved, F.col("_message")).otherwise(F.col("last_error")),
         "updated_at": F.when(moved, F.lit(now)).otherwise(F.col("updated_at")),
     }
-    ledger = work_items.join(moves, "custom_id", "left").select(
+    ledger = marked_last(work_items).join(moves, "custom_id", "left").select(
         *[changed.get(c, F.col(c)).alias(c) for c in work_items.columns]
     )
     won = lines.filter(F.col("outcome") == "imported").select("custom_id", "cache_key", "answer")
-    rows = won.join(work_items.select("custom_id", "provider", "model"), "custom_id").select(
+    rows = won.join(last_rows(work_items).select("custom_id", "provider", "model"), "custom_id").select(
         F.col("cache_key").alias("key"), F.col("answer").alias("translated"), "provider", "model",
         F.lit(now).alias("at"),
     )

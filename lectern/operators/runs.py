@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.config import EngineConfig, PROMPT_VERSION
@@ -89,6 +89,14 @@ def inventory(runs: DataFrame, segments: DataFrame, files: DataFrame, logs: Data
     )
 
 
+def run_files(spark: SparkSession, root: str) -> DataFrame:
+    """(run_hash, file, bytes) of the files under ``root``/run_hash=.., from the file system alone; none is opened."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return found.select(
+        F.regexp_extract("path", "/run_hash=([^/]+)/", 1).alias("run_hash"),
+        F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("bytes"))
+
+
 def resolve_prefix(runs: DataFrame, prefix: str) -> DataFrame:
     """The one run whose hash starts with the prefix; none or several is an error."""
     hits = runs.filter(F.col("run_hash").startswith(prefix))

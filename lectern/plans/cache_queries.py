@@ -18,6 +18,7 @@ from lectern.plans import oracle as o
 from lectern.plans.registry import query
 from lectern.plans.tables import AT, BLOCK_IDS, CFG, NOW, KANA_LETTERS, LATIN_LETTERS, Tables
 from lectern.plans.text_queries import chunk_ctes
+from lectern.session import new_folder
 
 SHOW_RUN = hashlib.sha256(b"src0").hexdigest()[:32]
 RETENTION_DAYS = 20
@@ -111,9 +112,24 @@ def manifest_upsert(t: Tables) -> DataFrame:
     return runs.upsert_manifests(old, now, NOW).drop("mtime")
 
 
+def run_folder(t: Tables) -> str:
+    """The translations of each run as text files in a folder of its own."""
+    path = new_folder(t.spark, "runs")
+    lines = t.cache_log().select(text.short_hash(F.col("corpus_id")).alias("run_hash"), "translated")
+    lines.write.partitionBy("run_hash").text(path)
+    return path
+
+
 def inventory(t: Tables) -> DataFrame:
     segments = t.run_files().select("run_hash")
-    return runs.inventory(t.runs(), segments, t.run_files(), t.recovery_files())
+    return runs.inventory(t.runs(), segments, runs.run_files(t.spark, run_folder(t)), t.recovery_files())
+
+
+@query("run_bytes", o.sql(f"""
+  SELECT {o.RUN_HASH} AS run_hash, sum(strlen(translated) + 1)::BIGINT AS bytes FROM cache_log GROUP BY 1""", "cache_log"))
+def run_bytes(t: Tables) -> DataFrame:
+    """Bytes on disk of each run, from the metadata of its files."""
+    return runs.run_files(t.spark, run_folder(t)).groupBy("run_hash").agg(F.sum("bytes").alias("bytes"))
 
 
 INVENTORY_SQL = f"""

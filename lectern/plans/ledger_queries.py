@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import short_hash
@@ -173,6 +173,36 @@ def jsonl_read(t: Tables) -> DataFrame:
     return rows.select("conv_id", "turn", "role", F.sha2("text", 256).alias("hash"))
 
 
+@query("jsonl_bad_lines", """
+  SELECT conv_id, turn, CASE WHEN (conv_id * 7 + turn) % 41 = 0 THEN NULL ELSE sha256(text) END AS hash,
+    (conv_id * 7 + turn) % 41 = 0 AS bad, true AS placed FROM conversations""")
+def jsonl_bad_lines(t: Tables) -> DataFrame:
+    """Rows with blank lines between them, some cut short; their line numbers are those of their place in the file."""
+    path = new_folder(t.spark, "bad-lines")
+    rows = t.given("conversations").repartitionByRange(4, "conv_id", "turn").sortWithinPartitions("conv_id", "turn")
+    head = F.format_string("%d %d ", "conv_id", "turn")
+    whole = F.to_json(F.struct("conv_id", "turn", "text"))
+    cut = F.expr("left(whole, length(whole) - 2)")
+    lines = rows.withColumn("whole", whole).select(F.concat(
+        F.when(F.col("turn") % 3 == 0, "\n").otherwise(""),
+        F.when((F.col("conv_id") * 7 + F.col("turn")) % 41 == 0, F.concat(head, cut)).otherwise(F.col("whole"))).alias("value"))
+    jsonl.write_text(lines, path)
+    read = jsonl.parsed_lines(t.spark, path, "conv_id bigint, turn bigint, text string")
+    # The place of a line again, by counting: its row in the file and the blank lines up to it.
+    text = jsonl.numbered_lines(t.spark, path)
+    bad_key = F.split(F.col("value"), " ")
+    keyed = text.filter(F.trim("value") != "").select(
+        "file", F.col("line_no").alias("at"), F.coalesce(F.get_json_object("value", "$.conv_id"), bad_key[0]).cast("long").alias("k"),
+        F.coalesce(F.get_json_object("value", "$.turn"), bad_key[1]).cast("long").alias("u"))
+    order = Window.partitionBy("file").orderBy("k", "u").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = keyed.select("file", "at", "k", "u", F.sum(F.when(F.col("u") % 3 == 0, 2).otherwise(1)).over(order).alias("want"))
+    return read.join(counted, (read.file == counted.file) & (read.line_no == counted.at)).select(
+        F.col("k").alias("conv_id"), F.col("u").alias("turn"),
+        F.when(F.col("error").isNull(), F.sha2("row.text", 256)).alias("hash"), F.col("error").isNotNull().alias("bad"),
+        ((F.col("want") == F.col("at")) & (F.col("error").isNull() | (F.col("error") == F.format_string(
+            "failed to parse %s line %d", read.file, F.col("want"))))).alias("placed"))
+
+
 @query("jsonl_line_count", f"""
   SELECT sum(len(list_filter(string_split(text, {o.NL}), lambda x: {o.strip('x')} <> '')))::BIGINT AS lines FROM documents""")
 def jsonl_line_count(t: Tables) -> DataFrame:
@@ -210,6 +240,29 @@ def batch_import(t: Tables) -> DataFrame:
     )
 
 
+SPOILED_SQL = """SELECT * REPLACE (CASE WHEN doc_id % 9 = 0 THEN 'spoiled' ELSE source_hash END AS source_hash) FROM work_items"""
+
+
+@query("import_repeated_ids", o.sql("""
+  SELECT l.custom_id, l.outcome, l.message, count(*) AS ledger_rows,
+    count(*) FILTER (w.updated_at <> '2026-09-09T00:00:00Z') AS older_rows
+  FROM spoiled_lines l LEFT JOIN (SELECT custom_id, updated_at FROM work_items
+      UNION ALL SELECT custom_id, '2026-09-09T00:00:00Z' FROM work_items WHERE doc_id % 9 = 0) w USING (custom_id)
+  GROUP BY ALL""", "import_lines", spoiled=SPOILED_SQL,
+    spoiled_lines=o.CTES["import_lines"][1].replace("LEFT JOIN work_items w", "LEFT JOIN spoiled w")))
+def import_repeated_ids(t: Tables) -> DataFrame:
+    """A ledger in which later rows of an id, with another hash, stand behind the first: those count."""
+    items = t.work_items()
+    later = items.filter("doc_id % 9 = 0").withColumn("source_hash", F.lit("spoiled")).withColumn(
+        "updated_at", F.lit("2026-09-09T00:00:00Z"))
+    ledger_rows = items.unionByName(later).drop("doc_id")
+    result = importing.import_outputs(ledger_rows, t.cache(), t.outputs(), t.remote_errors(), NOW)
+    rows = ledger_rows.select("custom_id", "updated_at")
+    return result.lines.select("custom_id", "outcome", "message").join(rows, "custom_id", "left").groupBy(
+        "custom_id", "outcome", "message").agg(
+        F.count("*").alias("ledger_rows"), F.count_if(F.col("updated_at") != "2026-09-09T00:00:00Z").alias("older_rows"))
+
+
 @query("import_report", o.sql("""
   SELECT *, imported_count + already_cached_count AS manifest_imported,
     CASE WHEN rejected_count + error_count = 0 THEN 'imported' ELSE 'imported_with_errors' END AS status

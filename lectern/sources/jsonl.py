@@ -21,6 +21,38 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, quarantine: bool = F
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """All lines of the files under a path with their place: (file, line_no, value), line numbers from 1.
+
+    A file may be read in many splits. Rows are numbered as they are read; the first number of
+    each split and its count of lines, a few numbers per split, give the line a split begins at.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"), "value")
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return lines.join(starts, ["file", "block"]).select(
+        "file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), "value")
+
+
+def parsed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, line_no, row, error) of all non-blank lines; ``error`` names file and line where one is no JSON row."""
+    found = numbered_lines(spark, path).filter(strip(F.col("value")) != "")
+    row = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"})
+    error = F.when(
+        F.col("row._corrupt_record").isNotNull(),
+        F.format_string("failed to parse %s line %d", "file", "line_no"))
+    return found.withColumn("row", row).select("file", "line_no", F.col("row").dropFields("_corrupt_record").alias("row"), error.alias("error"))
+
+
+def read_jsonl_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Typed rows; a bad line ends the job with its file and line number."""
+    rows = parsed_lines(spark, path, schema)
+    return rows.select(F.when(F.col("error").isNull(), F.col("row")).otherwise(F.raise_error(F.col("error"))).alias("row")).select("row.*")
+
+
 def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A single JSON document, or no row when the file is missing."""
     if not exists(spark, path):

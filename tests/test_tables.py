@@ -9,6 +9,7 @@ from lectern.operators import (
     accounting, blocks, cache, importing, joins, ledger, navigation, ordinals, packing, parts, recovery, runs, spine,
     verify,
 )
+from lectern.functions import text
 from lectern.functions.text import short_hash
 from lectern.session import new_folder
 from lectern.sources import archives, jsonl
@@ -328,3 +329,43 @@ def test_archives_round_trip(spark):
                                  "corpus_id string, container string, href string, html string")
     got = archives.archive_entries(archives.pack_rows(rows)).collect()
     assert {r.path: bytes(r.content).decode() for r in got} == {"META-INF/container.xml": "<c/>", "p.xhtml": "<p>é</p>"}
+
+
+def test_line_numbers_run_on_across_splits(spark):
+    path = new_folder(spark, "numbered")
+    lines = [f'{{"a": {i}}}' if i % 7 else ("" if i % 2 else "{oops") for i in range(1, 400)]
+    jsonl.write_text(spark.createDataFrame([(x,) for x in lines], "v string").coalesce(1), path)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        numbered = jsonl.numbered_lines(spark, path)
+        assert numbered.select(F.spark_partition_id()).distinct().count() > 4
+        got = {r.line_no: r.value for r in numbered.collect()}
+        assert got == dict(enumerate(lines, 1))
+        parsed = {r.line_no: (r.row.a, r.error) for r in jsonl.parsed_lines(spark, path, "a int").collect()}
+        assert sorted(parsed) == [i for i, x in enumerate(lines, 1) if x]
+        bad = {i: e for i, (a, e) in parsed.items() if e}
+        assert list(sorted(bad)) == [i for i, x in enumerate(lines, 1) if x == "{oops"] and bad[14].endswith(" line 14")
+        with pytest.raises(Exception, match=r"failed to parse .* line \d+"):
+            jsonl.read_jsonl_strict(spark, path, "a int").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_the_last_ledger_row_of_an_id_is_judged_and_moved(spark):
+    schema = ("custom_id string, cache_key string, page_index long, block_index int, updated_at string, attempt int, state string, "
+              "source_text string, source_hash string, last_error string, provider string, model string")
+    old = ("x", "k1", 1, 1, "2026-01-01", 1, "submitted", "old words of it", "?", None, "p", "m")
+    new = ("x", "k2", 1, 1, "2026-01-02", 1, "submitted", "new words of it", "?", None, "p", "m")
+    other = ("y", "k3", 1, 2, "2026-01-01", 1, "submitted", "other words", "?", None, "p", "m")
+    items = spark.createDataFrame([new, old, other], schema).withColumn("source_hash", text.short_hash(F.col("source_text")))
+    line = "part_index long, line_no long, custom_id string, status_code int, body string, error string"
+    outputs = spark.createDataFrame([(1, 1, "x", 200, '{"output_text": "訳文です。"}', None)], line)
+    result = importing.import_outputs(items, spark.createDataFrame([], "key string, translated string"), outputs,
+                                      spark.createDataFrame([], line), "2026-02-02")
+    assert [(r.custom_id, r.cache_key, r.outcome) for r in result.lines.collect()] == [("x", "k2", "imported")]
+    assert sorted((r.cache_key, r.state, r.updated_at) for r in result.work_items.collect()) == [
+        ("k1", "submitted", "2026-01-01"), ("k2", "imported", "2026-02-02"), ("k3", "submitted", "2026-01-01")]
+    assert [r.key for r in result.cache_rows.collect()] == ["k2"]
