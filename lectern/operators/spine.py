@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.markers import XML_ENTITIES
 from lectern.functions.text import bound
 
 # Media types and file endings of pages and contents files.
@@ -117,3 +118,25 @@ def translated_metadata(packages: DataFrame, model: str) -> DataFrame:
     return packages.withColumn("language", F.lit(TARGET_LANGUAGE)).withColumn(
         "contributors", F.array_append("contributors", contributor)
     )
+
+
+_NAME = r"(?:[\w.-]+:)?"
+
+
+def rewritten_package(document: Column, model: str) -> Column:
+    """A package document with the target language and one more contributor; all else stays letter by letter.
+
+    The text of every language element is replaced (an empty one stays empty), and a contributor
+    with its role is put at the end of the first metadata element. Without metadata nothing is added.
+    """
+    language = F.regexp_replace(
+        document, rf"(?i)(<{_NAME}language(?:\s[^>]*)?>)[^<]+(</{_NAME}language\s*>)", f"$1{TARGET_LANGUAGE}$2")
+    name = f"lectern (model: {model})"
+    for raw, entity in XML_ENTITIES.items():
+        name = name.replace(raw, entity)
+    added = (
+        f'<dc:contributor id="lectern-translator">{name}</dc:contributor>'
+        '<meta refines="#lectern-translator" property="role" scheme="marc:relators">trl</meta>'
+    )
+    literal = added.replace("\\", "\\\\").replace("$", "\\$")
+    return F.regexp_replace(language, rf"(?is)\A(.*?)(</{_NAME}metadata\s*>)", f"$1{literal}$2")

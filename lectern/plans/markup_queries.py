@@ -79,6 +79,31 @@ def package_metadata(t: Tables) -> DataFrame:
     )
 
 
+def _package_sql(language: str, added: str) -> str:
+    """A package of each document: a third without a language, a third with prefixed elements."""
+    return f"""(CASE doc_id % 3 WHEN 0 THEN '<package><metadata><dc:title>' || {{title}} || '</dc:title>{added}</metadata><manifest/></package>'
+      WHEN 1 THEN '<opf:package><opf:metadata><dc:language xml:lang="en">' || {language} || '</dc:language><dc:title>' || {{title}} ||
+        '</dc:title>{added}</opf:metadata ><metadata></metadata></opf:package>'
+      ELSE '<package><language>' || {language} || '</language><language></language><spine/></package>' END)"""
+
+
+_TITLE_SQL = o.escape("left(text, 40)")
+_ADDED = (f'<dc:contributor id="lectern-translator">lectern (model: {CFG.model_name})</dc:contributor>'
+          '<meta refines="#lectern-translator" property="role" scheme="marc:relators">trl</meta>')
+
+
+@query("package_rewrite", f"""
+  SELECT doc_id, {o.short_hash(_package_sql("'ja'", _ADDED).format(title=_TITLE_SQL))} AS package_hash FROM documents""")
+def package_rewrite(t: Tables) -> DataFrame:
+    title = markers.escape_xml(F.left("text", F.lit(40)))
+    lang, kind = F.col("lang"), F.col("doc_id") % 3
+    opf = F.when(kind == 0, F.concat(F.lit("<package><metadata><dc:title>"), title, F.lit("</dc:title></metadata><manifest/></package>"))).when(
+        kind == 1, F.concat(F.lit('<opf:package><opf:metadata><dc:language xml:lang="en">'), lang, F.lit("</dc:language><dc:title>"), title,
+                            F.lit("</dc:title></opf:metadata ><metadata></metadata></opf:package>"))).otherwise(
+        F.concat(F.lit("<package><language>"), lang, F.lit("</language><language></language><spine/></package>")))
+    return t.documents().select("doc_id", text.short_hash(spine.rewritten_package(opf, CFG.model_name)).alias("package_hash"))
+
+
 @query("plain_text", f"""
   SELECT page_id, length(p) AS chars, {o.short_hash('p')} AS hash FROM (
     SELECT page_id, {o.collapse(o.decode(f"regexp_replace(regexp_replace(html, '{o.CODE}', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"))} AS p

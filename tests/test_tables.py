@@ -293,6 +293,17 @@ def test_nested_contents(spark):
     assert [r.line for r in got] == ["- One -> 1", "  - One A -> 1a", "- Two"]
 
 
+def test_package_rewrite_keeps_everything_else(spark):
+    opf = ('<?xml version="1.0"?><package>\n <metadata a="$1"><dc:Language>en-US</dc:Language>\\ <dc:title>a &amp; b</dc:title>'
+           "</metadata><x/></metadata></package>")
+    got = spark.createDataFrame([(opf,), ("<package/>",), (None,)], "opf string").select(spine.rewritten_package(F.col("opf"), "m$1 <\\>"))
+    first, second, third = [r[0] for r in got.collect()]
+    added = ('<dc:contributor id="lectern-translator">lectern (model: m$1 &lt;\\&gt;)</dc:contributor>'
+             '<meta refines="#lectern-translator" property="role" scheme="marc:relators">trl</meta>')
+    assert first == opf.replace("en-US", "ja").replace("</metadata><x/>", added + "</metadata><x/>")
+    assert second == "<package/>" and third is None
+
+
 def test_package_with_repeated_ids(spark):
     opf = ('<package><manifest><item id="a" href="old.xhtml" media-type="application/xhtml+xml"/>'
            '<item id="a" href="new.xhtml" media-type="application/xhtml+xml"/><item id="i" href="i.png" media-type="image/png"/>'
