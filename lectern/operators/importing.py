@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -39,24 +40,24 @@ def all_lines(outputs: DataFrame, errors: DataFrame) -> DataFrame:
     )
 
 
-def marked_last(work_items: DataFrame) -> DataFrame:
-    """Adds ``is_last``: is this the ledger's last row of its id?
+def marked_last(work_items: DataFrame, keys: Sequence[str] = ("custom_id",)) -> DataFrame:
+    """Adds ``is_last``: is this the ledger's last row of its id (or other ``keys``)?
 
-    The last one has the greatest (updated_at, attempt, state, source_hash, cache_key); rows of an
-    id alike in all of these are all last. Repeated ids are few: only they are joined back.
+    The last one has the greatest (updated_at, attempt, state, source_hash, cache_key, custom_id);
+    rows alike in all of these are all last. Repeated ids are few: only they are joined back.
     """
-    order = F.struct("updated_at", "attempt", "state", "source_hash", "cache_key")
-    repeated = work_items.groupBy("custom_id").agg(F.count("*").alias("_n"), F.max(order).alias("_last")).where("_n > 1")
-    return work_items.join(repeated.select("custom_id", "_last"), "custom_id", "left").select(
+    order = F.struct(*[c for c in ("updated_at", "attempt", "state", "source_hash", "cache_key", "custom_id") if c in work_items.columns])
+    repeated = work_items.groupBy(*keys).agg(F.count("*").alias("_n"), F.max(order).alias("_last")).where("_n > 1")
+    return work_items.join(repeated.select(*keys, "_last"), list(keys), "left").select(
         *work_items.columns, (F.col("_last").isNull() | (F.col("_last") == order)).alias("is_last"),
         F.col("_last").isNotNull().alias("_repeated"))
 
 
-def last_rows(work_items: DataFrame) -> DataFrame:
-    """One ledger row per id: of repeated ids the last one counts."""
-    marked = marked_last(work_items).where("is_last")
+def last_rows(work_items: DataFrame, keys: Sequence[str] = ("custom_id",)) -> DataFrame:
+    """One ledger row per id (or other ``keys``): of repeated ones the last counts."""
+    marked = marked_last(work_items, keys).where("is_last")
     single = marked.where("NOT _repeated").select(*work_items.columns)
-    return single.unionByName(marked.where("_repeated").select(*work_items.columns).dropDuplicates(["custom_id"]))
+    return single.unionByName(marked.where("_repeated").select(*work_items.columns).dropDuplicates(list(keys)))
 
 
 def line_fault() -> Column:

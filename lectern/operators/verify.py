@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.validation import reason_message, validation_reason
+from lectern.operators.importing import last_rows
 from lectern.operators.joins import spread_join
 from lectern.operators.ledger import CACHE_BACKED_STATES
 
@@ -35,10 +36,10 @@ def verify_findings(expected: DataFrame, work_items: DataFrame, cache: DataFrame
     """(finding, corpus_id, page_index, block_index, cache_key, reason) rows.
 
     ``expected`` are the work items a preparation would make now; ``cache`` has one
-    row per key.
+    row per key. Of ledger rows at one place the last one counts.
     """
     wanted = expected.select(*PLACE, *[F.col(c).alias(f"e_{c}") for c in COMPARED], F.lit(True).alias("in_e"))
-    have = work_items.select(*PLACE, *COMPARED, "state", F.lit(True).alias("in_w"))
+    have = last_rows(work_items, PLACE).select(*PLACE, *COMPARED, "state", F.lit(True).alias("in_w"))
     stored = cache.select(F.col("key").alias("cache_key"), F.col("translated").alias("stored"))
     joined = spread_join(wanted.join(have, PLACE, "full"), stored, "cache_key", PLACE, hot_from=work_items)
     both = F.col("in_e") & F.col("in_w")

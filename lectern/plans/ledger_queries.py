@@ -510,6 +510,17 @@ def fill_status(t: Tables) -> DataFrame:
     return t.items().groupBy("corpus_id").agg(ledger.status_after_fill().alias("status"))
 
 
+@query("fill_status_after", o.sql(f"""
+  SELECT corpus_id, CASE WHEN bool_or(state = 'local_pending') THEN 'local_pending'
+    WHEN bool_or(state = 'local_exhausted') THEN 'local_exhausted' ELSE 'local_imported' END AS status
+  FROM (SELECT * REPLACE ({FILL_STATE_SQL} AS state) FROM ({_fill_told_sql(10**9, ORDERS['page-order'])})) GROUP BY corpus_id""",
+    "work_items", "cache", "attempts", flagged=FLAGGED_SQL))
+def fill_status_after(t: Tables) -> DataFrame:
+    """The status of the ledger that a fill of all items leaves."""
+    filled = ledger.fill_local(t.items(), t.cache(), t.attempts(), "page-order", NOW, stops=False)
+    return filled.groupBy("corpus_id").agg(ledger.status_after_fill().alias("status"))
+
+
 @query("state_counts", o.sql("SELECT state, count(*) AS n FROM work_items GROUP BY state", "work_items"))
 def state_counts(t: Tables) -> DataFrame:
     return ledger.state_counts(t.items())
@@ -601,6 +612,15 @@ def verify_findings(t: Tables) -> DataFrame:
     return findings(t)
 
 
+@query("verify_repeated", _findings_sql("SELECT finding, count(*) AS n FROM findings GROUP BY finding"))
+def verify_repeated(t: Tables) -> DataFrame:
+    """A ledger with an older, spoiled row at many places: only the last row of a place is compared."""
+    items = t.gapped_items()
+    older = items.filter("block_index % 4 = 1").withColumn("source_hash", F.lit("spoiled")).withColumn("updated_at", F.lit(""))
+    wanted = verify.pages_to_verify(items, t.expected_items())
+    return verify.verify_counts(verify.verify_findings(wanted, items.unionByName(older), t.cache()))
+
+
 @query("verify_counts", _findings_sql("SELECT finding, count(*) AS n FROM findings GROUP BY finding"))
 def verify_counts(t: Tables) -> DataFrame:
     return verify.verify_counts(findings(t))
