@@ -47,7 +47,9 @@ class Encoder:
             [s["type"] for s in steps.get("pretokenizers", [])] == ["Split", "ByteLevel"])
         # Texts that hold an added token, in any case, are left to the tokenizer as a whole.
         self.added = [t["content"].lower() for t in parts["added_tokens"]]
-        self.added_starts = {a[:2] for a in self.added if a[:2].upper() == a[:2]}
+        starts = {a[:2] for a in self.added}
+        #: What every added token begins with, where case does not matter to it: a quick look before the slow one.
+        self.added_starts = sorted(starts) if all(s.upper() == s for s in starts) else [""]
         self.first: dict[str, bytes] = {"": b""}
         self.later: dict[str, bytes] = {}
 
@@ -80,8 +82,7 @@ class Encoder:
             return b"".join([cache[c] if c in cache else found[c] for c in chunks])
 
     def _holds_added(self, text: str) -> bool:
-        if len(self.added_starts) and all(a[:2] in self.added_starts for a in self.added) and (
-                not any(start in text for start in self.added_starts)):
+        if not any(start in text for start in self.added_starts):
             return False
         low = text.lower()
         return any(a in low for a in self.added)
