@@ -194,7 +194,9 @@ _kept: dict[str, list[Automaton]] = {}
 
 
 def automata(files: list[str]) -> Iterator[Automaton]:
-    """One shard after the other; a worker keeps those of the first files, up to a bound in bytes."""
+    """One shard after the other; a worker keeps those of the first files, up to a bound in bytes, and none of other lists."""
+    for uri in _kept.keys() - set(files):
+        del _kept[uri]
     for uri in files:
         if uri in _kept:
             yield from _kept[uri]
