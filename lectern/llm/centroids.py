@@ -134,7 +134,9 @@ def _assigned(centroids):
 def first_centroids(vectors: DataFrame, k: int = K, seed: int = SEED) -> np.ndarray:
     """The vectors of the k smallest digests of seed and id, in that order; rows of one id in order of their values."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
-    top = vectors.select("values", digest.alias("digest")).orderBy(F.asc_nulls_last("digest"), "values").limit(k).collect()
+    whole = F.transform("values", lambda x: F.floor(F.greatest(F.least(x * SCALE, F.lit(float(LARGEST))), F.lit(-float(LARGEST)))))
+    top = vectors.select("values", digest.alias("digest"), whole.alias("whole")).orderBy(
+        F.asc_nulls_last("digest"), "whole").limit(k).collect()
     return scaled(np.array([r["values"] for r in top], np.float64)) if top else np.empty((0, 0), np.int64)
 
 
