@@ -22,11 +22,12 @@ def clock(name: str) -> Column:
     return F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(name)
 
 
-def _in_files(df: DataFrame, key: str, label: str) -> str:
+def _in_files(df: DataFrame, key: str | tuple[str, ...], label: str) -> str:
     """Store a table in one write as files in the order of a key, dated in that order, as a log would have grown."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.repartitionByRange(FILES, key).sortWithinPartitions(key).write.parquet(path)
+    keys = (key,) if isinstance(key, str) else key
+    df.repartitionByRange(FILES, *keys).sortWithinPartitions(*keys).write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     names = sorted(f.getPath().toString() for f in system.listStatus(folder) if f.getPath().getName().startswith("part-"))
@@ -36,9 +37,9 @@ def _in_files(df: DataFrame, key: str, label: str) -> str:
 
 
 def _events(t: Tables) -> DataFrame:
-    """Event stream in arrival order."""
+    """Event stream in the order of its times: ids need not follow them, and an event behind the watermark is lost."""
     events = t.run_events()
-    return ingest.file_stream(t.spark, _in_files(events, "event_id", "stream-events"), events.schema, FILES_A_BATCH)
+    return ingest.file_stream(t.spark, _in_files(events, ("ts", "event_id"), "stream-events"), events.schema, FILES_A_BATCH)
 
 
 @query("stream_cache_ingest", o.sql("""
@@ -107,7 +108,7 @@ def stream_usage_window(t: Tables) -> DataFrame:
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit(1).cast("long").alias("requests"), F.length("props").alias("input_tokens"),
         F.floor("value").alias("output_tokens"),
     )
-    stream = ingest.file_stream(t.spark, _in_files(usage, "event_id", "stream-usage"), usage.schema, FILES_A_BATCH)
+    stream = ingest.file_stream(t.spark, _in_files(usage, ("ts", "event_id"), "stream-usage"), usage.schema, FILES_A_BATCH)
     windows = monitors.collected(t.spark, monitors.usage_windows(stream))
     return windows.withColumn("window_start", clock("window_start"))
 

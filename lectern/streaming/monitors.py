@@ -67,8 +67,8 @@ class StallWatch(StatefulProcessor):
     """Seven numbers per run: its stretch without completions, when that began, what it cost, when it is due.
 
     A stretch is due at the later of its begin plus ``secs`` and its ``requests``-th request. It
-    gives an alert as soon as an event arrives that is not older than that, or, for a run that
-    falls silent, when the watermark gets there: a timer waits for the due time. A run without an
+    gives an alert as soon as an event arrives that is not older than that (its own last request
+    included), or, for a run that falls silent, when the watermark gets there: a timer waits for the due time. A run without an
     event for ``forget_secs`` is forgotten by a timer of its own, and its state freed.
     """
 
@@ -94,6 +94,9 @@ class StallWatch(StatefulProcessor):
             used += 1
             if used == self.requests:
                 due = max(now, start + self.secs * 1_000_000)
+                if due == now:  # this request itself makes the wait too long
+                    alerted = True
+                    yield Row(run_key=key[0], island=island, at=_moment(due), silent=False)
         waits = due if due != NEVER and not alerted else now + self.forget_secs * 1_000_000
         timer = -(-waits // 1_000)
         if timer != before:

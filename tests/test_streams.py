@@ -49,6 +49,24 @@ def test_an_event_after_the_due_time_alerts_and_a_completion_starts_anew(spark):
     assert log.run([event(1, 20, 23, True), event(2, 21, 24)]) == [(1, 0, 10.0, False), (1, 1, 22.0, False)]
 
 
+def test_the_request_that_makes_a_wait_too_long_alerts_at_once(spark):
+    # The last event of the run is its third request after its tenth minute; the watermark does not get past it.
+    assert Log(spark, delay="1 hour").run([event(1, 0, 0), event(1, 1, 1), event(1, 2, 2), event(1, 3, 11)]) == [(1, 0, 11.0, False)]
+
+
+def test_events_whose_ids_do_not_follow_their_times_count(spark, tmp_path):
+    from tests.compare import database, differences
+    from lectern.plans.catalog import ORACLES, QUERIES
+
+    given = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    copy = given.withColumn("event_id", F.col("event_id") + 10**9).withColumn("user_id", F.col("user_id") + 10**6)
+    given.unionByName(copy).coalesce(1).write.parquet(f"file://{tmp_path}/made")
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    for name in ("stream_stall_silent", "stream_sessions", "stream_usage_window"):
+        result = QUERIES[name](spark, str(tmp_path))
+        assert differences(result, database(str(tmp_path)), ORACLES[name]) is None
+
+
 def test_state_of_an_old_run_is_freed(spark):
     log = Log(spark, forget_secs=3_600)
     log.run([event(1, 0, 0, True), event(1, 1, 1)])
