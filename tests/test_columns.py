@@ -255,3 +255,11 @@ def test_very_long_texts(spark):
     assert row["capitals"].terms == 1 and row["capitals"].words and not row["letters"].words
     assert row["joined"].chunks == -(-200_000 // 3500)
     assert row["markers"].tokens == 4 * 20_000 and row["tags"].blocks == 1
+
+
+def test_validation_computes_its_texts_once(spark, capsys):
+    # A computed target stands once in the plan of a rule set that reads it in every rule.
+    df = spark.createDataFrame([("Some source text of seven or more words here", 3)], "s string, n int")
+    target = F.translate(F.repeat("s", F.col("n")), "abc", "アイウ")
+    df.select(validation.validation_reason(F.col("s"), target).alias("r")).explain()
+    assert capsys.readouterr().out.count("translate(repeat(") == 1
