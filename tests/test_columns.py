@@ -263,3 +263,16 @@ def test_validation_computes_its_texts_once(spark, capsys):
     target = F.translate(F.repeat("s", F.col("n")), "abc", "アイウ")
     df.select(validation.validation_reason(F.col("s"), target).alias("r")).explain()
     assert capsys.readouterr().out.count("translate(repeat(") == 1
+
+
+def test_a_large_list_is_one_table_and_finds_what_contains_finds(spark):
+    # Thousands of terms were several automata, each of which read the whole text again.
+    rng = random.Random(6)
+    terms = sorted({"".join(rng.choice("abcdeé日") for _ in range(rng.randint(6, 20))) for _ in range(12000)})
+    texts = [" ".join(rng.sample(terms, 5)) + "abc" for _ in range(30)] + [""]
+    entries = spark.createDataFrame([(i, t, "x") for i, t in enumerate(terms)], "pos int, src string, dst string")
+    low = entries.withColumn("low", F.col("src"))
+    assert len(list(matcher.automata(matcher.stored_automata(low)))) == 1
+    blocks = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, source_text string")
+    found = {r.id: [e.pos for e in r.subset] for r in glossary.glossary_subset(blocks, entries).collect()}
+    assert found == {i: [k for k, t in enumerate(terms) if t in text] for i, text in enumerate(texts)}
