@@ -126,3 +126,25 @@ def test_import_goes_on_with_the_ids_and_keys_of_earlier_files(spark):
     second = run((2, 1, "id3", "訳文。"), (2, 2, "id1", "訳文。"), (2, 3, "id4", ""), (2, 4, "nobody", "x"), (2, 5, "id7", "訳文。"))
     assert second == first | {(2, 1): ("id3", "k0", "duplicate"), (2, 2): ("id1", "k1", "imported"), (2, 3): ("id4", "k1", "already_cached"),
                               (2, 4): ("nobody", None, "duplicate"), (2, 5): ("id7", "k8", "imported")}
+
+
+def test_import_keeps_no_ledger_row_as_state_and_every_line_that_comes_again(spark, monkeypatch):
+    from pyspark.sql.streaming import StreamingQuery
+
+    held, wait = [], StreamingQuery.awaitTermination
+
+    def ended(query):
+        wait(query)
+        held.append(sum(operator.numRowsTotal for operator in query.lastProgress.stateOperators))
+
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", ended)
+    rows = [(f"id{i}", f"k{i}", 1, i, "2026", 1, "submitted", "the source text here", "?") for i in range(500)]
+    items = spark.createDataFrame(rows, ITEMS).withColumn("source_hash", short_hash(F.col("source_text")))
+    source = new_folder(spark, "lines")
+    line = spark.createDataFrame([(1, 1, "id1", 200, '{"output_text":"訳文。"}', None), (1, 2, None, 200, "{}", None)], LINES)
+    for _ in range(2):  # The second file is the first one again, line for line.
+        line.coalesce(1).write.mode("append").parquet(source)
+    cache = spark.createDataFrame([], "key string, translated string")
+    out = ingest.import_stream(spark, source, line.schema, items, cache)
+    assert sorted((r.line_no, r.outcome) for r in out.collect()) == [(1, "duplicate"), (1, "imported"), (2, "duplicate"), (2, "unknown")]
+    assert held and max(held) < 100
