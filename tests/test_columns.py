@@ -276,3 +276,11 @@ def test_a_large_list_is_one_table_and_finds_what_contains_finds(spark):
     blocks = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, source_text string")
     found = {r.id: [e.pos for e in r.subset] for r in glossary.glossary_subset(blocks, entries).collect()}
     assert found == {i: [k for k, t in enumerate(terms) if t in text] for i, text in enumerate(texts)}
+
+
+def test_letters_are_counted_without_a_pattern(spark, capsys):
+    texts = ["", "abc", "Zz-9 é ⟦E1⟧ア\U0001f600q", " \n", None, "ＡＢc"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.letter_count(F.col("t")).alias("n"))
+    assert [r.n for r in rows.collect()] == [t if t is None else len(re.findall("[A-Za-z]", t)) for t in texts]
+    rows.explain(True)
+    assert "regexp" not in capsys.readouterr().out
