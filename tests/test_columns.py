@@ -284,3 +284,34 @@ def test_letters_are_counted_without_a_pattern(spark, capsys):
     assert [r.n for r in rows.collect()] == [t if t is None else len(re.findall("[A-Za-z]", t)) for t in texts]
     rows.explain(True)
     assert "regexp" not in capsys.readouterr().out
+
+
+def test_texts_clean_at_both_ends_are_not_trimmed(spark, capsys):
+    rng = random.Random(7)
+    letters = [*text.WHITE_SPACE, "a", "!", "\x7f", "\x80", "\x1c", "​", "é", "日", "\U0001f600"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 6))) for _ in range(2000)] + [None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", text.strip(F.col("t")).alias("s"), text.collapse(F.col("t")).alias("c"))
+    white = f"[{text.WHITE_SPACE}]+"
+    for row in rows.collect():
+        assert row.s == (None if row.t is None else row.t.strip(text.WHITE_SPACE))
+        assert row.c == (None if row.t is None else re.sub(white, " ", row.t).strip(" "))
+    rows.select(text.strip(F.col("t"))).explain(True)
+    assert "CASE WHEN" in capsys.readouterr().out
+
+
+def test_a_bound_value_is_no_item_of_an_array(spark, capsys):
+    # The type of such an item was asked for again for every row, down to every part of the rule set.
+    df = spark.createDataFrame([("a", "b"), (None, None)], "s string, t string")
+    rows = df.select(text.bound(F.col("s"), lambda s: F.concat(s, s, "t")).alias("r"))
+    assert [r.r for r in rows.collect()] == ["aab", None]
+    df.select(validation.validation_reason(F.col("s"), F.col("t"))).explain()
+    plan = capsys.readouterr().out
+    assert "aggregate(" in plan and "transform(array(" not in plan
+
+
+def test_classes_of_hot_patterns_are_tables(spark, capsys):
+    df = spark.createDataFrame([("'Ab C-d e Fg'hx 9Hi", "x")], "s string, t string")
+    assert df.select(glossary.terms(F.col("s"))).first()[0] == ["'Ab C-d", "Fg'hx"]
+    df.select(glossary.terms(F.col("s")), text.at_least_words(F.col("s"), 3), text.at_least_letters(F.col("s"), 3)).explain(True)
+    assert "A-Z" not in capsys.readouterr().out
