@@ -72,7 +72,7 @@ def cache_replace(t: Tables) -> DataFrame:
   SELECT corpus_id, count(c.key) AS hits, count(*) - count(c.key) AS misses
   FROM keyed k LEFT JOIN cache c ON c.key = k.cache_key GROUP BY corpus_id""", "keyed", "cache"))
 def cache_lookup(t: Tables) -> DataFrame:
-    return cache_ops.lookup_stats(t.keyed(), t.cache())
+    return cache_ops.lookup_stats(t.keyed(), t.cache_keys())
 
 
 @query("cache_status", o.sql("SELECT doc_id, block_index, status, reason FROM status", "status"))

@@ -30,3 +30,13 @@ def test_query(spark, con, name):
         assert differences(result, con, ORACLES[name]) is None
     else:
         assert result.count() > 0
+
+
+@pytest.mark.parametrize("name", ["cache_lookup", "reroute_endgame_closed", "fill_status_after", "recover_stopped"])
+def test_queries_on_keys_alone_store_no_cached_texts(spark, con, name, monkeypatch):
+    # They had the texts of the whole cache shuffled and written for the sake of its keys.
+    def refused(self):
+        raise AssertionError("the cache's texts were asked for")
+
+    monkeypatch.setattr("lectern.plans.tables.Tables.cache", refused)
+    assert differences(QUERIES[name](spark, SF_DIR), con, ORACLES[name]) is None
