@@ -312,7 +312,8 @@ def glossary_large(t: Tables) -> DataFrame:
   SELECT pos, src, count(*) AS blocks FROM doc_blocks
   JOIN glossary ON dst <> '' AND contains(lower(source_text), lower(src)) GROUP BY ALL""", "doc_blocks", "glossary"))
 def glossary_coverage(t: Tables) -> DataFrame:
-    hits = t.keyed().select(F.explode("subset").alias("e"))
+    found = glossary.glossary_subset(t.doc_blocks(), t.glossary())
+    hits = found.select(F.explode("subset").alias("e"))
     return hits.groupBy("e.pos", "e.src").agg(F.count("*").alias("blocks"))
 
 
@@ -419,8 +420,8 @@ def lang_report(t: Tables) -> DataFrame:
 
 @query("cache_keys", o.sql("SELECT doc_id, block_index, cache_key FROM keyed", "keyed"))
 def cache_keys(t: Tables) -> DataFrame:
-    subset = glossary.glossary_subset(t.doc_blocks(), t.glossary())
-    return requests.with_cache_key(subset, CFG).select(*IDS, "cache_key")
+    lines = glossary.glossary_lines(t.doc_blocks(), t.glossary())
+    return requests.with_cache_key(lines, CFG).select(*IDS, "cache_key")
 
 
 @query("build_prompts", o.sql(f"""
@@ -428,12 +429,12 @@ def cache_keys(t: Tables) -> DataFrame:
     {o.short_hash(f"{o.SYSTEM} || {o.NL} || p")} AS prompt_hash
   FROM (SELECT *, {o.PROMPT} AS p FROM keyed)""", "keyed"))
 def build_prompts(t: Tables) -> DataFrame:
-    prompt = prompts.user_prompt(source(), F.col("subset"))
+    prompt = prompts.prompt_with_lines(source(), F.col("prompt_lines"))
     return t.keyed().select(
         *IDS,
         F.length(prompt).alias("chars"),
         text.short_hash(prompt).alias("user_hash"),
-        prompts.prompt_hash(source(), F.col("subset"), CFG).alias("prompt_hash"),
+        prompts.prompt_hash(prompt, CFG).alias("prompt_hash"),
     )
 
 
@@ -457,8 +458,8 @@ def retry_prompt(t: Tables) -> DataFrame:
     judged = t.keyed().withColumn("translated", t.answer(source())).withColumn(
         "reason", validation.validation_reason(source(), target())
     )
-    prompt = prompts.retry_prompt(
-        source(), F.col("subset"), target(), validation.reason_message(F.col("reason")), F.col("reason")
+    prompt = prompts.retry_with_lines(
+        source(), F.col("prompt_lines"), target(), validation.reason_message(F.col("reason")), F.col("reason")
     )
     return judged.filter("reason is not null").select(*IDS, "reason", text.short_hash(prompt).alias("hash"))
 
@@ -469,7 +470,7 @@ def retry_prompt(t: Tables) -> DataFrame:
     (VALUES ('ollama', 'qwen3:14b'), ('openai', 'gpt-5-mini'), ('claude', 'claude-sonnet-4-5')) v(provider, model)
   """, "keyed"))
 def provider_payloads(t: Tables) -> DataFrame:
-    prompt = prompts.user_prompt(source(), F.col("subset"))
+    prompt = prompts.prompt_with_lines(source(), F.col("prompt_lines"))
     place = {"ollama": "$.messages[1].content", "openai": "$.input", "claude": "$.messages[0].content"}
 
     def shape(provider: str):

@@ -315,3 +315,30 @@ def test_classes_of_hot_patterns_are_tables(spark, capsys):
     assert df.select(glossary.terms(F.col("s"))).first()[0] == ["'Ab C-d", "Fg'hx"]
     df.select(glossary.terms(F.col("s")), text.at_least_words(F.col("s"), 3), text.at_least_letters(F.col("s"), 3)).explain(True)
     assert "A-Z" not in capsys.readouterr().out
+
+
+def test_lines_of_found_entries_are_those_of_the_subset(spark):
+    entries = spark.createDataFrame(
+        [(2, "Beta", "b=>"), (1, " Alpha ", " a "), (3, "alpha", "二"), (4, "Gone", ""), (5, "Never", "n")], "pos int, src string, dst string")
+    blocks = spark.createDataFrame(
+        [(0, "beta ALPHA alpha"), (1, "Beta"), (2, "nothing"), (3, ""), (4, None), (5, "gone Alphabeta")], "id int, source_text string")
+    subset = glossary.glossary_subset(blocks, entries)
+    wanted = subset.select("id", prompts.key_lines(F.col("subset")), prompts.prompt_lines(F.col("subset"))).collect()
+    found = glossary.glossary_lines(blocks, entries).select("id", "key_lines", "prompt_lines").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, wanted))
+    assert ("Alpha=>a\nBeta=>b=>\nalpha=>二\n", "- Alpha => a\n- Beta => b=>\n- alpha => 二") == tuple(sorted(found)[0][1:])
+    for no_terms in (entries.limit(0), entries.filter("pos = 5")):
+        assert {tuple(r) for r in glossary.glossary_lines(blocks, no_terms).select("key_lines", "prompt_lines").collect()} == {("", "")}
+
+
+def test_keys_and_prompts_by_lines_are_those_by_the_subset(spark):
+    from lectern.config import EngineConfig
+    from lectern.operators import requests
+
+    entries = spark.createDataFrame([(1, "Alpha", "a"), (2, "Beta", "b")], "pos int, src string, dst string")
+    blocks = spark.createDataFrame([("c", 1, 1, "h", "Alpha and beta"), ("c", 1, 2, "h", "none")],
+                                   "corpus_id string, page_no int, block_index int, href string, source_text string")
+    by_lines, by_subset = (
+        requests.prepared(requests.with_cache_key(made(blocks, entries), EngineConfig()), EngineConfig(), "now").orderBy("block_index").collect()
+        for made in (glossary.glossary_lines, glossary.glossary_subset))
+    assert by_lines == by_subset
