@@ -342,3 +342,22 @@ def test_keys_and_prompts_by_lines_are_those_by_the_subset(spark):
         requests.prepared(requests.with_cache_key(made(blocks, entries), EngineConfig()), EngineConfig(), "now").orderBy("block_index").collect()
         for made in (glossary.glossary_lines, glossary.glossary_subset))
     assert by_lines == by_subset
+
+
+def test_forms_are_compared_whole_only_where_heads_agree(spark):
+    sigma = "Α" * 31 + "Σ"
+    pairs = [("A b\u3000c", "ab C"), ("x", "y"), ("", ""), ("", "a"), (" ", ""), (sigma, sigma + " "), (sigma + "Α", sigma.lower()[:-1] + "σα"),
+             (sigma + " Α", sigma + "α"), ("x" * 32 + "Σ Σ", "X" * 32 + "ΣΣ"), ("x" * 32 + "a", "X" * 32 + "b"), ("İ" * 40, "i\u0307" * 40),
+             ("a" * 31 + " " * 40 + "B", "A" * 31 + "b"), ("⟦E1⟧Some words⟦/E1⟧", "⟦E1⟧Sアmウ⟦/E1⟧"), (None, "a"), ("a", None)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    for got, wanted in df.select(text.same_form(a, b), text.compare_form(a) == text.compare_form(b)).collect():
+        assert got == wanted
+
+
+@pytest.mark.parametrize("end", ["", " ", "\u3000\n", "\x85", "\x00", "x"])
+def test_terminal_ends_after_any_white_space(spark, end):
+    rows = [("done." + end,), ("終" + end,), ("「終」" + end,), (end,), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(text.ends_terminal(F.col("t"))).collect()]
+    closed = not end.strip()
+    assert got == [closed and end != "\x00", False, closed and end != "\x00", False, None]
