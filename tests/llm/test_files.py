@@ -178,3 +178,15 @@ def test_the_normaliser_reads_any_members_and_refuses_a_cut_stream():
     assert list(warc.split_records(warc.inflated([b"".join(gzip.compress(r) for r in raw)]))) == raw
     with pytest.raises(ValueError):
         list(warc.split_records(warc.inflated(blocks[:-3])))
+
+
+def test_chunks_in_a_row_have_the_ids_they_have_alone():
+    own = tokens.Encoder(tokens.spec_of(public_tokenizers.path("byte_bpe_50k.json")), 0)
+    chunks = ["word", "Zqxv&&&", "a\nb", "\nfoo", "end\n", "", "ñ\u00a0", "\u00a0x", "12ab", "'s", "日本語", "\x00", "Ġx", "\u2028"]
+    asked = []
+    alone = own._ids([" " + c for c in chunks])
+    batch = own._ids
+    own._ids = lambda texts: asked.extend(texts) or batch(texts)
+    assert own._ids_in_a_row(chunks) == alone
+    # Each was a text of its own before; only those that end in white space still are.
+    assert sorted(asked) == sorted([" end\n", " ", " ñ\u00a0", " \u2028"])
