@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.markers import escape_xml, restore
+from lectern.functions.markers import escape_xml, restorable, restore
 
 PAGE = ["corpus_id", "page_no"]
 
@@ -20,7 +20,7 @@ def restored_blocks(status: DataFrame) -> DataFrame:
     original = F.coalesce(restore(F.col("source_text"), F.col("inline_map")), escape_xml(F.col("source_text")))
     return (
         status.withColumn("restored", restored)
-        .withColumn("used", F.col("restored").isNotNull())
+        .withColumn("used", F.coalesce(restorable(usable, F.col("inline_map")), F.lit(False)))
         .withColumn(
             "html",
             F.concat(

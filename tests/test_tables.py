@@ -380,3 +380,19 @@ def test_the_last_ledger_row_of_an_id_is_judged_and_moved(spark):
     assert sorted((r.cache_key, r.state, r.updated_at) for r in result.work_items.collect()) == [
         ("k1", "submitted", "2026-01-01"), ("k2", "imported", "2026-02-02"), ("k3", "submitted", "2026-01-01")]
     assert [r.key for r in result.cache_rows.collect()] == ["k2"]
+
+
+def test_whether_a_translation_is_used_needs_no_restored_text(spark):
+    from lectern.operators import assembly
+    rows = [(1, "hit", "⟦E1⟧訳", ["⟦E1⟧"]), (2, "hit", "訳", ["⟦E1⟧"]), (3, "hit", "⟦E9⟧訳", []), (4, "miss", None, ["⟦E1⟧"]),
+            (5, "hit", "", []), (6, "hit", None, []), (7, "invalid", "訳", []), (8, "hit", "訳", None), (9, "hit", "⟦E1⟧⟦E1⟧", ["⟦E1⟧"])]
+    status = spark.createDataFrame(
+        [("c", 1, i, "p", s, t, "x", m and [(k, "<b>") for k in m]) if m is not None else ("c", 1, i, "p", s, t, "x", None) for i, s, t, m in rows],
+        "corpus_id string, page_no int, block_index int, tag string, status string, translated string, source_text string, "
+        "inline_map array<struct<marker:string,tag:string>>")
+    blocks = assembly.restored_blocks(status)
+    assert [r.used for r in blocks.orderBy("block_index").collect()] == [True, False, False, False, True, False, False, False, True]
+    assert blocks.filter("used <> (restored is not null)").isEmpty()
+    counts = assembly.assembly_status(assembly.assemble_pages(blocks))
+    assert counts.first().translated_blocks == 3
+    assert "map_from_entries" not in counts._jdf.queryExecution().optimizedPlan().toString()
