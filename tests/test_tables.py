@@ -418,6 +418,20 @@ def test_answers_of_imported_lines_are_found_again(spark):
     assert "answer" not in result.lines.columns
 
 
+def test_verification_compares_texts_and_rows_without_a_place(spark):
+    schema = ("corpus_id string, page_index long, block_index int, custom_id string, cache_key string, source_hash string, "
+              "prompt_hash string, source_chars int, source_text string, state string, attempt int, updated_at string")
+    row = lambda place, text, state="imported", at="1": (*place, "i", "k" + str(place[2]), "h", "p", 5, text, state, 1, at)
+    have = [row(("c", 1, 1), SOURCE + " changed"), row(("c", 1, 2), SOURCE, "skipped"), row((None, 1, 3), SOURCE), row((None, 1, 3), SOURCE),
+            row(("c", 1, 4), "older", at="0"), row(("c", 1, 4), SOURCE), row(("c", 1, 5), SOURCE)]
+    expected = spark.createDataFrame([row(("c", 1, n), SOURCE) for n in (1, 2, 4, 5)], schema)
+    stored = spark.createDataFrame([("k1", GOOD), ("k2", SOURCE), ("k4", GOOD), ("k5", SOURCE + " ")], "key string, translated string")
+    found = verify.verify_findings(expected, spark.createDataFrame(have, schema), stored).collect()
+    assert sorted((r.finding, r.block_index, r.reason) for r in found) == [
+        ("invalid_cache", 5, "provider returned the source text unchanged"), ("orphaned", 3, verify.ORPHANED),
+        ("orphaned", 3, verify.ORPHANED), ("stale", 1, "source_text changed")]
+
+
 def test_whether_a_translation_is_used_needs_no_restored_text(spark):
     from lectern.operators import assembly
     rows = [(1, "hit", "⟦E1⟧訳", ["⟦E1⟧"]), (2, "hit", "訳", ["⟦E1⟧"]), (3, "hit", "⟦E9⟧訳", []), (4, "miss", None, ["⟦E1⟧"]),
