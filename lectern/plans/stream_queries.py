@@ -27,7 +27,7 @@ def _in_files(df: DataFrame, key: str | tuple[str, ...], label: str) -> str:
     spark = df.sparkSession
     path = new_folder(spark, label)
     keys = (key,) if isinstance(key, str) else key
-    df.repartitionByRange(FILES, *keys).sortWithinPartitions(*keys).write.parquet(path)
+    df.repartitionByRange(FILES, *keys).sortWithinPartitions(*keys).write.option("compression", "zstd").parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     names = sorted(f.getPath().toString() for f in system.listStatus(folder) if f.getPath().getName().startswith("part-"))
@@ -55,7 +55,7 @@ def stream_cache_ingest(t: Tables) -> DataFrame:
 def stream_import(t: Tables) -> DataFrame:
     outputs = t.outputs()
     path = _in_files(outputs, "part_index", "stream-outputs")
-    lines = ingest.import_stream(t.spark, path, outputs.schema, t.items(), t.cache(), FILES_A_BATCH)
+    lines = ingest.import_stream(t.spark, path, outputs.schema, t.items(), t.cache_traits(), FILES_A_BATCH)
     return lines.select("part_index", "line_no", "custom_id", "outcome", "message")
 
 

@@ -52,7 +52,8 @@ def test_states_are_counted_without_keys(spark, con, monkeypatch):
     assert differences(QUERIES["state_counts"](spark, SF_DIR), con, ORACLES["state_counts"]) is None
 
 
-@pytest.mark.parametrize("name", ["import_report", "batch_import", "import_ledger", "import_repeated_ids", "verify_findings", "verify_repeated"])
+@pytest.mark.parametrize("name", ["import_report", "batch_import", "import_ledger", "import_repeated_ids", "verify_findings",
+                                  "verify_repeated", "stream_import"])
 def test_queries_that_judge_texts_store_no_cache(spark, con, name, monkeypatch):
     # The log and the cache were written, and all texts shuffled, up to four times, to be judged beside each other.
     def refused(self):

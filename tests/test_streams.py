@@ -128,6 +128,20 @@ def test_import_goes_on_with_the_ids_and_keys_of_earlier_files(spark):
                               (2, 4): ("nobody", None, "duplicate"), (2, 5): ("id7", "k8", "imported")}
 
 
+def test_a_stream_stores_no_texts_and_its_imported_lines_find_their_answers(spark):
+    from lectern.operators.importing import imported_answers
+    rows = [(f"id{i}", f"k{i}", 1, i, "2026", 1, "submitted", "the source text here", "?") for i in range(3)]
+    items = spark.createDataFrame(rows, ITEMS).withColumn("source_hash", short_hash(F.col("source_text")))
+    source, folder = new_folder(spark, "lines"), new_folder(spark, "import")
+    lines = spark.createDataFrame([(1, i, f"id{i % 3}", 200, '{"output_text":"訳文%d。"}' % i, None) for i in range(5)], LINES)
+    lines.coalesce(1).write.parquet(source)
+    out = ingest.import_stream(spark, source, lines.schema, items, spark.createDataFrame([], "key string, translated string"), folder=folder)
+    found = imported_answers(out, spark.read.schema(lines.schema).parquet(source))
+    assert sorted((r.cache_key, r.answer) for r in found.collect()) == [("k0", "訳文0。"), ("k1", "訳文1。"), ("k2", "訳文2。")]
+    for name in ("ledger", "opened", "judged", "outcomes"):
+        assert not {"source_text", "body", "answer"} & set(spark.read.parquet(f"{folder}/{name}").columns)
+
+
 def test_import_keeps_no_ledger_row_as_state_and_every_line_that_comes_again(spark, monkeypatch):
     from pyspark.sql.streaming import StreamingQuery
 
