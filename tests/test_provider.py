@@ -69,3 +69,15 @@ def test_a_restart_asks_no_prompt_of_a_stored_attempt_again(spark):
 def test_no_texts_no_calls(spark):
     jobs, glossary = tables(spark)
     assert requests.provider_stage(jobs.limit(0), glossary.limit(0), first_fails, CFG).count() == 0
+
+
+def test_no_text_is_joined_and_failed_answers_alone_are_stored_again(spark):
+    # Chunks and answers were joined for every attempt, and stored once more with what they were joined to.
+    jobs, glossary = tables(spark)
+    folder = new_folder(spark, "provider")
+    told = requests.provider_outcomes(jobs, glossary, first_fails, CFG, folder)
+    assert "Join" not in told._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.cache_key: (r.chunks, r.attempts, r.translated, r.failed_chunk, r.reason) for r in told.collect()}
+    assert got == rows(requests.provider_stage(jobs, glossary, first_fails, CFG))
+    failed = [sorted(spark.read.parquet(f"{folder}/failed-{n}").select("cache_key").toPandas().cache_key) for n in (1, 2, 3)]
+    assert failed == [["a", "b", "c"], ["c"], ["c"]]
