@@ -281,7 +281,7 @@ STAGE_COLUMNS = ("cache_key", "chunks", "attempts", "failed_chunk", "reason")
   SELECT cache_key, min(source_text) AS source_text FROM keyed GROUP BY cache_key""", "keyed"))
 def provider_stage(t: Tables) -> DataFrame:
     jobs = t.keyed().groupBy("cache_key").agg(F.min("source_text").alias("source_text"))
-    return requests.provider_stage(jobs, t.glossary(), forgetful, STAGE_CFG).select(*STAGE_COLUMNS)
+    return requests.provider_outcomes(jobs, t.glossary(), forgetful, STAGE_CFG).select(*STAGE_COLUMNS)
 
 
 CHUNK_CFG = EngineConfig(max_chars=400)
