@@ -81,3 +81,11 @@ def test_no_text_is_joined_and_failed_answers_alone_are_stored_again(spark):
     assert got == rows(requests.provider_stage(jobs, glossary, first_fails, CFG))
     failed = [sorted(spark.read.parquet(f"{folder}/failed-{n}").select("cache_key").toPandas().cache_key) for n in (1, 2, 3)]
     assert failed == [["a", "b", "c"], ["c"], ["c"]]
+
+
+def test_a_request_that_comes_twice_is_asked_twice(spark):
+    # Its chunks met all its answers, so every attempt doubled them once more.
+    jobs, glossary = tables(spark)
+    told = requests.provider_stage(jobs.unionByName(jobs.filter("cache_key = 'a'")), glossary, first_fails, CFG)
+    got = [(r.cache_key, r.chunks, r.attempts) for r in told.collect()]
+    assert sorted(got) == [("a", 4, 6), ("a", 4, 6), ("b", 1, 2), ("c", 1, 3), ("d", 1, 1)]
